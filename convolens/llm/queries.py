@@ -8,7 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .decontaminate import contamination
+from .packing import pack
 from .sharding import shard_by_bytes
+from .simhash import near_duplicates
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file that packing uses; on a cluster it lies at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +37,8 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_shards": op9_shards,
 }
