@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .decontaminate import contamination
+from .lines import duplicate_lines
 from .packing import pack
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
+from .spans import dedup_substrings
 
 
 def tokenizer_path() -> str:
@@ -28,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(read(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -36,11 +42,17 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read(spark, sf_dir, "documents"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_lines": op4_lines,
     "op8_decontaminate": op8_decontaminate,
     "op9_shards": op9_shards,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE: dict[str, str] = {}
