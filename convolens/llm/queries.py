@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .decontaminate import contamination
 from .lines import duplicate_lines
+from .neighbours import near_vectors
 from .packing import pack
+from .pii import pseudonymize
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 from .spans import dedup_substrings
+from .toxicity import score_documents
+
+
+#: For the registered query only; a real key is passed by the caller.
+PSEUDONYM_KEY = "registered-query"
 
 
 def tokenizer_path() -> str:
@@ -34,6 +41,18 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_lines(read(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), key=PSEUDONYM_KEY)
+
+
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -50,6 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_lines": op4_lines,
+    "op5_pii": op5_pii,
+    "op6_vectors": op6_vectors,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_shards": op9_shards,
     "op10_substrings": op10_substrings,
