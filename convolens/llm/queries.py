@@ -12,6 +12,7 @@ from .lines import duplicate_lines
 from .neighbours import near_vectors
 from .packing import pack
 from .pii import pseudonymize
+from .secrets import scan
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 from .spans import dedup_substrings
@@ -29,6 +30,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_lines": op4_lines,
