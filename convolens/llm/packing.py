@@ -9,6 +9,7 @@ length is gathered in one task.
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -28,58 +29,79 @@ BLOCK_ROWS = 4096
 MEMO = 800_000
 
 
+#: White space that a text cut at spaces and line ends must not hold, and ASCII signs but the apostrophe.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves, the others as letters from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Token ids of texts, equal to the tokenizer's, each distinct chunk being encoded once.
 
-    The byte-level pattern never joins characters across a single space between two visible ones, so a
-    text can be cut before each such space and its ids are those of the chunks. Texts with other white
-    space beside a space, or with a special token's string, go to the tokenizer whole.
+    The byte-level pattern never joins characters across a single space or line end between two visible
+    ones, so such a text can be cut there and its ids are those of its chunks. A chunk of letters, and the
+    signs behind it, are encoded by the vocabulary's model directly. Texts with other white space, or with
+    a special token's string, and vocabularies with another pattern go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, made = self.tokenizer.model, json.loads(self.tokenizer.to_str())
+        cut = made["pre_tokenizer"] or {}
+        self.cuts = made["normalizer"] is None and made["model"]["type"] == "BPE" and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) == ("ByteLevel", False, True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 2000):
-            part = chunks[at : at + 2000]
-            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids, ends = np.array(found.ids, "<u4"), np.array([e for _, e in found.offsets])
-            cuts = np.searchsorted(ends, np.cumsum([len(c) for c in part]), side="right")
-            raw, lo = ids.tobytes(), 0
-            for chunk, hi in zip(part, cuts.tolist()):
-                self.memo[chunk] = raw[4 * lo : 4 * hi]
-                lo = hi
+    def _part(self, part: str) -> bytes:
+        """The ids of a part that the pattern doesn't cut."""
+        if (found := self.memo.get(part)) is None:
+            ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+            self.memo[part] = found = np.array(ids, "<u4").tobytes()
+        return found
+
+    def _learn(self, chunk: str) -> bytes:
+        core = chunk.rstrip(_SIGNS)
+        if (core[1:] if core[:1] == " " else core).isalpha():
+            found = self._part(core)
+            if len(core) < len(chunk):
+                self.memo[chunk] = found = found + self._part(chunk[len(core) :])
+            return found
+        self.memo[chunk] = found = self.whole(chunk)
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         memo = self.memo
         for text in texts:
-            words = text.split(" ")
-            if not self._plain(text, words):
+            if not self._plain(text):
                 yield self.whole(text) if text else b""
                 continue
-            chunks = [words[0], *[" " + w for w in words[1:]]]
-            if missing := {c for c in chunks if c not in memo}:
-                if len(memo) + len(missing) > MEMO:
+            chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            found = list(map(memo.get, chunks))
+            if None in found:
+                if len(memo) > MEMO:
                     memo.clear()
-                    missing = set(chunks)
-                if words[0] in missing:  # no space stands before it
-                    missing.discard(words[0])
-                    memo[words[0]] = self.whole(words[0])
-                self._learn(list(missing))
-            yield b"".join([memo[c] for c in chunks])
-
-    def _plain(self, text: str, words: list[str]) -> bool:
-        if not all(words) or any(s in text for s in self.special):
+                for i, x in enumerate(found):
+                    if x is None:
+                        found[i] = memo.get(chunks[i]) or self._learn(chunks[i])
+            yield b"".join(found)
+
+    def _plain(self, text: str) -> bool:
+        if not self.cuts or "\0" in text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
             return False
-        return not any(w[0].isspace() or w[-1].isspace() for w in words)
+        return not any(s in text for s in self.special) and not any(c in text for c in _OTHER_SPACE)
 
 
 _ENCODERS: dict[str, Encoder] = {}
