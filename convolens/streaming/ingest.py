@@ -1,0 +1,119 @@
+"""Incremental ingest and push: micro-batches of transcript lines, hash-gated revisions, dirty sets, sinks.
+
+A file that grew is read again whole, since a message may complete what stood before it; which files
+changed is told by their size and time. Each batch commits its tables by one pointer move each, state
+last, so a batch that failed is done again and one that was done twice changes nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from ..model import CONVERSATION, MESSAGE, PUSH_STATE, SYNC, TOOL_CALL, Store
+from ..operators import rollup as R
+from ..operators import routing as P
+from ..operators import sync as Y
+from ..sources import logs
+from ..sources.transcripts import READERS
+from .state import VersionedTable
+
+SOURCE_STATE = T.StructType([T.StructField("adapter_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.LongType())])
+PUSH_BATCH = 20
+
+
+def _now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
+
+
+class Engine:
+    """The tables under one root folder, and what changes them."""
+
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], str] = _now):
+        self.spark, self.clock = spark, clock
+        kinds = {"conversations": CONVERSATION, "messages": MESSAGE, "tool_calls": TOOL_CALL, "sync": SYNC, "push_state": PUSH_STATE, "sources": SOURCE_STATE}
+        self.tables = {name: VersionedTable(spark, f"{root}/{name}", schema) for name, schema in kinds.items()}
+
+    def store(self) -> Store:
+        return Store(*(self.tables[n].read() for n in ("conversations", "messages", "tool_calls", "sync", "push_state")))
+
+    def changed_sources(self, adapter: str, listed: DataFrame) -> DataFrame:
+        """(path, change) of files that are new, changed or gone. An empty store takes all files as new."""
+        known = self.tables["sources"].read().where(F.col("adapter_id") == adapter)
+        if self.tables["conversations"].version() == 0:
+            known = known.limit(0)
+        return Y.source_diff(known, listed)
+
+    def ingest(self, adapter: str, path: str) -> int:
+        """Reads the files of `path` that changed; returns how many conversations changed."""
+        # names, sizes and times as of one moment, which the driver lists anyway: a later change shows next time
+        listed = self.spark.createDataFrame(logs.listing(self.spark, path).collect(), "path string, size long, mtime long")
+        changes = [r["path"] for r in self.changed_sources(adapter, listed).where("change != 'removed'").collect()]
+        if not changes:
+            return 0
+        changed = self.write(*READERS[adapter](self.spark, changes))
+        rows = listed.where(F.col("path").isin(changes)).withColumn("adapter_id", F.lit(adapter))
+        self.tables["sources"].upsert(rows, ["adapter_id", "path"])  # last: a failure before this reads them again
+        return changed
+
+    def write(self, conversations: DataFrame, messages: DataFrame, tool_calls: DataFrame) -> int:
+        """Takes in whole conversations; those whose content hash is known only get a new time."""
+        conversations, messages, tool_calls = conversations.cache(), messages.cache(), tool_calls.cache()
+        state = Y.revise(self.tables["sync"].read(), Y.bundle_hash(conversations, messages, tool_calls), self.clock()).cache()
+        ids = state.where("changed").select("conversation_id").cache()
+        changed = ids.count()
+        if changed:
+            own = conversations.join(ids.withColumnRenamed("conversation_id", "id"), "id", "left_semi")
+            m, t = (df.join(ids, "conversation_id", "left_semi") for df in (messages, tool_calls))
+            for name, rows in (("messages", m), ("tool_calls", t)):
+                old = self.tables[name].read().join(ids, "conversation_id", "left_anti")
+                self.tables[name].replace(old.unionByName(rows.select(old.columns)))
+            self.tables["conversations"].upsert(R.conversation_rollup(own, m, t), ["id"])
+        self.tables["sync"].replace(state.select("conversation_id", "content_hash", "local_revision", "ingested_at"))
+        for df in (conversations, messages, tool_calls, state, ids):
+            df.unpersist()
+        return changed
+
+    def watch(self, adapter: str, path: str, checkpoint: str, seconds: int = 60, once: bool = False) -> StreamingQuery:
+        """A stream that ingests `path` again at each trigger that sees new files; `once`: all there is, then stop."""
+        lines = self.spark.readStream.option("recursiveFileLookup", True).text(path)
+        trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
+        return lines.writeStream.foreachBatch(lambda _df, _n: self.ingest(adapter, path)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+    def payloads(self, sink: str, routes: list[P.Route]) -> DataFrame:
+        """The conversations that the sink needs and rules send there, each with its messages and calls, as JSON."""
+        s = self.store()
+        due = Y.needs_push(s.sync, s.push_state, sink).select(F.col("conversation_id").alias("id"), F.col("local_revision").alias("revision"))
+        mine = P.routed(s.conversations.join(due, "id"), routes).where(F.array_contains("sinks", sink)).drop("sinks")
+        m = s.messages.join(mine.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
+        t = s.tool_calls.join(mine.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
+        messages = m.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("sequence", *(c for c in m.columns if c != "sequence")))).alias("messages"))
+        calls = t.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("id", *(c for c in t.columns if c != "id")))).alias("tool_calls"))
+        joined = mine.join(messages, mine["id"] == messages["conversation_id"], "left").drop("conversation_id").join(calls, mine["id"] == calls["conversation_id"], "left").drop("conversation_id")
+        body = F.to_json(F.struct(F.struct(*mine.columns).alias("conversation"), "messages", "tool_calls"))
+        return joined.select("id", "adapter_id", "revision", F.concat_ws(":r", "id", F.col("revision").cast("string")).alias("idempotency_key"), body.alias("body"))
+
+    def push(self, sink: str, routes: list[P.Route], send: Callable[[DataFrame], DataFrame]) -> int:
+        """Sends what is due and records it; `send` gives (id, ok, error). What isn't recorded is sent again, with the same key."""
+        due = self.payloads(sink, routes).cache()
+        n = due.count()
+        if n:
+            results = send(due).join(due.select("id", "revision"), "id")
+            rows = results.select(F.col("id").alias("conversation_id"), F.lit(sink).alias("sink_id"), "revision", "ok", "error")
+            table = self.tables["push_state"]
+            table.replace(Y.record_push(table.read(), rows, self.clock()), table.version())
+        due.unpersist()
+        return n
+
+    def repush(self, sink: str) -> dict:
+        """Forgets what the sink has taken; the counts of rows cleared and of conversations due before and after."""
+        s = self.store()
+        kept, counts = Y.reset_push(s.sync, s.push_state, sink)
+        out = counts.first().asDict()
+        self.tables["push_state"].replace(kept)
+        return out
