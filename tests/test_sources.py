@@ -156,3 +156,52 @@ def test_log_tail(spark, tmp_path):
     (tmp_path / "x.log").write_text("".join(f"line {i}\r\n" for i in range(30)))
     rows, n = logs.tail(spark, str(tmp_path / "x.log"), 3)
     assert [r["line"] for r in rows.collect()] == ["line 27", "line 28", "line 29"] and n == 30
+
+
+def test_composers(spark, tmp_path):
+    from convolens.sources import composers
+
+    db = sqlite3.connect(tmp_path / "state.db")
+    db.execute("CREATE TABLE cursorDiskKV (key TEXT, value BLOB)")
+    head = lambda **x: json.dumps({"createdAt": 1775037600000, "modelConfig": {"modelName": "gpt-4o"}, **x})
+    cells = [
+        ("composerData:P", head(name="New Agent", fullConversationHeadersOnly=[{"bubbleId": "1", "type": 1}, {"bubbleId": "2", "type": 2}, {"bubbleId": "9"}], subagentComposerIds=["C"])),
+        ("composerData:C", head(name="Child", fullConversationHeadersOnly=[{"bubbleId": "3", "type": 1}])),
+        ("bubbleId:P:1", json.dumps({"type": 1, "text": "<ctx>x</ctx> do it", "createdAt": "2026-04-01T10:00:00Z"})),
+        ("bubbleId:P:2", json.dumps({"type": 2, "text": "", "tokenCount": {"inputTokens": 3, "outputTokens": 4}, "toolFormerData": {"toolCallId": "t", "name": "task", "rawArgs": "C", "result": "r", "status": "error"}})),
+        ("bubbleId:C:3", json.dumps({"type": 1, "text": "sub"})),
+    ]
+    db.executemany("INSERT INTO cursorDiskKV VALUES (?, ?)", cells)
+    db.commit()
+    db.close()
+    conversations, messages, calls = composers.read_composers(spark, str(tmp_path))
+    c = {r["id"]: r for r in conversations.collect()}
+    assert (c["P"]["name"], c["P"]["relationship"], c["P"]["trace_id"]) == ("do it", "root", "P")
+    assert (c["C"]["name"], c["C"]["parent_id"], c["C"]["trace_id"], c["C"]["fork_point"]) == ("Child", "P", "P", 1)
+    m = messages.where("conversation_id = 'P'").orderBy("sequence").collect()
+    assert [(r["role"], r["content"], r["parent_message_id"]) for r in m] == [("user", "<ctx>x</ctx> do it", ""), ("assistant", "[tool:task]", "P:1")]
+    assert calls.select("id", "name", "output", "is_error").collect() == [("t", "task", "r", True)]
+
+
+def test_discovery(spark, tmp_path):
+    from convolens.sources import discovery as D
+
+    assert D.allowed(["amp", "cursor", "warp"], ["warp"]) == ["amp", "warp"]
+    assert D.default_path([str(tmp_path / "no"), str(tmp_path)], lambda p: False) == str(tmp_path)
+    df = spark.createDataFrame([("/a/b",), ("/a/b/c",), ("/a",), ("/a/bc",)], "p string")
+    assert [r["p"] for r in df.where(D.related(F.col("p"), "/a/b/")).collect()] == ["/a/b", "/a/b/c", "/a"]
+    assert [r["p"] for r in df.where(D.not_own(F.col("p"), "/a/b")).collect()] == ["/a", "/a/bc"]
+
+
+def test_views(spark, sf_dir):
+    from convolens.operators import views
+    from convolens.operators.filters import Filters
+    from convolens.plans import lens
+
+    s = lens.store(spark, sf_dir)
+    found = views.conversation_list(s, Filters(adapter="codex"), 2, 0)
+    assert found["rows"].count() == 2 and found["page"].first()["has_more"]
+    assert views.trace(s, "c8")["tree"]["id"] == "c8"
+    assert views.home(s)["recent"].count() == 6
+    assert views.dataset_manifest(s.conversations).first()["traces"] > 0
+    assert views.merged_pages(found["rows"], found["rows"]).count() == 2
