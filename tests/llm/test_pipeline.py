@@ -29,3 +29,11 @@ def test_contract_columns(spark, sf_dir):
     }
     for name, columns in want.items():
         assert columns.items() <= dict(registered.QUERIES[name](spark, sf_dir).dtypes).items(), name
+
+
+def test_oracles(spark, sf_dir):
+    from ..compare import connect, differences
+
+    db = connect(sf_dir)
+    for name, sql in registered.ORACLE.items():
+        assert differences(registered.QUERIES[name](spark, sf_dir), db, sql) == [], name
