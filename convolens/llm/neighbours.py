@@ -177,7 +177,7 @@ def _descent(nodes: DataFrame, dtype: str, k: int, bits: int, graph: DataFrame |
 
 def _linked(graph: DataFrame, nodes: DataFrame, dtype: str, threshold: float, scratch: Scratch) -> DataFrame:
     """(nid, component, links, linked_rows): links inside each component, by comparing its blocks."""
-    near = graph.where(F.col("sim") >= threshold - 1e-9).select("u", "v")
+    near = graph.where(F.col("sim") >= threshold).select("u", "v")
     parts = scratch.table(components(near, scratch).select(F.col("node").alias("nid"), "component"), "parts")
     blocks = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n"))
     x = F.pmod(F.xxhash64("nid"), F.col("n")).cast("int")
