@@ -27,6 +27,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge down and none stands in the middle: then nothing can change any more."""
+    if not edges.groupBy("a").count().where("count > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for each node with an edge; component is the smallest node reachable.
 
@@ -36,11 +43,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     a, b = edges.columns[:2]
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
     now = scratch.table(edges, "edges")
-    before = None
-    while True:
-        done = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if done == before or not done[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-        before, old = done, now
-        now = scratch.table(_small_star(_large_star(now)), "edges")
+    while not _is_stars(now):
+        old = now
+        now = scratch.table(_small_star(_large_star(old)), "edges")
         scratch.drop(old)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -6,8 +6,9 @@
    one row for each batch to the shuffle.
 2. Lines that share a band anywhere form candidate groups.
 3. The texts of candidate lines are fetched by a second pass, which a fixed-size bitmap of their
-   hashes filters, and each pair that may join two parts of a group is compared by exact Jaccard
-   similarity of its shingle sets. Large groups are compared as pairs of chunks.
+   hashes filters. In a group each pair that may join two parts of it, and whose bins agree often
+   enough to be similar, is compared by exact Jaccard similarity of its shingle sets. Large groups
+   are compared as pairs of chunks.
 4. Distributed union-find over the verified links; the first line of each component stays.
 
 A line is identified by a 64-bit hash of its text.
@@ -33,6 +34,8 @@ BINS = BANDS * ROWS
 #: Lines of a candidate group that one task compares.
 CHUNK_LINES = 1000
 BITMAP_BITS = 1 << 25
+#: Bins that must agree before sets are compared; at the threshold fewer do in one pair of a million.
+LEAST_BINS = BINS // 2
 _SEGMENT = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -219,21 +222,26 @@ def _texts(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "h long, line string")
 
 
-def join_similar(lines: list[str]) -> list[int]:
-    """For each line the place of its part's first line, where similar lines share a part."""
-    part, members, sets = [], {}, [shingles(x) for x in lines]
-    for i, own in enumerate(sets):
-        near = [p for p, m in members.items() if any(similar(own, sets[j]) for j in m)]
-        into = min(near, default=i)
-        joined = [i]
-        for p in near:
-            joined += members.pop(p)
-        members[into] = sorted(joined)
-        part.append(into)
-    for p, m in members.items():
-        for j in m:
-            part[j] = p
-    return part
+def join_similar(lines: list[str], bins: np.ndarray) -> list[int]:
+    """For each line the place of its part's first line, where similar lines share a part; `bins`: their signatures."""
+    part, sets = np.arange(len(lines)), {}
+
+    def own(i: int) -> set[str]:
+        if i not in sets:
+            sets[i] = shingles(lines[i])
+        return sets[i]
+
+    for i in range(1, len(lines)):
+        agree = (bins[:i] == bins[i]).sum(1)
+        near = np.flatnonzero(agree >= LEAST_BINS)
+        near = near[np.argsort(-agree[near], kind="stable")]
+        while len(near):
+            j, near = near[0], near[1:]
+            if similar(own(i), own(int(j))):
+                a, b = sorted((part[i], part[j]))
+                part[part == b] = a
+                near = near[part[near] != a]
+    return part.tolist()
 
 
 def _verified_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
@@ -246,21 +254,27 @@ def _verified_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.select(F.xxhash64("group", F.least("x", "y"), F.greatest("x", "y")).alias("k"), "h", "line")
     dealt = rows.repartition("k").sortWithinPartitions("k", "h")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(own: dict[int, str]) -> list[tuple[int, int]]:
+    def links(groups: list[dict[int, str]]) -> pa.RecordBatch:
+        bins = signatures([x for own in groups for x in own.values()])
+        out, at = [], 0
+        for own in groups:
             ids = list(own)
-            return [(ids[p], ids[i]) for i, p in enumerate(join_similar(list(own.values()))) if p != i]
+            parts = join_similar(list(own.values()), bins[at : at + len(ids)])
+            out += [(ids[p], ids[i]) for i, p in enumerate(parts) if p != i]
+            at += len(ids)
+        return _pairs(out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, {}
         for batch in batches:
-            out = []
+            whole = []
             for k, h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if k != key:
-                    out += links(own)
+                    whole.append(own)
                     key, own = k, {}
                 own[h] = line
-            yield _pairs(out)
-        yield _pairs(links(own))
+            yield links(whole)
+        yield links([own])
 
     return dealt.mapInArrow(run, "a long, b long")
 
