@@ -33,6 +33,8 @@ BANDS, ROWS = 10, 4
 BINS = BANDS * ROWS
 #: Lines of a candidate group that one task compares.
 CHUNK_LINES = 1000
+#: Shingle sets that a task holds at once.
+KEPT_SETS = 256
 BITMAP_BITS = 1 << 25
 #: Bins that must agree before sets are compared; at the threshold fewer do in one pair of a million.
 LEAST_BINS = BINS // 2
@@ -228,6 +230,8 @@ def join_similar(lines: list[str], bins: np.ndarray) -> list[int]:
 
     def own(i: int) -> set[str]:
         if i not in sets:
+            if len(sets) >= KEPT_SETS:  # they are made again when needed
+                sets.clear()
             sets[i] = shingles(lines[i])
         return sets[i]
 
