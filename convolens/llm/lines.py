@@ -197,11 +197,11 @@ def _candidate_links(lines: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").union(lines.select("h", F.explode("links")))
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
+def _bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     """A bit for each residue of `h`; its size is fixed."""
-    place = (F.pmod("h", F.lit(BITMAP_BITS)) + 1).alias("p")
+    place = (F.pmod("h", F.lit(bits)) + 1).alias("p")
     parts = ids.select(place).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in parts.collect():
         out[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out

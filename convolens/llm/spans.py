@@ -1,5 +1,12 @@
 """Substring dedup: sliding runs of consecutive sentences, hashed, counted globally, removed where repeated.
 
+A sentence of over 12 words is split: in each 12 words of it in a row the word of the least key (clause
+marks first, then by hash) ends a piece. These ends depend on the words around them alone, so of a passage
+of over 50 words at most 12 words at its start and 11 at its end lie in pieces that reach beyond it or differ;
+the other 28 are whole pieces of at most 12 words: a run, wherever the passage starts and with or without
+stops. Each Chinese, Japanese, Thai, Lao, Burmese or Khmer character counts as a word. Below, a sentence
+is also such a piece.
+
 A run starts at each sentence and takes the fewest sentences that make it long enough: three with at
 least 15 words, or two with at least 30. Runs are written once as (hash, document, first and last
 sentence). A hash is counted with map-side sums; only runs whose hash occurs more than once are joined
@@ -19,22 +26,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, replaced
+from .lines import _bitmap
 
 #: (sentences, words) that make a run long enough.
 ENOUGH = ((3, 15), (2, 30))
 #: A sentence with the white space behind it: up to stops that white space follows, or a line's end.
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?![.!?\s])[^.!?\n]*)*(?:[.!?]+|\n|\Z)\s*")
+#: Stops that end a sentence whatever follows, with closing marks and white space.
+_WIDE_STOP = re.compile(r"(?<=[。！？｡।॥։۔؟။។])(?![。！？｡।॥։۔؟။។」』”’）)\s])")
+#: Words of scripts that are written without spaces are single characters.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_SPACED_WORD, _WORD = re.compile(r"\S+\s*"), re.compile(f"[{_UNSPACED}](?:[^\\w\\s]|_)*\\s*|[^\\s{_UNSPACED}]+\\s*")
+#: Words that a piece has at most.
+PIECE_WORDS = 12
+#: Of a map of the repeated hashes that keeps most other runs out of the join.
+BITMAP_BITS = 1 << 27
+_CLAUSE = (",", ";", ":", "，", "、", "；", "：", "،", "؛")
+
+
+def _words(part: str) -> list[str]:
+    """The words of `part`, each with the white space behind it."""
+    return (_WORD if not part.isascii() and _ANY_UNSPACED.search(part) else _SPACED_WORD).findall(part)
+
+
+def _pieces(part: str) -> list[str]:
+    """A sentence, split if it has over PIECE_WORDS words."""
+    if len(part) < 2 * PIECE_WORDS and part.isascii():
+        return [part]
+    words = _words(part)
+    if len(words) <= PIECE_WORDS:
+        return [part]
+    keys = []
+    for w in words:
+        w = w.rstrip()
+        keys.append(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 | (not w.endswith(_CLAUSE)) << 63)
+    ends, best = [], -1
+    for i in range(PIECE_WORDS - 1, len(words)):
+        if best <= i - PIECE_WORDS:
+            own = keys[i - PIECE_WORDS + 1 : i + 1]
+            best = i - own[::-1].index(min(own))  # of equal keys the last
+        elif keys[i] <= keys[best]:
+            best = i
+        else:
+            continue
+        ends.append(best + 1)
+    lead = part[: len(part) - sum(map(len, words))]
+    edges = [0, *(e for e in ends if e < len(words)), len(words)]
+    out = ["".join(words[a:b]) for a, b in zip(edges, edges[1:])]
+    return [lead + out[0], *out[1:]]
 
 
 def sentences(text: str | None) -> list[str]:
-    """Pieces that make up `text` again, each a sentence with what white space follows it."""
-    return [s for s in _SENTENCE.findall(text) if s] if text else []
+    """Pieces that make up `text` again, each a sentence or a piece of one with what white space follows it."""
+    parts = [s for s in _SENTENCE.findall(text) if s] if text else []
+    if parts and not text.isascii() and _WIDE_STOP.search(text):
+        parts = [x for s in parts for x in _WIDE_STOP.split(s) if x]
+    return [x for s in parts for x in _pieces(s)]
 
 
 def runs(text: str | None) -> list[tuple[int, int, bytes]]:
     """(first, last, digest) of the run from each sentence, white space counting as one space."""
     parts = [" ".join(s.split()) for s in sentences(text)]
-    words = [s.count(" ") + 1 if s else 0 for s in parts]
+    words = [0 if not s else s.count(" ") + 1 if s.isascii() else len(_words(s)) for s in parts]
     real = [i for i, n in enumerate(words) if n]
     out, digest, least = [], xxhash.xxh3_128_digest, min(w for _, w in ENOUGH)
     for at in range(len(real)):
@@ -82,7 +136,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "spans")
     spans = scratch.table(_spans(docs, id_col, text_col), "spans")
     counted = spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    later = spans.join(counted, ["h", "g"]).where("again OR NOT (doc_id <=> first)")
+    counted = scratch.table(counted, "counted")
+    wanted = _bitmap(counted, BITMAP_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(0).to_numpy() % BITMAP_BITS
+            yield batch.filter(pa.array((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+
+    later = spans.mapInArrow(run, spans.schema).join(counted, ["h", "g"]).where("again OR NOT (doc_id <=> first)")
     return later.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
 
