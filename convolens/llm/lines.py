@@ -5,18 +5,16 @@
    a band are linked at once and only one of them stands for the band, so a frequent line or band sends
    one row for each batch to the shuffle.
 2. Lines that share a band anywhere form candidate groups.
-3. The texts of candidate lines are fetched by a second pass, which a fixed-size bitmap of their
-   hashes filters. In a group each pair that may join two parts of it, and whose bins agree often
-   enough to be similar, is compared by exact Jaccard similarity of its shingle sets. Large groups
-   are compared as pairs of chunks.
+3. The texts of candidate lines are fetched by a second pass, which a bitmap of their hashes filters, and
+   each pair that shares a band is compared by exact Jaccard similarity (`similar`).
 4. Distributed union-find over the verified links; the first line of each component stays.
 
-A line is identified by a 64-bit hash of its text.
+A line is identified by a 128-bit hash of its text, one in a link by the first half of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, replaced
 from .components import components
+from .similar import Measure, verified_links
 
 SHINGLE_CHARS, SIMILARITY = 8, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8**4)**10 = 0.995.
 BANDS, ROWS = 10, 4
 BINS = BANDS * ROWS
-#: Lines of a candidate group that one task compares.
-CHUNK_LINES = 1000
-#: Shingle sets that a task holds at once.
-KEPT_SETS = 256
-BITMAP_BITS = 1 << 25
-#: Bins that must agree before sets are compared; at the threshold fewer do in one pair of a million.
-LEAST_BINS = BINS // 2
+#: Bits of the map of candidate lines: 16 a line within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 _SEGMENT = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -48,33 +42,20 @@ def normal(line: str) -> str:
     return " ".join(line.split())
 
 
-def line_hash(line: str) -> int:
-    """Of a normal line, signed."""
-    h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+def line_hashes(lines: list[str]) -> np.ndarray:
+    """Two signed 64-bit numbers for each normal line."""
+    made = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines])
+    return np.frombuffer(made, "<i8").reshape(-1, 2)
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE_CHARS] for i in range(max(1, len(line) - SHINGLE_CHARS + 1))}
-
-
-def similar(a: set[str], b: set[str]) -> bool:
-    least, most = sorted((len(a), len(b)))
-    if least < SIMILARITY * most:
-        return False
-    common = len(a & b)
-    return common >= SIMILARITY * (len(a) + len(b) - common)
-
-
-def signatures(lines: list[str]) -> np.ndarray:
-    """BINS minima of each line's shingle hashes."""
-    out = np.full(len(lines) * BINS, _EMPTY, np.uint32)
+def _hashed(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of all character shingles and the places of their lines, in slices of bounded size."""
     part, owners, size, k = [], [], 0, SHINGLE_CHARS
 
-    def flush() -> None:
+    def flush() -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(p) for p in part])
-        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        h, step, scale = codes, 1, _BASE
+        h = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        step, scale = 1, _BASE
         while step < k:  # k is a power of two
             h = h[:-step] * scale + h[step:]
             step, scale = step * 2, scale * scale
@@ -83,9 +64,7 @@ def signatures(lines: list[str]) -> np.ndarray:
         h = (h[good] ^ (h[good] >> np.uint64(29))) * _MIX
         h ^= h >> np.uint64(32)
         h *= _MIX
-        owner = np.repeat(np.array(owners), lengths - (k - 1))
-        slot = owner * BINS + (((h >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)).astype(np.int64)
-        np.minimum.at(out, slot, (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+        return h, np.repeat(np.array(owners), lengths - (k - 1))
 
     with np.errstate(over="ignore"):
         for i, line in enumerate(lines):
@@ -95,10 +74,28 @@ def signatures(lines: list[str]) -> np.ndarray:
                 owners.append(i)
                 size += len(piece)
                 if size >= _SEGMENT:
-                    flush()
+                    yield flush()
                     part, owners, size = [], [], 0
         if part:
-            flush()
+            yield flush()
+
+
+def shingles(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each line."""
+    own: list[list[np.ndarray]] = [[] for _ in lines]
+    for h, owner in _hashed(lines):
+        edges = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(h)]
+        for a, b in zip(edges, edges[1:]):
+            own[owner[a]].append(h[a:b])
+    return [np.unique(x[0] if len(x) == 1 else np.concatenate(x)) for x in own]
+
+
+def _bins(parts: Iterable[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """BINS minima of each of n lines' shingle hashes."""
+    out = np.full(n * BINS, _EMPTY, np.uint32)
+    for h, owner in parts:
+        slot = owner * BINS + (((h >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)).astype(np.int64)
+        np.minimum.at(out, slot, (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
     return _filled(out.reshape(-1, BINS))
 
 
@@ -128,7 +125,11 @@ def bands(bins: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_LINE = pa.struct([("h", pa.int64()), ("no", pa.int32()), ("bands", pa.list_(pa.int64())), ("links", pa.list_(pa.int64()))])
+def _band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    return bands(_bins([(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))] if sets else [], len(sets)))
+
+
+MEASURE = Measure(shingles, _band_keys, SIMILARITY)
 
 
 def _read_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -140,39 +141,46 @@ def _read_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index: dict[str, int] = {}
-            rows, counts = [], []
-            for text in batch.column(2):
-                text = text.as_py()
+            at, nos, edges, counts = [], [], [0], []
+            for text in batch.column(2).to_pylist():
                 parts = text.split("\n") if text else []
-                own = []
                 for no, line in enumerate(parts):
                     if line := normal(line):
-                        new = line not in index
-                        own.append((index.setdefault(line, len(index)), no, new))
-                rows.append(own)
+                        at.append(index.setdefault(line, len(index)))
+                        nos.append(no)
+                edges.append(len(at))
                 counts.append(len(parts))
-            lines = list(index)
-            hashes = [line_hash(x) for x in lines]
-            keys = bands(signatures(lines)) if lines else np.empty((0, BANDS), np.int64)
+            lines, place = list(index), np.array(at, np.int64)
+            hashes = line_hashes(lines)
+            keys = bands(_bins(_hashed(lines), len(lines)))
             first = np.empty(keys.shape, np.int64)
             for b in range(BANDS):
-                _, at, inverse = np.unique(keys[:, b], return_index=True, return_inverse=True)
-                first[:, b] = at[inverse]
-            stands = (first == np.arange(len(lines))[:, None]).tolist()
-            first, keys = first.tolist(), keys.tolist()
-            found = []
-            for own in rows:
-                out = []
-                for i, no, new in own:
-                    mine = [k for k, s in zip(keys[i], stands[i]) if s] if new else []
-                    links = list({hashes[j] for j in first[i] if j != i}) if new else []
-                    out.append({"h": hashes[i], "no": no, "bands": mine, "links": links})
-                found.append(out)
-            arrays = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(found, pa.list_(_LINE))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tk", "n_lines", "lines"])
+                _, once, inverse = np.unique(keys[:, b], return_index=True, return_inverse=True)
+                first[:, b] = once[inverse]
+            stands = first == np.arange(len(lines))[:, None]
+            new = np.zeros(len(place), bool)
+            new[np.unique(place, return_index=True)[1]] = True
+            mine = place[new]  # lines in their order: each once
+            many = np.zeros(len(place), np.int64)
+            many[new] = stands[mine].sum(1)
+            other: list[list[int]] = [[] for _ in range(len(place))]
+            for p in np.flatnonzero(new)[~stands[mine].all(1)].tolist():
+                i = place[p]
+                other[p] = hashes[np.unique(first[i][~stands[i]]), 0].tolist()
+            offsets = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
+            fields = [
+                pa.array(hashes[place, 0]),
+                pa.array(hashes[place, 1]),
+                pa.array(nos, pa.int32()),
+                pa.ListArray.from_arrays(offsets, pa.array(keys[mine][stands[mine]])),
+                pa.array(other, pa.list_(pa.int64())),
+            ]
+            found = pa.StructArray.from_arrays(fields, ["h", "g", "no", "bands", "links"])
+            found = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), found], names=["doc_id", "tk", "n_lines", "lines"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, tk long, n_lines long, lines array<struct<h:long,no:int,bands:array<long>,links:array<long>>>"
+    schema = f"doc_id {kind}, tk long, n_lines long, lines array<struct<h:long,g:long,no:int,bands:array<long>,links:array<long>>>"
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, schema)
 
@@ -197,8 +205,10 @@ def _candidate_links(lines: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").union(lines.select("h", F.explode("links")))
 
 
-def _bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bit for each residue of `h`; its size is fixed."""
+def bitmap(ids: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A bit for each residue of `h`: 16 for each row within the bounds, or as many as given; a power of two."""
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))
     place = (F.pmod("h", F.lit(bits)) + 1).alias("p")
     parts = ids.select(place).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
@@ -207,85 +217,24 @@ def _bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     return out
 
 
-def _texts(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
-    """(h, line) of the lines whose bit is set, once for each batch."""
+def marked(wanted: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of `h` have their bit set."""
+    place = h & (8 * len(wanted) - 1)
+    return (wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[int, str] = {}
-            for text in batch.column(0):
-                for line in (text.as_py() or "").split("\n"):
-                    if line := normal(line):
-                        p = (h := line_hash(line)) % BITMAP_BITS
-                        if wanted[p >> 3] >> (p & 7) & 1:
-                            found[h] = line
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["h", "line"])
-
-    return docs.select(text_col).mapInArrow(run, "h long, line string")
-
-
-def join_similar(lines: list[str], bins: np.ndarray) -> list[int]:
-    """For each line the place of its part's first line, where similar lines share a part; `bins`: their signatures."""
-    part, sets = np.arange(len(lines)), {}
-
-    def own(i: int) -> set[str]:
-        if i not in sets:
-            if len(sets) >= KEPT_SETS:  # they are made again when needed
-                sets.clear()
-            sets[i] = shingles(lines[i])
-        return sets[i]
-
-    for i in range(1, len(lines)):
-        agree = (bins[:i] == bins[i]).sum(1)
-        near = np.flatnonzero(agree >= LEAST_BINS)
-        near = near[np.argsort(-agree[near], kind="stable")]
-        while len(near):
-            j, near = near[0], near[1:]
-            if similar(own(i), own(int(j))):
-                a, b = sorted((part[i], part[j]))
-                part[part == b] = a
-                near = near[part[near] != a]
-    return part.tolist()
-
-
-def _verified_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of lines whose exact similarity reaches the threshold, enough to join all that do.
-
-    `groups` has h, group, chunks. A group of several chunks is compared chunk by chunk.
-    """
-    x = F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int")
-    rows = groups.join(texts, "h").select("h", "line", "group", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("y"))
-    rows = rows.select(F.xxhash64("group", F.least("x", "y"), F.greatest("x", "y")).alias("k"), "h", "line")
-    dealt = rows.repartition("k").sortWithinPartitions("k", "h")
-
-    def links(groups: list[dict[int, str]]) -> pa.RecordBatch:
-        bins = signatures([x for own in groups for x in own.values()])
-        out, at = [], 0
-        for own in groups:
-            ids = list(own)
-            parts = join_similar(list(own.values()), bins[at : at + len(ids)])
-            out += [(ids[p], ids[i]) for i, p in enumerate(parts) if p != i]
-            at += len(ids)
-        return _pairs(out)
+
+def _texts(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
+    """(h, text) of the lines whose bit is set, once for each batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, {}
         for batch in batches:
-            whole = []
-            for k, h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if k != key:
-                    whole.append(own)
-                    key, own = k, {}
-                own[h] = line
-            yield links(whole)
-        yield links([own])
-
-    return dealt.mapInArrow(run, "a long, b long")
-
+            lines = list(dict.fromkeys(x for t in batch.column(0).to_pylist() if t for x in map(normal, t.split("\n")) if x))
+            h = line_hashes(lines)[:, 0]
+            found = marked(shared.value, h)
+            yield pa.RecordBatch.from_arrays([pa.array(h[found]), pa.array([lines[i] for i in np.flatnonzero(found)], pa.string())], names=["h", "text"])
 
-def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return docs.select(text_col).mapInArrow(run, "h long, text string")
 
 
 def _dropped(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -294,17 +243,16 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> t
     lines = read.select(F.explode("lines").alias("x")).select("x.h", "x.bands", "x.links")
     candidates = components(scratch.table(_candidate_links(lines), "candidates"), scratch)
     candidates = scratch.table(candidates.select(F.col("node").alias("h"), F.col("component").alias("group")), "groups")
-    sizes = candidates.groupBy("group").agg(F.ceil(F.count("*") / CHUNK_LINES).alias("chunks"))
-    texts = _texts(docs, text_col, _bitmap(candidates))
-    links = scratch.table(_verified_links(candidates.join(sizes, "group"), texts), "links")
+    links = verified_links(candidates, _texts(docs, text_col, bitmap(candidates)), MEASURE, scratch)
     parts = components(links, scratch).select(F.col("node").alias("h"), "component")
-    places = read.select("doc_id", "tk", F.explode("lines").alias("x")).select("doc_id", "tk", "x.h", "x.no")
-    places = places.join(parts, "h", "left").select("doc_id", "tk", "no", F.coalesce("component", "h").alias("part"))
+    places = read.select("doc_id", "tk", F.explode("lines").alias("x")).select("doc_id", "tk", "x.h", "x.g", "x.no")
+    lone = F.col("component").isNull()
+    places = places.join(parts, "h", "left").select("doc_id", "tk", "no", F.coalesce("component", "h").alias("part"), F.when(lone, F.col("g")).otherwise(0).alias("g"))
     places = scratch.table(places, "places")
-    counted = places.groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    several = scratch.table(places.join(counted, "part"), "several")
-    keep = several.where("doc_id <=> first").groupBy("part").agg(F.min(F.struct("tk", "no")).alias("keep"))
-    gone = several.join(keep, "part").where("NOT (doc_id <=> first AND tk = keep.tk AND no = keep.no)")
+    counted = places.groupBy("part", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    several = scratch.table(places.join(counted, ["part", "g"]), "several")
+    keep = several.where("doc_id <=> first").groupBy("part", "g").agg(F.min(F.struct("tk", "no")).alias("keep"))
+    gone = several.join(keep, ["part", "g"]).where("NOT (doc_id <=> first AND tk = keep.tk AND no = keep.no)")
     return read, gone.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set("no")).alias("dropped"))
 
 

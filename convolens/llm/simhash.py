@@ -10,6 +10,7 @@ dealt by shuffle and not broadcast: a broadcast tree would grow with the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 from .components import components
 
 RADIUS, SHINGLE_WORDS, SEED = 3, 3, 42
@@ -45,15 +46,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint as a signed long."""
+    """(doc_id, tk, fp) of each row; tk: its text's hash; fp: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "tk", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, f"doc_id {kind}, tk long, fp long")
 
 
 class BKTree:
@@ -110,29 +112,34 @@ def _block_masks(blocks: int) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - RADIUS)]
 
 
-#: For splitting a shard again: its other bits by place, in four parts, three times over.
-_FINER = [[sum(1 << i for i in range(64) if i // 4**level % 4 == part) for part in range(4)] for level in range(3)]
+#: The bits outside a mask, dealt in turn to RADIUS + 1 masks of their own.
+_FOUR_PARTS = f"""transform(sequence(0, {RADIUS}), k -> aggregate(
+    filter(filter(sequence(0, 63), i -> (shiftrightunsigned({{mask}}, i) & 1L) = 0), (bit, nth) -> nth % {RADIUS + 1} = k),
+    0L, (sum, bit) -> sum | shiftleft(1L, bit)))"""
 
 
 def _shards(prints: DataFrame, scratch: Scratch, shard_rows: int) -> DataFrame:
-    """(fp, mask, key): one row for each shard that a fingerprint goes to."""
+    """(fp, key): one row for each shard that a fingerprint goes to.
+
+    Two prints of a shard over `shard_rows` still differ in at most RADIUS of the bits outside its mask.
+    These are cut into four parts and the shard is split by each of them, again and again while it is too
+    large: two prints that link agree in one part at least, at every level.
+    """
     n = prints.count()
     blocks = next((b for b in (4, 5, 6) if n <= 64 << min(m.bit_count() for m in _block_masks(b))), 7)
     masks = F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in _block_masks(blocks))))
     keyed = prints.select("fp", masks.alias("mask")).select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    done = None
-    for level in range(len(_FINER) + 1):
-        large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select("key")
-        if level == len(_FINER) or large.isEmpty():
-            return keyed if done is None else done.union(keyed)
-        large = scratch.table(large, "large")
-        small = keyed.join(large, "key", "left_anti").select("fp", "mask", "key")
-        done = small if done is None else done.union(small)
-        more = F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in _FINER[level])))
-        again = keyed.join(large, "key", "left_semi").select("fp", F.col("mask"), more.alias("more"))
-        again = again.select("fp", F.col("mask").bitwiseOR(F.col("more")).alias("mask"), F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("old"), "more")
-        keyed = again.select("fp", "mask", F.xxhash64("old", "more", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    return keyed
+    done = []
+    parts = F.expr(_FOUR_PARTS.format(mask="m"))
+    while True:
+        large = keyed.groupBy("key").agg(F.count("*").alias("n"), F.first("mask").alias("m")).where((F.col("n") > shard_rows) & (F.bit_count("m") <= 63 - RADIUS))
+        large = scratch.table(large.select("key", parts.alias("parts")), "large")
+        if large.isEmpty():
+            return reduce(DataFrame.union, [*done, keyed.select("fp", "key")])
+        done.append(keyed.join(large, "key", "left_anti").select("fp", "key"))
+        again = keyed.join(large, "key").select("fp", "mask", F.col("key").alias("old"), F.explode("parts").alias("more"))
+        again = again.select("fp", F.col("mask").bitwiseOR(F.col("more")).alias("mask"), "more", "old")
+        keyed = scratch.table(again.select("fp", "mask", F.xxhash64("old", "more", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")), "finer")
 
 
 def links(prints: DataFrame, scratch: Scratch, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -167,13 +174,8 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id (smallest id reachable by links).
-
-    A null, empty or blank text has fingerprint 0 and links like any other. Repeated rows keep a row
-    each. A null id keeps its row; it is a component's id only if no other id is there. An empty table
-    gives no rows. Columns beside the id and text are not read.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shard_rows: int) -> DataFrame:
+    """(doc_id, tk, fp, component_id) of each row."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.table(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -182,14 +184,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = members.join(members.groupBy("component").agg(F.min("least").alias("group")), "component").select("fp", "group")
     groups = scratch.table(groups, "groups")
     firsts = distinct.join(groups, "fp", "left").select("fp", F.coalesce("group", "least").alias("component_id"))
-    return prints.join(firsts, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(firsts, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex), component_id (smallest id reachable by links).
+
+    A null, empty or blank text has fingerprint 0 and links like any other. Repeated rows keep a row
+    each. A null id keeps its row; it is a component's id only if no other id is there. An empty table
+    gives no rows. Columns beside the id and text are not read.
+    """
+    return _grouped(docs, id_col, text_col, shard_rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all their columns, whose id is the smallest of its near-duplicate component.
+    """The rows of `docs`, all their columns, whose id is the smallest of their near-duplicate component.
 
-    Rows that share that id all stay; so do rows with a null id, which nothing identifies.
+    A row is known by its id and text: of several texts under one id each goes or stays by its own
+    component. Rows of a component that share its smallest id all stay; so do rows with a null id.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    tk = fresh(docs, "tk")[0]
+    gone = _grouped(docs, id_col, text_col, SHARD_ROWS).where("doc_id != component_id").select(F.col("doc_id").alias(id_col), F.col("tk").alias(tk)).distinct()
+    return docs.withColumn(tk, F.xxhash64(text_col)).join(gone, [id_col, tk], "left_anti").select(docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, replaced
-from .lines import _bitmap
+from .lines import bitmap, marked
 
 #: (sentences, words) that make a run long enough.
 ENOUGH = ((3, 15), (2, 30))
@@ -137,7 +137,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = scratch.table(_spans(docs, id_col, text_col), "spans")
     counted = spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
     counted = scratch.table(counted, "counted")
-    wanted = _bitmap(counted, BITMAP_BITS)
+    wanted = bitmap(counted, BITMAP_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

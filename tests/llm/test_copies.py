@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from convolens.llm import copies
+from convolens.llm import copies, similar
 
 from .test_operators import closure, prose
 
@@ -54,7 +54,7 @@ def test_near_copies_equal_brute_force(spark):
 
 
 def test_large_groups_are_compared_by_chunks(spark, monkeypatch):
-    monkeypatch.setattr(copies, "CHUNK_TEXTS", 4)
+    monkeypatch.setattr(similar, "PIECE_ROWS", 4)
     test_near_copies_equal_brute_force(spark)
 
 

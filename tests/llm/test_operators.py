@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from convolens.llm import decontaminate, lines, neighbours, packing, pii, secrets, sharding, simhash, spans, toxicity
+from convolens.llm import copies, decontaminate, lines, neighbours, packing, pii, secrets, sharding, similar, simhash, spans, toxicity
 from convolens.llm import queries as registered
 from convolens.llm.common import Scratch
 from convolens.llm.components import components
@@ -149,7 +149,15 @@ def test_simhash(docs, nothing, rows, shard_rows):
     assert simhash.near_duplicates(nothing).count() == 0
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in collected(kept)} == {None, *(least[root[prints[t]]] for i, t in rows if i is not None)}
+    assert Counter((r["doc_id"], r["text"]) for r in collected(kept)) == Counter((i, t) for i, t in rows if i is None or i == least[root[prints[t]]])
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one_of_each, copies.drop_near_copies])
+def test_texts_under_one_id_go_by_themselves(spark, keep):
+    a, b, c = (prose(random.Random(k), 60) for k in range(3))
+    data = [(1, a), (7, a), (7, b), (7, b), (9, c), (9, a), (None, a)]
+    kept = keep(spark.createDataFrame(data, "doc_id long, text string"))
+    assert Counter((r["doc_id"], r["text"]) for r in collected(kept)) == Counter([(1, a), (7, b), (7, b), (9, c), (None, a)])
 
 
 def test_bk_tree_and_finer_shards(spark):
@@ -205,6 +213,14 @@ def test_packing(docs, nothing, rows, capacity):
 # 4 lines
 
 
+def char_shingles(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
 def plain_dropped(rows):
     places, seen = [], set()
     for i, t in sorted(((i, t) for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0)):
@@ -212,8 +228,8 @@ def plain_dropped(rows):
             seen.add((i, t))
             places += [(i, no, lines.normal(x), t) for no, x in enumerate((t or "").split("\n")) if lines.normal(x)]
     texts = list(dict.fromkeys(p[2] for p in places))
-    sets = [lines.shingles(t) for t in texts]
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if lines.similar(sets[i], sets[j])]
+    sets = [char_shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
     root = closure(links, range(len(texts)))
     index, first, out = {t: k for k, t in enumerate(texts)}, set(), defaultdict(list)
     for i, no, x, t in places:
@@ -224,13 +240,13 @@ def plain_dropped(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1000, 3])
-def test_lines(docs, nothing, rows, chunk, monkeypatch):
-    monkeypatch.setattr(lines, "CHUNK_LINES", chunk)
+@pytest.mark.parametrize("piece", [1000, 3])
+def test_lines(docs, nothing, rows, piece, monkeypatch):
+    monkeypatch.setattr(similar, "PIECE_ROWS", piece)
     got = collected(lines.duplicate_lines(docs))
     want = plain_dropped(rows)
     assert Counter((r["doc_id"], r["n_lines"], tuple(r["dropped"])) for r in got) == Counter((i, len(t.split("\n")) if t else 0, tuple(want[i, t])) for i, t in rows)
-    if chunk == 1000:
+    if piece == 1000:
         kept = lines.dedup_lines(docs)
         assert kept.columns == docs.columns
         clean = Counter()
@@ -243,6 +259,57 @@ def test_lines(docs, nothing, rows, chunk, monkeypatch):
         assert lines.duplicate_lines(nothing).count() == 0
 
 
+def line_families(rng, families, size, edits):
+    """Lines of families around one line each, some words replaced: their similarities lie on both sides of 0.8."""
+    out = []
+    for _ in range(families):
+        words = prose(rng, 40).split(" ")
+        for _ in range(size):
+            own = list(words)
+            for i in rng.sample(range(40), rng.randint(0, edits)):
+                own[i] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("piece", [1000, 20])
+def test_recall_of_planted_line_pairs(spark, piece, monkeypatch):
+    monkeypatch.setattr(similar, "PIECE_ROWS", piece)
+    rng = random.Random(21)
+    texts = line_families(rng, 150, 2, 4) + line_families(rng, 3, 90, 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    sets = [char_shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    near = sum(jaccard(sets[i], sets[j]) < 0.85 for i, j in pairs)
+    assert near > 300
+    root = closure(pairs, range(len(texts)))
+    first, want = {}, set()
+    for i in range(len(texts)):
+        want |= {i} if first.setdefault(root[i], i) != i else set()
+    got = {r["doc_id"] for r in lines.duplicate_lines(docs).collect() if r["n_dropped"]}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_hot_keys_are_compared_whole(spark, monkeypatch):
+    """Strings that all share a key, chains among them: the components equal those of all pairs."""
+    rng = random.Random(8)
+    monkeypatch.setattr(similar, "PIECE_ROWS", 7)
+    sets = {}
+    for family in range(6):
+        base = [rng.getrandbits(62) for _ in range(30)]
+        for k in range(25):
+            sets[family * 100 + k] = {*base[k % 5 :], *(rng.getrandbits(62) for _ in range(k % 5 + (k % 7 == 0) * 9))}
+    texts = {h: " ".join(map(str, sorted(s))) for h, s in sets.items()}
+    measure = similar.Measure(lambda t: [np.array(sorted(map(int, x.split())), np.uint64) for x in t], lambda s: np.zeros((len(s), 1), np.int64))
+    rows = spark.createDataFrame([(h, t, 1) for h, t in texts.items()], "h long, text string, group long")
+    scratch = Scratch(spark, "test")
+    found = similar.verified_links(rows.select("h", "group"), rows.select("h", "text"), measure, scratch).collect()
+    pairs = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    assert all(jaccard(sets[r["a"]], sets[r["b"]]) >= 0.8 for r in found)
+    assert closure([(r["a"], r["b"]) for r in found], sets) == closure(pairs, sets)
+    assert len(set(closure(pairs, sets).values())) > 12
+
+
 # 5 pii
 
 
