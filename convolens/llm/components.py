@@ -1,16 +1,14 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
-After each round the components that are plain stars are set aside: nothing can change in them. The
-others go on, so most edges are seen in one round only; rounds grow with the logarithm of the longest
-chain. Each round's edges are written to the shared folder, so that the plan stays short and a lost
-executor costs one round. A node with very many edges is pre-aggregated for its minimum, and its join
-partition can be split by the adaptive planner.
+A round is two grouped minima and two joins on the edges' ends; its edges are written to the shared
+folder, so that the plan stays short and a lost executor costs one round. When a round leaves the edges as
+they were (their count and a sum of their hashes), they are stars around the least nodes. Rounds grow with
+the logarithm of the longest chain. A node with very many edges is pre-aggregated for its minimum, and its
+join partition can be split by the adaptive planner.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from .common import Scratch
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,18 +28,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _unfinished(edges: DataFrame) -> DataFrame:
-    """(b): the lower ends of all edges whose component is not a star around its least node.
-
-    An upper end is bad if it has several lower ends or is one itself; a lower end is unfinished if it
-    has a bad upper end or is one. A component without any is a star.
-    """
-    lower = edges.select(F.col("b").alias("a")).distinct()
-    several = edges.groupBy("a").count().where("count > 1").select("a")
-    bad = several.union(lower.join(edges.select("a"), "a", "left_semi")).distinct()
-    return edges.join(bad, "a", "left_semi").select("b").union(bad.select("a")).distinct()
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for each node with an edge; component is the smallest node reachable.
 
@@ -50,15 +36,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     a, b = edges.columns[:2]
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
-    now, done = scratch.table(now, "edges"), []
-    while True:
-        marked = now.join(_unfinished(now).withColumn("open", F.lit(True)), "b", "left").select("a", "b", F.coalesce("open", F.lit(False)).alias("open"))
-        marked = scratch.table(marked, "marked")
-        scratch.drop(now)
-        done.append(marked.where("NOT open").select("a", "b"))
-        left = marked.where("open").select("a", "b")
-        if left.isEmpty():
+    now, seen = scratch.table(now, "edges"), None
+    while (state := now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != seen:
+        if not state[0]:
             break
-        now = scratch.table(_small_star(_large_star(left)), "edges")
-    stars = reduce(DataFrame.union, done)
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
+        old, seen = now, state
+        now = scratch.table(_small_star(_large_star(old)), "edges")
+        scratch.drop(old)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -1,13 +1,10 @@
 """Line dedup: near-equal lines by MinHash, one line kept of each component.
 
 1. Each document is split into lines once. A line's character shingles are hashed into bins (one
-   permutation, empty bins filled from others), and the bins into bands. Lines of one batch that share
-   a band are linked at once and only one of them stands for the band, so a frequent line or band sends
-   one row for each batch to the shuffle.
-2. Lines that share a band anywhere form candidate groups.
-3. The texts of candidate lines are fetched by a second pass, which a bitmap of their hashes filters, and
-   each pair that shares a band is compared by exact Jaccard similarity (`similar`).
-4. Distributed union-find over the verified links; the first line of each component stays.
+   permutation, empty bins filled from others), and the bins into bands.
+2. Lines that share a band are candidate pairs. The texts of these lines are fetched by a second pass, which
+   a bitmap of their hashes filters, and the pairs are compared by exact Jaccard similarity (`similar`).
+3. Distributed union-find over the verified links; the first line of each component stays.
 
 A line is identified by a 128-bit hash of its text, one in a link by the first half of it.
 """
@@ -23,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, replaced
-from .components import components
-from .similar import Measure, verified_links
+from .similar import Measure, nested, similar_parts, standing
 
 SHINGLE_CHARS, SIMILARITY = 8, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8**4)**10 = 0.995.
@@ -135,7 +131,7 @@ MEASURE = Measure(shingles, _band_keys, SIMILARITY)
 def _read_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, tk, n_lines, lines): the lines of each document that are not blank.
 
-    Bands and links are given at the first place of a line in its batch only.
+    Keys are given at the first place of a line in its batch only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,58 +149,27 @@ def _read_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             lines, place = list(index), np.array(at, np.int64)
             hashes = line_hashes(lines)
             keys = bands(_bins(_hashed(lines), len(lines)))
-            first = np.empty(keys.shape, np.int64)
-            for b in range(BANDS):
-                _, once, inverse = np.unique(keys[:, b], return_index=True, return_inverse=True)
-                first[:, b] = once[inverse]
-            stands = first == np.arange(len(lines))[:, None]
+            stands, shares = standing(keys)
             new = np.zeros(len(place), bool)
-            new[np.unique(place, return_index=True)[1]] = True
-            mine = place[new]  # lines in their order: each once
-            many = np.zeros(len(place), np.int64)
-            many[new] = stands[mine].sum(1)
-            other: list[list[int]] = [[] for _ in range(len(place))]
-            for p in np.flatnonzero(new)[~stands[mine].all(1)].tolist():
-                i = place[p]
-                other[p] = hashes[np.unique(first[i][~stands[i]]), 0].tolist()
-            offsets = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
+            new[np.unique(place, return_index=True)[1]] = True  # a line's first place; the others carry no keys
             fields = [
                 pa.array(hashes[place, 0]),
                 pa.array(hashes[place, 1]),
                 pa.array(nos, pa.int32()),
-                pa.ListArray.from_arrays(offsets, pa.array(keys[mine][stands[mine]])),
-                pa.array(other, pa.list_(pa.int64())),
+                pa.array(np.array([len(x) for x in lines], np.int64)[place]),
+                nested(keys[place], stands[place] & new[:, None]),
+                nested(keys[place], shares[place] & new[:, None]),
             ]
-            found = pa.StructArray.from_arrays(fields, ["h", "g", "no", "bands", "links"])
+            found = pa.StructArray.from_arrays(fields, ["h", "g", "no", "chars", "stands", "shares"])
             found = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), found)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), found], names=["doc_id", "tk", "n_lines", "lines"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, tk long, n_lines long, lines array<struct<h:long,g:long,no:int,bands:array<long>,links:array<long>>>"
+    schema = f"doc_id {kind}, tk long, n_lines long, lines array<struct<h:long,g:long,no:int,chars:long,stands:array<long>,shares:array<long>>>"
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, schema)
 
 
-def _candidate_links(lines: DataFrame) -> DataFrame:
-    """(a, b): lines that share a band, each with the least of the band."""
-    dealt = lines.select("h", F.explode("bands").alias("key")).repartition("key").sortWithinPartitions("key", "h")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last = None
-        for batch in batches:
-            h, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(h):
-                continue
-            start = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
-            at = np.maximum.accumulate(np.where(start, np.arange(len(h)), -1))
-            least = np.where(at >= 0, h[at], last if last is not None else 0)
-            last_key, last = key[-1], least[-1]
-            near = h != least
-            yield pa.RecordBatch.from_arrays([pa.array(least[near]), pa.array(h[near])], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").union(lines.select("h", F.explode("links")))
-
-
 def bitmap(ids: DataFrame, bits: int | None = None) -> np.ndarray:
     """A bit for each residue of `h`: 16 for each row within the bounds, or as many as given; a power of two."""
     if bits is None:
@@ -240,11 +205,9 @@ def _texts(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
 def _dropped(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The documents with their lines; (doc_id, tk, dropped): the numbers of lines to drop."""
     read = scratch.table(_read_lines(docs, id_col, text_col), "lines")
-    lines = read.select(F.explode("lines").alias("x")).select("x.h", "x.bands", "x.links")
-    candidates = components(scratch.table(_candidate_links(lines), "candidates"), scratch)
-    candidates = scratch.table(candidates.select(F.col("node").alias("h"), F.col("component").alias("group")), "groups")
-    links = verified_links(candidates, _texts(docs, text_col, bitmap(candidates)), MEASURE, scratch)
-    parts = components(links, scratch).select(F.col("node").alias("h"), "component")
+    lines = read.select(F.explode("lines").alias("x")).select("x.h", "x.chars", "x.stands", "x.shares")
+    parts = similar_parts(lines, lambda wanted: _texts(docs, text_col, bitmap(wanted)), MEASURE, scratch)
+    parts = parts.select(F.col("node").alias("h"), "component")
     places = read.select("doc_id", "tk", F.explode("lines").alias("x")).select("doc_id", "tk", "x.h", "x.g", "x.no")
     lone = F.col("component").isNull()
     places = places.join(parts, "h", "left").select("doc_id", "tk", "no", F.coalesce("component", "h").alias("part"), F.when(lone, F.col("g")).otherwise(0).alias("g"))

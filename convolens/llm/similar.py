@@ -1,11 +1,13 @@
-"""Links of near-equal strings: banded candidates, exact Jaccard similarity, every candidate pair accounted for.
+"""Parts of near-equal strings: banded candidates, exact Jaccard similarity, every candidate pair accounted for.
 
 A measure gives each string its sorted distinct shingle hashes and a key for each MinHash band; two strings
-that share a key are a candidate pair. Candidate groups are what shared keys join.
+that share a key are a candidate pair.
 
-1. A group that fits one task is compared there: its candidate pairs, but for those already in one part.
-2. A larger group is dealt by single keys. A key with more strings than a task holds is split by hash, and its
-   least string goes to each piece, so that a family of copies is joined across pieces by linear work.
+1. Strings of one batch that share a key are known to meet; of them one stands for the key. Standing strings
+   are sorted by key, and those that aren't alone join the members, so a frequent key sends one row a batch.
+2. Of several keys with the same members one is compared. A key with more strings than a task holds is split
+   by hash, and its least string goes to each piece, so that a family of copies is joined across pieces by
+   linear work.
 3. Where such a key still holds several parts, the strings outside its largest part are compared with all
    strings of the key, piece by piece. No pair of strings is left out, and none is emitted that isn't similar.
 """
@@ -47,12 +49,12 @@ class Measure:
         common = np.count_nonzero(both[1:] == both[:-1])
         return bool(common >= self.similarity * (least + most - common))
 
-    def join(self, sets: list[np.ndarray], keys: np.ndarray, part: np.ndarray, old: int = 0) -> list[tuple[int, int]]:
-        """Places (i, j) of similar candidate pairs, enough to join all of them; `part`: what is joined already.
+    def join(self, sets: list[np.ndarray], keys: np.ndarray, part: np.ndarray, old: int = 0) -> np.ndarray:
+        """`part` after all similar candidate pairs are joined.
 
         With `old`, only pairs of one of the first `old` strings and one of the others count.
         """
-        size, out = np.array([len(s) for s in sets]), []
+        size = np.array([len(s) for s in sets])
         for i in range(old or 1, len(sets)):
             to = old or i
             near = np.flatnonzero((keys[:to] == keys[i]).any(1))
@@ -62,19 +64,64 @@ class Measure:
             while len(near):
                 j, near = int(near[0]), near[1:]
                 if self.similar(sets[i], sets[j]):
-                    out.append((j, i))
                     part[part == part[i]] = part[j]
                     near = near[part[near] != part[i]]
-        return out
+        return part
 
 
-def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+def standing(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each string and band of a batch: whether it is the first with its key; whether others have it too."""
+    first, several = np.zeros(keys.shape, bool), np.zeros(keys.shape, bool)
+    for b in range(keys.shape[1]):
+        _, at, inverse, n = np.unique(keys[:, b], return_index=True, return_inverse=True, return_counts=True)
+        first[at, b] = True
+        several[:, b] = n[inverse] > 1
+    return first, several
+
+
+def nested(values: np.ndarray, chosen: np.ndarray) -> pa.ListArray:
+    """The chosen values of each row."""
+    offsets = np.r_[0, np.cumsum(chosen.sum(1))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[chosen]))
+
+
+def _members(strings: DataFrame) -> DataFrame:
+    """(key, h, chars) of each string that shares a key."""
+    dealt = strings.select(F.explode("stands").alias("key"), "h", "chars").repartition("key").sortWithinPartitions("key", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, and whether its key has several strings
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, h, chars = (c.to_numpy() for c in batch.columns)
+            late = held is not None
+            if late:
+                key, h, chars = np.r_[held[0], key], np.r_[held[1], h], np.r_[held[2], chars]
+            same, new = key[1:] == key[:-1], h[1:] != h[:-1]
+            distinct = np.r_[True, ~same | new]  # of equal rows the first
+            starts = np.r_[True, ~same]
+            group = np.cumsum(starts) - 1
+            n = np.bincount(group, distinct)
+            several = n[group] > 1
+            if late and held[3]:
+                several[group == 0] = True
+                distinct[0] = False  # it was sent
+            last = group[-1]
+            send = distinct & several
+            open_ = bool(n[last] > 1 or (late and held[3] and last == 0))
+            held = (key[-1:], h[-1:], chars[-1:], open_)
+            yield pa.RecordBatch.from_arrays([pa.array(c[send]) for c in (key, h, chars)], names=["key", "h", "chars"])
+
+    met = strings.where(F.size("shares") > 0).select(F.explode("shares").alias("key"), "h", "chars")
+    return dealt.mapInArrow(run, "key long, h long, chars long").union(met).distinct()
 
 
 def _compared(rows: DataFrame, measure: Measure) -> DataFrame:
-    """Links (a, b) among the rows (k, asks, h, part, text) of equal k; with rows that ask, only of those with the others."""
+    """Links (a, b) between parts among the rows (k, asks, h, part, text) of equal k, stars around the least.
+
+    With rows that ask, only pairs of one of these and one of the others count.
+    """
     chars = rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
     dealt = rows.repartition(max(1, math.ceil(chars / DEALT_CHARS)), "k").sortWithinPartitions("k", "asks", "h")
 
@@ -84,10 +131,15 @@ def _compared(rows: DataFrame, measure: Measure) -> DataFrame:
         keys, at, out = measure.keys(sets), 0, []
         for own in groups:
             mine = slice(at, at := at + len(own))
-            names = {p: n for n, p in enumerate(dict.fromkeys(x[3] for x in own))}
+            names = sorted({x[3] for x in own})
+            place = {p: n for n, p in enumerate(names)}
+            before = np.array([place[x[3]] for x in own])
             old = sum(not x[1] for x in own) if own[-1][1] else 0
-            found = measure.join(sets[mine], keys[mine], np.array([names[x[3]] for x in own]), old)
-            out += [(own[i][2], own[j][2]) for i, j in found]
+            after = measure.join(sets[mine], keys[mine], before.copy(), old)
+            least: dict[int, int] = {}
+            for p, q in sorted(set(zip(before.tolist(), after.tolist()))):
+                if least.setdefault(q, p) != p:
+                    out.append((names[least[q]], names[p]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,38 +161,22 @@ def _compared(rows: DataFrame, measure: Measure) -> DataFrame:
     return dealt.select("k", "asks", "h", "part", "text").mapInArrow(run, "a long, b long")
 
 
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+
 def _pieces() -> Column:
     """Tasks that the grouped rows (with `chars`) need."""
     return F.greatest(F.ceil(F.count("*") / PIECE_ROWS), F.ceil(F.sum("chars") / PIECE_CHARS), F.lit(1)).cast("int")
 
 
-def _by_key(texts: DataFrame, measure: Measure, scratch: Scratch) -> DataFrame:
-    """Links among the strings (h, text, chars) of large groups."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = measure.keys(measure.sets(batch.column(2).to_pylist()))
-            h, chars = (np.repeat(batch.column(c).to_numpy(), keys.shape[1]) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(h), pa.array(chars)], names=["key", "h", "chars"])
-
-    keyed = scratch.table(texts.select("h", "chars", "text").mapInArrow(run, "key long, h long, chars long"), "keyed")
-    keys = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least"), _pieces().alias("pieces")).where("n > 1")
-    keys = scratch.table(keys, "keys")
-    split = F.pmod(F.xxhash64("h", "key"), F.col("pieces")).cast("int")
-    own = keyed.join(keys, "key").select("key", split.alias("piece"), "h")
-    least = keys.where("pieces > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("least").alias("h"))
-    rows = own.union(least).distinct().join(texts, "h")
-    rows = rows.select(F.xxhash64("key", "piece").alias("k"), F.lit(False).alias("asks"), "h", F.col("h").alias("part"), "text")
-    links = scratch.table(_compared(scratch.table(rows, "dealt"), measure), "links")
-    wide = keys.where("pieces > 1").select("key", "pieces")
-    if wide.isEmpty():
-        return links
-    parts = components(links, scratch).select(F.col("node").alias("h"), "component")
-    placed = keyed.join(wide, "key").join(parts, "h", "left").select("key", "pieces", "h", "chars", F.coalesce("component", "h").alias("part"))
+def _asked(members: DataFrame, parts: DataFrame, texts: DataFrame, measure: Measure, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between the parts inside keys of several pieces; `members`: their (key, h, chars, pieces)."""
+    placed = members.join(parts.toDF("h", "component"), "h", "left").select("key", "pieces", "h", "chars", F.coalesce("component", "h").alias("part"))
     placed = scratch.table(placed, "placed")
-    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    main = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part"))["part"].alias("main")).where("parts > 1")
-    placed = scratch.table(placed.join(main, "key"), "mixed")
+    main = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part"))["part"].alias("main"))
+    placed = scratch.table(placed.join(main.where("parts > 1"), "key"), "mixed")
     asking = placed.where("part != main").groupBy("key").agg(_pieces().alias("asking"))
     both = placed.join(asking, "key")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -148,21 +184,30 @@ def _by_key(texts: DataFrame, measure: Measure, scratch: Scratch) -> DataFrame:
     all_of = both.select("key", at("pieces").alias("y"), spread("asking").alias("x"), F.lit(False).alias("asks"), "h", "part")
     ask = both.where("part != main").select("key", spread("pieces").alias("y"), at("asking").alias("x"), F.lit(True).alias("asks"), "h", "part")
     rows = all_of.union(ask).join(texts, "h").select(F.xxhash64("key", "x", "y").alias("k"), "asks", "h", "part", "text")
-    return links.union(scratch.table(_compared(scratch.table(rows, "asked"), measure), "links"))
+    return scratch.table(_compared(scratch.table(rows, "asked"), measure), "links")
 
 
-def verified_links(groups: DataFrame, texts: DataFrame, measure: Measure, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of similar candidate pairs, enough to join all that are linked.
+def similar_parts(strings: DataFrame, find: Callable[[DataFrame], DataFrame], measure: Measure, scratch: Scratch) -> DataFrame:
+    """(node, component) of each string that is similar to another, by all candidate pairs.
 
-    `groups` has h and group, the candidate groups; `texts` has h and text, possibly repeated.
+    `strings` has h, chars, stands and shares (the keys that `standing` tells), a string any number of times.
+    `find` gives (h, text) of at least the strings whose h it is shown, repeated or not.
     """
-    chars = (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long").alias("chars")
-    rows = groups.join(texts.groupBy("h").agg(F.min("text").alias("text")), "h").select("h", "group", "text", chars)
-    rows = scratch.table(rows, "texts")
-    large = rows.groupBy("group").agg(_pieces().alias("pieces")).where("pieces > 1").select("group")
-    large = scratch.table(large, "large")
-    whole = large.isEmpty()
-    small = rows if whole else rows.join(large, "group", "left_anti")
-    small = small.select(F.col("group").alias("k"), F.lit(False).alias("asks"), "h", F.col("h").alias("part"), "text")
-    links = scratch.table(_compared(small, measure), "links")
-    return links if whole else links.union(_by_key(scratch.table(rows.join(large, "group", "left_semi").select("h", "text", "chars"), "wide"), measure, scratch))
+    members = scratch.table(_members(strings), "members")
+    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("all"), _pieces().alias("pieces"))
+    keys = keys.where("n > 1").groupBy("n", "least", "all").agg(F.min("key").alias("key"), F.first("pieces").alias("pieces"))
+    keys = scratch.table(keys.select("key", "least", "pieces"), "keys")
+    members = scratch.table(members.join(keys, "key").select("key", "h", "chars", "pieces"), "compared")
+    texts = scratch.table(find(members.select("h").distinct()).groupBy("h").agg(F.min("text").alias("text")), "texts")
+    own = members.select("key", F.pmod(F.xxhash64("h", "key"), F.col("pieces")).cast("int").alias("piece"), "h")
+    wide = keys.where("pieces > 1")
+    least = wide.select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("least").alias("h"))
+    rows = own.union(least)
+    rows = rows.join(texts, "h").select(F.xxhash64("key", "piece").alias("k"), F.lit(False).alias("asks"), "h", F.col("h").alias("part"), "text")
+    parts = components(scratch.table(_compared(scratch.table(rows, "dealt"), measure), "links"), scratch)
+    if wide.isEmpty():
+        return parts
+    parts = scratch.table(parts, "parts")
+    top = components(_asked(members.where("pieces > 1"), parts, texts, measure, scratch), scratch).toDF("part", "top")
+    joined = parts.join(top, parts["component"] == top["part"], "left").select("node", F.coalesce("top", "component").alias("component"))
+    return joined.union(top.join(parts, top["part"] == parts["node"], "left_anti").select("part", "top"))

@@ -301,12 +301,12 @@ def test_hot_keys_are_compared_whole(spark, monkeypatch):
             sets[family * 100 + k] = {*base[k % 5 :], *(rng.getrandbits(62) for _ in range(k % 5 + (k % 7 == 0) * 9))}
     texts = {h: " ".join(map(str, sorted(s))) for h, s in sets.items()}
     measure = similar.Measure(lambda t: [np.array(sorted(map(int, x.split())), np.uint64) for x in t], lambda s: np.zeros((len(s), 1), np.int64))
-    rows = spark.createDataFrame([(h, t, 1) for h, t in texts.items()], "h long, text string, group long")
-    scratch = Scratch(spark, "test")
-    found = similar.verified_links(rows.select("h", "group"), rows.select("h", "text"), measure, scratch).collect()
+    data = [(h, t, len(t), [0] if h % 3 == 0 else [], [] if h % 3 == 0 else [0]) for h, t in texts.items()]
+    rows = spark.createDataFrame(data, "h long, text string, chars long, stands array<long>, shares array<long>")
+    found = similar.similar_parts(rows.drop("text"), lambda wanted: rows.select("h", "text"), measure, Scratch(spark, "test")).collect()
     pairs = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
-    assert all(jaccard(sets[r["a"]], sets[r["b"]]) >= 0.8 for r in found)
-    assert closure([(r["a"], r["b"]) for r in found], sets) == closure(pairs, sets)
+    assert closure([(r["node"], r["component"]) for r in found], sets) == closure(pairs, sets)
+    assert all(min(r["node"], r["component"]) == r["component"] for r in found)
     assert len(set(closure(pairs, sets).values())) > 12
 
 
