@@ -409,8 +409,8 @@ def plain_segments(scores):
 def test_segments():
     rng = random.Random(3)
     for _ in range(200):
-        scores = [rng.choice([-0.25, -0.25, -0.25, rng.random() * 2 + 0.01]) for _ in range(rng.randint(0, 24))]
-        got = [(a, b, round(s, 6)) for a, b, s in toxicity.segments([(i, x) for i, x in enumerate(scores) if x > 0])]
+        scores = [rng.choice([-0.25, -0.5 * rng.random() - 0.01, rng.random() * 2 + 0.01]) for _ in range(rng.randint(0, 24))]
+        got = [(a, b, round(s, 6)) for a, b, s in toxicity.segments(np.array(scores))]
         assert got == plain_segments(scores)
 
 
@@ -424,7 +424,9 @@ def test_toxicity_on_held_out_rows(spark, nothing):
             words[rng.randrange(len(words))] = rng.choice(["scoundrel", "blockhead", "villain"])
         data.append((i, " ".join(words)))
         labels.append((i, int(bad)))
-    data += [(None, "villain"), (2000, None), (2001, ""), (3, data[3][1])]
+    neutral = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(300)]
+    two = " ".join(["villain", "blockhead", *neutral, "villain", "villain", "scoundrel", "villain"])
+    data += [(None, "villain"), (2000, None), (2001, ""), (3, data[3][1]), (2002, two)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     known = spark.createDataFrame([*labels, (None, 1), (5, None), (7, 9)], "doc_id long, toxic int")
     got = collected(toxicity.score_documents(df, known))
@@ -434,6 +436,19 @@ def test_toxicity_on_held_out_rows(spark, nothing):
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in held) and len(held) > 300
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    passages = next(r["passages"] for r in got if r["doc_id"] == 2002).split(",")
+    assert passages[0] == "0:1" and passages[-1] == "302:305"
+    model = toxicity.fit(df, known)
+    for r in got[::50]:  # score and passages by plain search over each token's score
+        text = dict(data)[r["doc_id"]]
+        scores = model.words.scores(toxicity.words_of(text)).tolist()
+        chance = np.log(model.k * max(10, len(scores)))
+        plain = [(a, b, model.lam * s - chance) for a, b, s in plain_segments(scores) if model.lam * s > chance]
+        assert r["passages"] == ",".join(f"{a}:{b}" for a, b, _ in plain)
+        x = model.curve[0] + model.curve[1] * np.log1p(sum(s for *_, s in plain))
+        assert abs(r["score"] - 1 / (1 + np.exp(-x))) < 1e-4
+    clean, toxic = ([r["score"] for r in held if truth[r["doc_id"]] == y] for y in (0, 1))
+    assert np.mean([(a < b) + 0.5 * (a == b) for a in clean for b in toxic]) > 0.98  # held-out area under the curve
     swapped = known.withColumn("toxic", known["toxic"] * 0)
     neutral = collected(toxicity.score_documents(df, swapped))
     assert not any(r["predicted"] for r in neutral)
