@@ -2,15 +2,17 @@
 
 Equal vectors of a label are one node. A first neighbour graph comes from buckets of random hyperplanes;
 each round then joins neighbours of neighbours: the nodes around a node are compared with each other and
-improve their lists, until few lists change. Links at the threshold make components. A list that is full
-of links may have missed some, so lists are enlarged to the node's whole component, compared in blocks in
-double precision. An audit compares a bounded set of nodes with all nodes and asks for more rounds with
-longer lists while too few of their links were found.
+improve their lists, until few lists change. A list that is full of links may have missed some: such lists
+are enlarged, and rounds go on. Links at the threshold make components, and links are counted inside each
+component, compared in blocks in double precision. An audit compares a bounded set of nodes of each size of
+label with all nodes; while too few of their links were found, buckets of new hyperplanes are added and rounds
+go on. The last graph is audited too: under LEAST_RECALL the operator fails.
+
+The number of hyperplanes follows each label's own size; a label that fits one bucket is compared whole.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,8 @@ NEIGHBOURS, TABLES, BUCKET_ROWS, CHUNK_ROWS = 10, 6, 48, 192
 #: Nodes around one node that are compared at once; blocks of a component that one task compares.
 JOIN_ROWS, BLOCK_ROWS = 64, 512
 MAX_ROUNDS, SETTLED = 6, 0.02
-AUDIT_QUERIES, LEAST_RECALL, MAX_AUDITS = 2048, 0.97, 3
+#: Nodes of each class of label sizes; the recall that more rounds are run for; the least one that is accepted.
+AUDIT_QUERIES, GOOD_RECALL, LEAST_RECALL, MAX_AUDITS = 512, 0.97, 0.9, 5
 
 
 def _vectors(rows: DataFrame, dtype: str) -> DataFrame:
@@ -85,7 +88,7 @@ def _emit(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBa
 _EDGE = "u long, v long, sim double"
 
 
-def _buckets(nodes: DataFrame, dtype: str, bits: int, scratch: Scratch) -> DataFrame:
+def _buckets(nodes: DataFrame, dtype: str, most_bits: int, seed: int, scratch: Scratch) -> DataFrame:
     """(key, nid, vec): each node once for each table of hyperplanes; large buckets in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,21 +98,22 @@ def _buckets(nodes: DataFrame, dtype: str, bits: int, scratch: Scratch) -> DataF
             for v in batch.column(1):
                 x = np.frombuffer(v.as_py(), dtype)
                 if len(x) not in planes:
-                    planes[len(x)] = np.random.default_rng(11).standard_normal((len(x), TABLES * bits))
-                on = (x.astype(np.float64) @ planes[len(x)] > 0).reshape(TABLES, bits)
-                codes.append((on @ (1 << np.arange(bits))).tolist())
+                    planes[len(x)] = np.random.default_rng(seed).standard_normal((len(x), TABLES * most_bits))
+                on = (x.astype(np.float64) @ planes[len(x)] > 0).reshape(TABLES, most_bits)
+                codes.append((on @ (1 << np.arange(most_bits))).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["nid", "codes"])
 
     codes = nodes.select("nid", "vec").mapInArrow(run, "nid long, codes array<long>")
-    codes = codes.select("nid", F.posexplode("codes").alias("t", "code")).join(nodes.select("nid", "grp"), "nid")
-    keyed = scratch.table(codes.select("nid", F.xxhash64("grp", "t", "code").alias("key")), "buckets")
+    codes = codes.select("nid", F.posexplode("codes").alias("t", "code")).join(nodes.select("nid", "grp", "bits"), "nid").where("bits > 0 OR t = 0")
+    own = F.expr("code & (shiftleft(1L, bits) - 1L)")
+    keyed = scratch.table(codes.select("nid", F.xxhash64("grp", "t", own).alias("key")), "buckets")
     sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("n")).where("n > 1")
     chunk = F.pmod(F.xxhash64("nid", "key"), F.coalesce("n", F.lit(1)))
     return keyed.join(sizes, "key", "left").select(F.xxhash64("key", chunk).alias("key"), "nid").join(nodes.select("nid", "vec"), "nid").select("key", "nid", "vec")
 
 
-def _first_graph(nodes: DataFrame, dtype: str, k: int, bits: int, scratch: Scratch) -> DataFrame:
-    dealt = _buckets(nodes, dtype, bits, scratch).repartition("key").sortWithinPartitions("key", "nid")
+def _bucket_graph(nodes: DataFrame, dtype: str, k: int, most_bits: int, seed: int, scratch: Scratch) -> DataFrame:
+    dealt = _buckets(nodes, dtype, most_bits, seed, scratch).repartition("key").sortWithinPartitions("key", "nid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -126,14 +130,20 @@ def _first_graph(nodes: DataFrame, dtype: str, k: int, bits: int, scratch: Scrat
                 found = []
         yield _emit(found)
 
-    return _best(dealt.mapInArrow(run, _EDGE), k)
+    return dealt.mapInArrow(run, _EDGE)
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k most similar neighbours of each node."""
+def _best(edges: DataFrame, long: DataFrame, k: int, most: int) -> DataFrame:
+    """The k most similar neighbours of each node, `most` of those in `long` (u)."""
     order = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
     one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    return one.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+    ranked = one.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    return ranked.join(long.select("u", F.lit(True).alias("long")), "u", "left").where((F.col("n") <= k) | F.col("long")).select("u", "v", "sim")
+
+
+def _saturated(graph: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(u): nodes whose list is full of links."""
+    return graph.where(F.col("sim") >= threshold).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("u")
 
 
 def _improved(graph: DataFrame, nodes: DataFrame, dtype: str, k: int) -> DataFrame:
@@ -162,12 +172,18 @@ def _improved(graph: DataFrame, nodes: DataFrame, dtype: str, k: int) -> DataFra
     return dealt.mapInArrow(run, _EDGE)
 
 
-def _descent(nodes: DataFrame, dtype: str, k: int, bits: int, graph: DataFrame | None, scratch: Scratch) -> DataFrame:
-    n = nodes.count()
-    if graph is None:
-        graph = scratch.table(_first_graph(nodes, dtype, k, bits, scratch), "graph")
+def _descent(nodes: DataFrame, dtype: str, most_bits: int, seed: int, threshold: float, graph: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Adds a bucket graph to `graph` and runs rounds until few lists change; saturated lists double, up to 16 times as long."""
+    n, k, most = nodes.count(), NEIGHBOURS, NEIGHBOURS
+    found = _bucket_graph(nodes, dtype, k, most_bits, seed, scratch)
+    if graph is not None:
+        found = found.union(graph)
+        most = 16 * k
+    graph = scratch.table(found.groupBy("u", "v").agg(F.max("sim").alias("sim")), "graph")
     for _ in range(MAX_ROUNDS):
-        better = scratch.table(_best(graph.union(_improved(graph, nodes, dtype, k)), k), "graph")
+        long = scratch.table(_saturated(graph, k, threshold), "saturated")
+        most = min(16 * k, 2 * most) if not long.isEmpty() else most
+        better = scratch.table(_best(graph.union(_improved(graph, nodes, dtype, k)), long, k, most), "graph")
         changed = better.join(graph, ["u", "v"], "left_anti").count()
         graph = better
         if changed <= SETTLED * n * k:
@@ -201,36 +217,42 @@ def _linked(graph: DataFrame, nodes: DataFrame, dtype: str, threshold: float, sc
 
 
 def _recall(nodes: DataFrame, linked: DataFrame, dtype: str, threshold: float) -> float:
-    """The share found of all links of a bounded set of nodes, which is compared with every node."""
-    order = F.xxhash64("nid", F.lit("audit"))
-    sample = nodes.join(linked.select("nid", "links"), "nid", "left").select("nid", "grp", "vec", F.coalesce("links", F.lit(0)).alias("links"))
-    sample = sample.orderBy(order).limit(AUDIT_QUERIES).collect()
+    """The share found of all links of a bounded set of nodes, compared with every node: the least over the classes of label sizes."""
+    order = Window.partitionBy("bits").orderBy(F.xxhash64("nid", F.lit("audit")), "nid")
+    sample = nodes.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= AUDIT_QUERIES)
+    sample = sample.join(linked.select("nid", "links"), "nid", "left").select("nid", "grp", "bits", "vec", F.coalesce("links", F.lit(0)).alias("links")).collect()
     by_group: dict[int, tuple[list[int], np.ndarray]] = {}
     for grp in {r["grp"] for r in sample}:
         own = [r for r in sample if r["grp"] == grp]
         by_group[grp] = ([r["nid"] for r in own], _unit(pa.array([bytes(r["vec"]) for r in own], pa.binary()), dtype))
+    shared = nodes.sparkSession.sparkContext.broadcast(by_group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total: dict[int, int] = {}
         for batch in batches:
             grp = batch.column(0).to_numpy()
             for g in np.unique(grp).tolist():
-                if g in by_group:
-                    ids, queries = by_group[g]
+                if g in shared.value:
+                    ids, queries = shared.value[g]
                     mine = batch.filter(pa.array(grp == g))
                     hit = _unit(mine.column(2), dtype) @ queries.T >= threshold
-                    total += int((hit & (mine.column(1).to_numpy()[:, None] != np.array(ids)[None, :])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+                    n = int((hit & (mine.column(1).to_numpy()[:, None] != np.array(ids)[None, :])).sum())
+                    bits = mine.column(3)[0].as_py()
+                    total[bits] = total.get(bits, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["bits", "n"])
 
-    true = nodes.select("grp", "nid", "vec").mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
-    return sum(r["links"] for r in sample) / true if true else 1.0
+    true = {r[0]: r[1] for r in nodes.select("grp", "nid", "vec", "bits").mapInArrow(run, "bits int, n long").groupBy("bits").agg(F.sum("n")).collect()}
+    have: dict[int, int] = {}
+    for r in sample:
+        have[r["bits"]] = have.get(r["bits"], 0) + r["links"]
+    return min((have.get(b, 0) / n for b, n in true.items() if n), default=1.0)
 
 
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest id reachable by links), kept.
 
     Vectors that are null, empty, zero, without a label or hold null or non-finite components have no
-    links. Vectors of different lengths don't link. Equal vectors of a label link with each other; so do
+    links. Vectors of different lengths don't link. Fails if the audit finds a recall under LEAST_RECALL. Equal vectors of a label link with each other; so do
     repeated rows. A null id is a component's id only if it has no other. Other columns are not read.
     """
     scratch = Scratch(rows.sparkSession, "vectors")
@@ -239,15 +261,19 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     all_rows = _vectors(rows, dtype).withColumn("grp", F.when(F.col("vec").isNotNull(), group))
     all_rows = scratch.table(all_rows.withColumn("nid", F.when(F.col("vec").isNotNull(), F.xxhash64("grp", "vec"))), "rows")
     nodes = all_rows.where("vec IS NOT NULL").groupBy("nid", "grp", "vec").agg(F.count("*").alias("rows"), F.min("vec_id").alias("least"))
-    nodes = scratch.table(nodes, "nodes")
-    largest = nodes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    k, graph, bits = NEIGHBOURS, None, max(1, math.ceil(math.log2(max(2, largest / BUCKET_ROWS))))
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"))
+    bits = F.when(F.col("n") <= CHUNK_ROWS, 0).otherwise(F.ceil(F.log2(F.col("n") / BUCKET_ROWS))).cast("int").alias("bits")
+    nodes = scratch.table(scratch.table(nodes, "distinct").join(sizes.select("grp", bits), "grp"), "nodes")
+    most_bits = max(1, nodes.agg(F.max("bits")).first()[0] or 0)
+    graph = None
     for audit in range(MAX_AUDITS):
-        graph = _descent(nodes, dtype, k, bits, graph, scratch)
+        graph = _descent(nodes, dtype, most_bits, 11 + audit, threshold, graph, scratch)
         linked = scratch.table(_linked(graph, nodes, dtype, threshold, scratch), "linked")
-        if audit == MAX_AUDITS - 1 or _recall(nodes, linked, dtype, threshold) >= LEAST_RECALL:
+        recall = _recall(nodes, linked, dtype, threshold)
+        if recall >= GOOD_RECALL:
             break
-        k *= 2
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"the audit found {recall:.3f} of the links after {MAX_AUDITS} rounds of buckets")
     found = nodes.select("nid", "rows", "least").join(linked, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     firsts = found.groupBy("component").agg(F.min("least").alias("component_id"))
     found = found.join(firsts, "component").select("nid", (F.coalesce("linked_rows", F.lit(0)) + F.col("rows") - 1).alias("n_links"), "component_id")

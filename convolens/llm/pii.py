@@ -18,9 +18,14 @@ date   | 1900-01-01 to 2099-12-31                | the day; the order and width
 
 from __future__ import annotations
 
+import hmac
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "date")
 ROUNDS = 8
 
@@ -99,6 +104,12 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(_chars(F.reverse(digits)), F.struct(F.lit(0).alias("t"), F.lit(True).alias("odd")), step)["t"]
 
 
+def _shorter(m: Column, make: Callable[[Column], Column]) -> Column:
+    """`make` of the match, else of the match without its last group, what follows being put back; null if neither is valid."""
+    lead = F.regexp_extract(m, "^(.*[A-Z0-9])[ -][A-Z0-9]+$", 1)
+    return F.coalesce(make(m), F.when(F.length(lead) > 0, F.concat(make(lead), F.substring(m, F.length(lead) + 1, F.length(m)))))
+
+
 def _card(key: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
@@ -191,21 +202,34 @@ def _power26(n: Column) -> Column:
     return F.aggregate(F.array_repeat(F.lit(26).cast("long"), n), F.lit(1).cast("long"), lambda x, y: x * y)
 
 
+def _permuted_letters(key: str, letters: Column) -> Column:
+    """Up to 24 letters, as two halves."""
+    k = F.length(letters)
+    half = F.floor(k / 2).cast("int")
+    left, right = F.substring(letters, F.lit(1), half), F.substring(letters, half + 1, k - half)
+    made = feistel(key, "email", _letters_value(left), _letters_value(right), _power26(half), _power26(k - half))
+    return F.concat(_letters_of(made["l"], half), _letters_of(made["r"], k - half))
+
+
+def _rest(text: Column, size: int, make: Callable[[Column], Column]) -> Column:
+    """What stands behind the first `size` characters, by blocks of that size; null if nothing does."""
+    blocks = F.sequence(F.lit(1), F.floor((F.length(text) - 1) / size).cast("int"))
+    return F.when(F.length(text) > size, F.array_join(F.transform(blocks, lambda i: make(F.substring(text, i * size + 1, F.lit(size)))), ""))
+
+
 def _email(key: str, m: Column) -> Column:
-    """Digits are the right half; letters the left one, with none or one digit half the letters each. Up to 24 letters, 18 digits."""
+    """Digits are the right half, letters the left one; with none or one digit half the letters each. What is longer is permuted by blocks."""
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    letters = F.substring(F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), 1, 24)
-    digits = F.substring(F.regexp_replace(local, "[^0-9]", ""), 1, 18)
+    all_letters, all_digits = F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), F.regexp_replace(local, "[^0-9]", "")
+    letters, digits = F.substring(all_letters, 1, 24), F.substring(all_digits, 1, 18)
     k, d = F.length(letters), F.length(digits)
     mixed = (d > 1) & k.between(1, 12)
-    half = F.when(mixed, k).otherwise(F.floor(k / 2).cast("int"))
-    left, right = F.substring(letters, F.lit(1), half), F.substring(letters, half + 1, k - half)
-    made = feistel(
-        key, "email", _letters_value(left), F.when(mixed, _number(digits)).otherwise(_letters_value(right)), _power26(half), F.when(mixed, _ten(d)).otherwise(_power26(k - half))
-    )
-    letters2 = F.when(mixed, _letters_of(made["l"], k)).otherwise(F.concat(_letters_of(made["l"], half), _letters_of(made["r"], k - half)))
-    digits2 = F.when(mixed, _padded(made["r"], d)).otherwise(F.when(d > 0, _permuted_digits(key, "email", digits)).otherwise(F.lit("")))
-    lower = _refilled(_refilled(local, F.concat(letters2, F.substring(F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), F.lit(25), F.length(local))), "[A-Za-z]"), F.concat(digits2, F.substring(F.regexp_replace(local, "[^0-9]", ""), F.lit(19), F.length(local))), "[0-9]")
+    made = feistel(key, "email", _letters_value(letters), _number(digits), _power26(k), _ten(d))
+    letters2 = F.when(mixed, _letters_of(made["l"], k)).when(k > 0, _permuted_letters(key, letters)).otherwise(F.lit(""))
+    digits2 = F.when(mixed, _padded(made["r"], d)).when(d > 0, _permuted_digits(key, "email", digits)).otherwise(F.lit(""))
+    letters2 = F.concat(letters2, F.coalesce(_rest(all_letters, 24, lambda x: _permuted_letters(key, x)), F.lit("")))
+    digits2 = F.concat(digits2, F.coalesce(_rest(all_digits, 18, lambda x: _permuted_digits(key, "email", x)), F.lit("")))
+    lower = _refilled(_refilled(local, letters2, "[A-Za-z]"), digits2, "[0-9]")
     cased = F.array_join(F.zip_with(_chars(local), _chars(lower), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
     return F.concat(cased, F.lit("@"), domain)
 
@@ -214,7 +238,7 @@ def _pseudonym(key: str, m: Column) -> Column:
     """A struct of kind and value; both null if no check holds."""
     out = None
     for kind, pattern, make in reversed(
-        (("email", "@", _email), ("iban", "^[A-Z]{2}[0-9]{2}", _iban), ("date", f"^(?:{DATE})$", _date), ("ssn", f"^(?:{SSN})$", _ssn), ("ip", f"^(?:{IP})$", _ip), ("phone", f"^(?:{PHONE})$", _phone), ("card", "^[0-9]", _card))
+        (("email", "@", _email), ("iban", "^[A-Z]{2}[0-9]{2}", lambda k, x: _shorter(x, lambda y: _iban(k, y))), ("date", f"^(?:{DATE})$", _date), ("ssn", f"^(?:{SSN})$", _ssn), ("ip", f"^(?:{IP})$", _ip), ("phone", f"^(?:{PHONE})$", _phone), ("card", "^[0-9]", lambda k, x: _shorter(x, lambda y: _card(k, y))))
     ):
         value = make(key, m)
         made = F.struct(F.when(value.isNotNull(), F.lit(kind)).alias("kind"), value.alias("value"))
@@ -228,8 +252,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     A null text stays null and counts nothing; texts without digits or an at sign aren't searched.
     Other columns are passed through; a new column whose name is taken gets a trailing underscore.
     """
-    from .common import fresh
-
+    key = hmac.new(key.encode(), b"pseudonyms", "sha256").hexdigest()  # plans and logs show this, not the key
     text = F.col(text_col)
     found_col, made_col = fresh(docs, "found", "made")
     names = fresh(docs, *(f"n_{k}" for k in KINDS))

@@ -103,6 +103,8 @@ def test_secrets(spark, docs, nothing, rows):
     assert by[900]["base_sha256"] == hashlib.sha256(b"assign:2:20").hexdigest()
     assert by[900]["n_cnn"] == 1 and by[901]["n_cnn"] == 0
     assert [r["n_access"] for r in got if r["doc_id"] is None] == [0, 0, 1] or sorted(r["n_access"] for r in got if r["doc_id"] is None) == [0, 0, 1]
+    deep = spark.createDataFrame([(1, "see /a/path/of/words/and/more/words/in/a/row/and/on/" + "q8Zk3TmX0vB7yLp2" + "Wd9RfJ4sHn6GcA1e" + "/tail/words/that/follow/it/for/long end")], "doc_id long, text string")
+    assert len(secrets.windows(deep.first()["text"], 4, 130)) > 3 and max(map(len, secrets.windows("x" * 500, 0, 500))) == secrets.LENGTH
     assert by[0]["spans"] == "" and by[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert secrets.scan(nothing).count() == 0
 
@@ -320,7 +322,7 @@ def luhn(digits):
 def test_pseudonyms(spark, docs, nothing, rows):
     rng = random.Random(2)
     cards = [c for c in ("4" + "".join(rng.choice("0123456789") for _ in range(15)) for _ in range(3000)) if luhn(c)][:200]
-    texts = [f"a {c} b" for c in cards] + [f"{cards[0]} {cards[0]}", "078-05-1120 000-12-1234", "2024-02-29 2023-02-29 31/12/1999", "GB82 WEST 1234 5698 7654 32", "+1 (262) 555-3752 x 32.198.59.21 999.1.1.1", "John.Doe88@mail4.example.com"]
+    texts = [f"a {c} b" for c in cards] + [f"{cards[0]} {cards[0]}", "078-05-1120 000-12-1234", "2024-02-29 2023-02-29 31/12/1999", "GB82 WEST 1234 5698 7654 32", "+1 (262) 555-3752 x 32.198.59.21 999.1.1.1", "John.Doe88@mail4.example.com", "4111 1111 1111 1111 12/27", "BE68 5390 0754 7034 EUR", "abcdefghijklmnopqrstuvwxyzabcdefgh.1234567890123456789012@x.org"]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_card int")
     out = pii.pseudonymize(df, "k")
     assert out.columns == ["doc_id", "text", "n_card", "n_email", "n_iban", "n_card_", "n_ssn", "n_ip", "n_phone", "n_date"]
@@ -336,6 +338,12 @@ def test_pseudonyms(spark, docs, nothing, rows):
     assert iban[:2] == "GB" and iban[4:8] == "WEST" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4} x \d+(\.\d+){3} 999\.1\.1\.1", got[n + 4]["text"])
     assert re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{2}\d\d@mail4\.example\.com", got[n + 5]["text"])
+    card, rest = got[n + 6]["text"][:19], got[n + 6]["text"][19:]
+    assert luhn(card.replace(" ", "")) and card != "4111 1111 1111 1111" and rest == " 12/27" and got[n + 6]["n_card_"] == 1
+    iban, rest = got[n + 7]["text"][:19].replace(" ", ""), got[n + 7]["text"][19:]
+    assert iban[:2] == "BE" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and rest == " EUR" and "5390" not in iban
+    local = got[n + 8]["text"].split("@")[0]
+    assert re.fullmatch("[a-z]{34}[.][0-9]{22}", local) and local[24:34] != "yzabcdefgh"[:10] and local[-4:] != "9012"
     assert collected(pii.pseudonymize(df, "other"))[0]["text"] != got[0]["text"]
     clean = collected(pii.pseudonymize(docs, "k"))
     assert Counter((r["doc_id"], r["text"]) for r in clean) == Counter(rows)
