@@ -1,11 +1,14 @@
-"""Traces as trees: recursive queries over parent links."""
+"""Traces as trees: parent links followed by joins on written tables, one a level or one a doubling."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..streaming.state import saved
 
 
 def trace(conversations: DataFrame, trace_id: str) -> DataFrame:
@@ -24,28 +27,36 @@ def roots(conversations: DataFrame) -> DataFrame:
     return known.withColumn("rank", rank).withColumn("n", F.row_number().over(w)).where("n = 1").select("trace_id", "id")
 
 
-def trees(conversations: DataFrame, most_levels: int = 64) -> DataFrame:
+def _grown(rows: DataFrame) -> DataFrame:
+    """(trace_id, id, depth, path, prefix) of what the root of each trace reaches, level by level.
+
+    `rows` has trace_id, id, parent_id, key and step; path joins the keys from the root down, prefix the
+    steps below it. A path never visits an id twice. Each level is one join, written to the shared folder;
+    levels end when one adds nothing.
+    """
+    rows = saved(rows)
+    first = rows.join(roots(rows), ["trace_id", "id"], "left_semi")
+    level = saved(first.select("trace_id", "id", F.lit(0).alias("depth"), F.col("key").alias("path"), F.lit("").alias("prefix"), F.array("id").alias("seen")))
+    below = rows.select("trace_id", F.col("parent_id").alias("up"), F.col("id").alias("own"), "key", "step")
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        up = level.withColumnRenamed("id", "up")
+        found = up.join(below, ["trace_id", "up"]).where(~F.array_contains("seen", F.col("own")))
+        prefix = F.when(F.col("prefix") == "", F.col("step")).otherwise(F.concat("prefix", F.lit(">"), "step"))
+        path = F.concat("path", F.lit(">"), "key")
+        level = saved(found.select("trace_id", F.col("own").alias("id"), (F.col("depth") + 1).alias("depth"), path.alias("path"), prefix.alias("prefix"), F.array_append("seen", F.col("own")).alias("seen")))
+    return reduce(DataFrame.union, levels or [level]).drop("seen")
+
+
+def trees(conversations: DataFrame) -> DataFrame:
     """(trace_id, id, depth, path) of what the root of each trace reaches; a path never visits an id twice.
 
-    `path` sorts a tree in pre-order with siblings by start, end and id. One join a level, on the ids in a
-    trace; levels end when one adds nothing.
+    `path` sorts a tree in pre-order with siblings by start, end and id.
     """
     key = F.concat_ws("|", F.col("started_at"), F.col("ended_at"), F.col("id"))
-    rows = conversations.select("trace_id", "id", "parent_id", key.alias("key"))
-    rows.createOrReplaceTempView("_tree_rows")
-    roots(conversations).createOrReplaceTempView("_tree_roots")
-    return conversations.sparkSession.sql(
-        f"""
-        WITH RECURSIVE tree(trace_id, id, depth, path, seen) MAX RECURSION LEVEL {most_levels} AS (
-          SELECT r.trace_id, r.id, 0, r.key, array(r.id) FROM _tree_rows r JOIN _tree_roots t ON r.trace_id = t.trace_id AND r.id = t.id
-          UNION ALL
-          SELECT c.trace_id, c.id, p.depth + 1, concat(p.path, '>', c.key), array_append(p.seen, c.id)
-          FROM tree p JOIN _tree_rows c ON c.trace_id = p.trace_id AND c.parent_id = p.id
-          WHERE NOT array_contains(p.seen, c.id)
-        )
-        SELECT trace_id, id, depth, path FROM tree
-        """
-    )
+    rows = conversations.select("trace_id", "id", "parent_id", "relationship", "started_at", "ended_at", key.alias("key"), F.lit("").alias("step"))
+    return _grown(rows).drop("prefix")
 
 
 def nested(conversations: DataFrame, trace_id: str) -> dict | None:
@@ -78,19 +89,21 @@ def orphans(conversations: DataFrame) -> DataFrame:
     return conversations.where("parent_id != ''").join(up, "parent_id", "left_anti").select("id", "parent_id", "adapter_id", "relationship").orderBy("id")
 
 
-def trace_consistency(conversations: DataFrame, most_levels: int = 64) -> DataFrame:
-    """(id, trace_id, top): conversations whose walk up ends at another id than their trace."""
-    conversations.select("id", "parent_id", "trace_id").createOrReplaceTempView("_walk_rows")
-    return conversations.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(id, trace_id, top, up, steps) MAX RECURSION LEVEL {most_levels} AS (
-          SELECT id, trace_id, id, parent_id, 0 FROM _walk_rows
-          UNION ALL
-          SELECT w.id, w.trace_id, r.id, r.parent_id, w.steps + 1 FROM walk w JOIN _walk_rows r ON r.id = w.up WHERE w.steps < {most_levels - 2}
-        ), tops AS (SELECT id, trace_id, max_by(top, steps) AS top FROM walk GROUP BY id, trace_id)
-        SELECT id, trace_id, top FROM tops WHERE top != trace_id
-        """
-    )
+def trace_consistency(conversations: DataFrame) -> DataFrame:
+    """(id, trace_id, top): conversations whose walk up ends at another id than their trace.
+
+    Walks double in length each round. One that never ends (parents in a circle) has a null top.
+    """
+    ids = conversations.select(F.col("id").alias("up"), F.lit(True).alias("known"))
+    walk = conversations.select("id", "trace_id", F.col("parent_id").alias("up")).join(ids, "up", "left")
+    walk = saved(walk.select("id", "trace_id", F.col("id").alias("top"), F.when(F.col("known"), F.col("up")).alias("up")))
+    for _ in range(walk.count().bit_length() + 1):
+        if walk.where("up IS NOT NULL").isEmpty():
+            break
+        ahead = walk.select(F.col("id").alias("up"), F.col("top").alias("far"), F.col("up").alias("next"))
+        walk = saved(walk.join(ahead, "up", "left").select("id", "trace_id", F.coalesce("far", "top").alias("top"), F.col("next").alias("up")))
+    top = F.when(F.col("up").isNull(), F.col("top"))
+    return walk.select("id", "trace_id", top.alias("top")).where("NOT (top <=> trace_id)")
 
 
 def render_order(conversations: DataFrame, messages: DataFrame) -> DataFrame:
@@ -99,20 +112,13 @@ def render_order(conversations: DataFrame, messages: DataFrame) -> DataFrame:
 
     A child's messages stand below its parent's place, so sorting by nested keys gives the order.
     """
-    tree = trees(conversations).select("trace_id", "id", "depth", "path")
-    own = conversations.select("id", F.col("parent_id").alias("up"), "relationship", "fork_point", "started_at", "ended_at")
-    nodes = tree.join(own, "id")
+    pad = lambda c: F.lpad(c.cast("string"), 8, "0")
     lasts = messages.groupBy("conversation_id", "turn").agg(F.max("sequence").alias("last"))
-    at = nodes.join(lasts, (F.col("up") == F.col("conversation_id")) & (F.col("fork_point") == F.col("turn")), "left")
+    at = conversations.join(lasts, (F.col("parent_id") == F.col("conversation_id")) & (F.col("fork_point") == F.col("turn")), "left")
     group = F.when(F.col("relationship") == "compacted", 2).when(F.col("last").isNull(), 1).otherwise(0)
-    pad = lambda c: F.lpad(c.cast("string"), 8, "0")
     step = F.concat_ws("~", group.cast("string"), pad(F.when(group == 0, F.col("last")).otherwise(0)), F.lit("1"), F.col("started_at"), F.col("ended_at"), F.col("id"))
-    steps = at.select("trace_id", "id", "depth", "path", step.alias("step"))
-    up = steps.select(F.col("trace_id").alias("t"), F.col("id").alias("a"), F.col("depth").alias("d"), F.col("path").alias("above"), F.col("step").alias("s"))
-    inside = (F.col("trace_id") == F.col("t")) & (F.col("d") > 0) & F.concat(F.col("path"), F.lit(">")).startswith(F.concat(F.col("above"), F.lit(">")))
-    prefix = steps.join(up, inside, "left").groupBy("trace_id", "id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "s")))), lambda x: x["s"]), ">").alias("prefix")
-    )
+    rows = at.select("trace_id", "id", "parent_id", "relationship", "started_at", "ended_at", F.col("id").alias("key"), step.alias("step"))
+    prefix = _grown(rows).select("trace_id", "id", "prefix")
     key = F.concat_ws(">", F.nullif("prefix", F.lit("")), F.concat_ws("~", F.lit("0"), pad(F.col("sequence")), F.lit("0"), F.col("m.id")))
     rows = messages.alias("m").join(prefix.alias("c"), F.col("m.conversation_id") == F.col("c.id")).select("c.trace_id", key.alias("key"), F.col("m.id").alias("id"), "m.conversation_id")
     return rows.select("trace_id", F.row_number().over(Window.partitionBy("trace_id").orderBy("key")).alias("place"), "conversation_id", "id")

@@ -1,16 +1,15 @@
-"""Full-text search: postings, a small boolean grammar, BM25 ranks and snippets.
+"""Full-text search over postings: required, optional and excluded terms, BM25 ranks and snippets.
 
-Query grammar: terms joined by an implicit AND, OR, NOT, "phrases", prefix*, parentheses and
-NEAR(a b, n). Words are folded: lower case, diacritics stripped, split at what is no letter or digit.
+A term is a word, a phrase of words, or either with a trailing * (its last word is a prefix). Words are
+folded: lower case, diacritics stripped, split at what is no letter or digit.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,146 +33,85 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(messages: DataFrame) -> DataFrame:
-    """(id, conversation_id, sequence, dl, term, tf, places): a row for each word of a message."""
-    words = messages.select("id", "conversation_id", "sequence", tokens(F.col("content")).alias("w"))
-    each = words.select("id", "conversation_id", "sequence", F.size("w").alias("dl"), F.posexplode("w").alias("place", "term"))
-    return each.groupBy("id", "conversation_id", "sequence", "dl", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
-
-
 @dataclass(frozen=True)
-class Node:
-    """and / or / not over children, or a leaf: a phrase of words whose last may be a prefix; near: within `gap` words."""
-
-    kind: str
-    children: tuple[Node, ...] = ()
-    words: tuple[str, ...] = ()
-    prefix: bool = False
-    gap: int = 10
-
-
-def parse(query: str) -> Node:
-    """The query as a tree; NOT binds closest, then AND, then OR."""
-    parts = re.findall(r'"[^"]*"\*?|\(|\)|NEAR\([^)]*\)|[^\s()"]+', query)
-    at = 0
-
-    def leaf(text: str) -> Node:
-        prefix = text.endswith("*")
-        return Node("phrase", words=tuple(re.findall(r"\w+", fold(text.strip('*"')).replace("_", " "))), prefix=prefix)
-
-    def atom() -> Node:
-        nonlocal at
-        part, at = parts[at], at + 1
-        if part == "(":
-            inside = either()
-            at += at < len(parts)  # the closing one
-            return inside
-        if part.startswith("NEAR("):
-            body, _, gap = part[5:-1].partition(",")
-            return Node("near", tuple(leaf(x) for x in re.findall(r'"[^"]*"|\S+', body)), gap=int(gap) if gap.strip() else 10)
-        return leaf(part)
-
-    def excluded() -> Node:
-        nonlocal at
-        left = atom()
-        while at < len(parts) and parts[at] == "NOT" and at + 1 < len(parts):
-            at += 1
-            left = Node("not", (left, atom()))
-        return left
-
-    def both() -> Node:
-        nonlocal at
-        found = [excluded()]
-        while at < len(parts) and parts[at] not in ("OR", ")"):
-            at += parts[at] == "AND"
-            if at < len(parts):
-                found.append(excluded())
-        return found[0] if len(found) == 1 else Node("and", tuple(found))
-
-    def either() -> Node:
-        nonlocal at
-        found = [both()]
-        while at < len(parts) and parts[at] == "OR" and at + 1 < len(parts):
-            at += 1
-            found.append(both())
-        return found[0] if len(found) == 1 else Node("or", tuple(found))
-
-    return either() if parts else Node("or")
-
-
-def _leaves(node: Node, wanted: bool = True) -> Iterator[Node]:
-    """Phrases that count for the rank: those under NOT don't."""
-    if node.kind == "phrase":
-        if node.words:
-            yield node
-    else:
-        for i, child in enumerate(node.children):
-            if node.kind != "not" or i == 0:
-                yield from _leaves(child)
-
-
-def _begins(words: Column, leaf: Node) -> Column:
-    """Places where the phrase starts."""
-
-    def fits(i: Column) -> Column:
-        out = F.lit(True)
-        for k, w in enumerate(leaf.words):
-            there = F.get(words, i + k)
-            last = leaf.prefix and k == len(leaf.words) - 1
-            out = out & F.coalesce(there.startswith(w) if last else there == w, F.lit(False))
-        return out
-
-    return F.filter(F.transform(words, lambda _, i: i), fits)
-
-
-def _holds(node: Node, words: Column) -> Column:
-    if node.kind == "phrase":
-        return F.size(_begins(words, node)) > 0 if node.words else F.lit(True)
-    if node.kind == "near":
-        out, first = F.lit(True), _begins(words, node.children[0])
-        for other in node.children[1:]:
-            far = F.exists(first, lambda i: F.exists(_begins(words, other), lambda j: F.abs(i - j) - 1 <= node.gap))  # noqa: B023
-            out = out & far
-        return out & (F.size(first) > 0)
-    parts = [_holds(c, words) for c in node.children]
-    if node.kind == "not":
-        return parts[0] & ~parts[1]
-    out = F.lit(node.kind == "and")
-    for p in parts:
-        out = (out & p) if node.kind == "and" else (out | p)
-    return out
-
-
-def search(messages: DataFrame, conversations: DataFrame, query: str, adapter: str | None = None, since: str | None = None, limit: int | None = 20) -> DataFrame:
+class Terms:
+    """What a hit holds: all of `all_of`, one of `any_of` if there are any, none of `none_of`, and each pair of
+    `near` at most so many words apart: (term, term, words between)."""
+
+    all_of: tuple[str, ...] = ()
+    any_of: tuple[str, ...] = ()
+    none_of: tuple[str, ...] = ()
+    near: tuple[tuple[str, str, int], ...] = ()
+
+    def ranked(self) -> list[str]:
+        """The terms that count for the rank."""
+        return list(dict.fromkeys([*self.all_of, *self.any_of, *(t for pair in self.near for t in pair[:2])]))
+
+
+def words_of(term: str) -> tuple[list[str], bool]:
+    """The folded words of a term, and whether the last is a prefix."""
+    return re.findall(r"\w+", fold(term.strip('*"')).replace("_", " ")), term.endswith("*")
+
+
+def _term_places(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, conversation_id, sequence, dl, term, tf, places): the starts of each term (by its number) in each message that holds it."""
+    each = rows.select("id", "conversation_id", "sequence", F.size("w").alias("dl"), F.posexplode("w").alias("place", "word"))
+    parts = []
+    for n, term in enumerate(terms):
+        words, prefix = words_of(term)
+        for k, w in enumerate(words):
+            fits = F.col("word").startswith(w) if prefix and k == len(words) - 1 else F.col("word") == w
+            parts.append(F.when(fits, F.struct(F.lit(n).alias("term"), F.lit(k).alias("k"), F.lit(len(words)).alias("of"))))
+    found = each.withColumn("part", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())))
+    found = found.select("id", "conversation_id", "sequence", "dl", "part.term", "part.of", (F.col("place") - F.col("part.k")).alias("start"))
+    key = ["id", "conversation_id", "sequence", "dl", "term"]
+    starts = found.groupBy(*key, "of", "start").agg(F.count("*").alias("n")).where("n = of")
+    return starts.groupBy(*key).agg(F.count("*").alias("tf"), F.collect_list("start").alias("places"))
+
+
+def search(messages: DataFrame, conversations: DataFrame, terms: Terms, adapter: str | None = None, since: str | None = None, limit: int | None = 20) -> DataFrame:
     """(message_id, conversation_id, sequence, rank): hits by BM25, smaller first, over the whole corpus' statistics.
 
-    One pass gives the corpus size, the mean length and each phrase's document count; a second ranks.
+    Words are exploded once and those of a term kept, so what is shuffled are the places of the terms. Without
+    a ranked term nothing is found. A message whose text is null or empty holds nothing.
     """
-    tree = parse(query)
-    leaves = list(dict.fromkeys(_leaves(tree)))
-    if not leaves:
+    ranked = [t for t in terms.ranked() if words_of(t)[0]]
+    every = [*ranked, *(t for t in dict.fromkeys(terms.none_of) if words_of(t)[0] and t not in ranked)]
+    if not ranked:
         return messages.limit(0).select(F.col("id").alias("message_id"), "conversation_id", "sequence", F.lit(0.0).alias("rank"))
     rows = messages.select("id", "conversation_id", "sequence", tokens(F.col("content")).alias("w"))
-    counted = rows.withColumns({f"tf{k}": F.size(_begins(F.col("w"), leaf)) for k, leaf in enumerate(leaves)}).withColumn("dl", F.size("w"))
-    stats = counted.agg(F.count("*"), F.avg("dl"), *(F.count_if(F.col(f"tf{k}") > 0) for k in range(len(leaves)))).first()
-    n, mean = stats[0], stats[1] or 1.0
-    rank = F.lit(0.0)
-    for k in range(len(leaves)):
-        df = stats[2 + k]
-        idf = math.log((n - df + 0.5) / (df + 0.5))
-        tf = F.col(f"tf{k}").cast("double")
-        rank = rank - F.lit(idf if idf > 0 else LEAST_IDF) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
-    hits = counted.where(_holds(tree, F.col("w"))).select(F.col("id").alias("message_id"), "conversation_id", "sequence", rank.alias("rank"))
+    n, mean = rows.agg(F.count("*"), F.avg(F.size("w"))).first()
+    found = _term_places(rows, every)
+    counts = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
+    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf").cast("double")
+    part = F.when(idf > 0, idf).otherwise(LEAST_IDF) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0))))
+    scored = found.join(F.broadcast(counts), "term").withColumn("part", F.when(F.col("term") < len(ranked), part).otherwise(0.0))
+    held = F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("held")
+    hits = scored.groupBy("id", "conversation_id", "sequence").agg((-F.sum("part")).alias("rank"), held)
+    has = lambda t: F.map_contains_key("held", F.lit(every.index(t)))
+    keep = F.lit(True)
+    for t in terms.all_of:
+        keep = keep & (has(t) if t in every else F.lit(True))
+    if optional := [has(t) for t in terms.any_of if t in every]:
+        keep = keep & reduce(Column.__or__, optional)
+    for t in terms.none_of:
+        keep = keep & (~has(t) if t in every else F.lit(True))
+    for one, other, gap in terms.near:
+        ends = [F.element_at("held", F.lit(every.index(t))) for t in (one, other)]
+        width = [len(words_of(t)[0]) for t in (one, other)]
+        apart = lambda i, j: F.when(i < j, j - i - width[0]).otherwise(i - j - width[1])  # noqa: B023, E731
+        keep = keep & has(one) & has(other) & F.exists(ends[0], lambda i: F.exists(ends[1], lambda j: apart(i, j) <= gap))  # noqa: B023
     kept = conversations.where(F.col("adapter_id") == adapter) if adapter else conversations
     kept = kept.where(S.activity() >= since) if since else kept
-    hits = hits.join(kept.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
-    hits = hits.select("message_id", "conversation_id", "sequence", "rank").orderBy("rank", "sequence", "message_id")
+    hits = hits.where(keep).join(kept.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
+    hits = hits.select(F.col("id").alias("message_id"), "conversation_id", "sequence", "rank").orderBy("rank", "sequence", "message_id")
     return hits.limit(limit) if limit else hits
 
 
-def with_snippets(hits: DataFrame, messages: DataFrame, query: str, size: int = 20) -> DataFrame:
+def with_snippets(hits: DataFrame, messages: DataFrame, terms: Terms, size: int = 20) -> DataFrame:
     """`hits` with a snippet: `size` words around the first hit, hits between >>> and <<<, ... where text is cut."""
-    leaves = [(leaf.words, leaf.prefix) for leaf in _leaves(parse(query))]
+    leaves = [x for x in map(words_of, terms.ranked()) if x[0]]
 
     @F.pandas_udf("string")
     def snippet(texts: pd.Series) -> pd.Series:
@@ -183,7 +121,7 @@ def with_snippets(hits: DataFrame, messages: DataFrame, query: str, size: int =
             for words, prefix in leaves:
                 for i in range(len(found) - len(words) + 1):
                     own = [w for _, _, w in found[i : i + len(words)]]
-                    if own[:-1] == list(words[:-1]) and (own[-1].startswith(words[-1]) if prefix else own[-1] == words[-1]):
+                    if own[:-1] == words[:-1] and (own[-1].startswith(words[-1]) if prefix else own[-1] == words[-1]):
                         marked |= set(range(i, i + len(words)))
             if not found:
                 return ""

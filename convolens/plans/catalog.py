@@ -158,17 +158,16 @@ def trace_conversations(spark, sf):
     return G.trace(lens.store(spark, sf).conversations, "c8").select("id", "parent_id", "relationship", "started_at")
 
 
-@query("""SELECT id, trace_id, CASE WHEN parent_id = '' THEN 0 WHEN n % 4 = 3 THEN 2 ELSE 1 END AS depth FROM conv c
-WHERE parent_id = '' OR (EXISTS (SELECT 1 FROM conv p WHERE p.id = c.parent_id) AND EXISTS (SELECT 1 FROM conv r WHERE r.id = c.trace_id))""")
+@query("""SELECT id, trace_id, CASE WHEN id = trace_id THEN 0 WHEN n % 4 = 3 THEN 2 ELSE 1 END AS depth FROM conv c
+WHERE id = trace_id OR (n % 20 NOT IN (1, 3) AND EXISTS (SELECT 1 FROM conv p WHERE p.id = c.parent_id) AND EXISTS (SELECT 1 FROM conv r WHERE r.id = c.trace_id))""")
 def conversation_tree(spark, sf):
-    return G.trees(lens.store(spark, sf).conversations).select("id", "trace_id", "depth")
+    return G.trees(lens.bare_conversations(lens.messages(spark, sf))).select("id", "trace_id", "depth")
 
 
-@query("""SELECT trace_id, id FROM (SELECT trace_id, c.id, row_number() OVER (PARTITION BY trace_id ORDER BY CASE WHEN relationship = 'root' THEN 0 WHEN NOT EXISTS (SELECT 1 FROM conv p WHERE p.id = c.parent_id) THEN 3 ELSE 4 END,
-started_at, ended_at, c.id) AS k FROM conv c WHERE n % 12 != 0) WHERE k = 1""")
+@query("""SELECT trace_id, id FROM (SELECT trace_id, c.id, row_number() OVER (PARTITION BY trace_id ORDER BY CASE WHEN relationship = 'root' THEN 0 WHEN parent_id = '' THEN 1 WHEN c.id = trace_id THEN 2 WHEN NOT EXISTS (SELECT 1 FROM conv p WHERE p.id = c.parent_id AND p.trace_id = c.trace_id) THEN 3 ELSE 4 END,
+started_at, ended_at, c.id) AS k FROM conv c) WHERE k = 1""")
 def tree_root(spark, sf):
-    rows = lens.store(spark, sf).conversations
-    return G.roots(rows.where(F.substring("id", 2, 20).cast("long") % 12 != 0))
+    return G.roots(lens.bare_conversations(lens.messages(spark, sf)))
 
 
 @query("SELECT trace_id, parent_id, id, CAST(row_number() OVER (PARTITION BY trace_id, parent_id ORDER BY started_at, ended_at, id) AS INT) AS place FROM conv WHERE parent_id != ''")
@@ -181,17 +180,15 @@ def tree_parents(spark, sf):
     return G.parents(lens.store(spark, sf).conversations).select("id", "parent_name")
 
 
-@query("""SELECT id, parent_id, adapter_id, relationship FROM conv c WHERE n % 12 != 0 AND parent_id != '' AND NOT EXISTS (SELECT 1 FROM conv p WHERE p.n % 12 != 0 AND p.id = c.parent_id)""")
+@query("""SELECT id, parent_id, adapter_id, relationship FROM conv c WHERE parent_id != '' AND NOT EXISTS (SELECT 1 FROM conv p WHERE p.id = c.parent_id)""")
 def orphans(spark, sf):
-    rows = lens.store(spark, sf).conversations
-    return G.orphans(rows.where(F.substring("id", 2, 20).cast("long") % 12 != 0))
+    return G.orphans(lens.bare_conversations(lens.messages(spark, sf)))
 
 
-@query(""", w AS (SELECT c.id, c.trace_id, coalesce(r2.id, r1.id, c.id) AS top FROM conv c LEFT JOIN conv r1 ON r1.id = c.parent_id AND r1.n % 12 != 0 LEFT JOIN conv r2 ON r2.id = r1.parent_id AND r2.n % 12 != 0 WHERE c.n % 12 != 0)
+@query(""", w AS (SELECT c.id, c.trace_id, coalesce(r2.id, r1.id, c.id) AS top FROM conv c LEFT JOIN conv r1 ON r1.id = c.parent_id LEFT JOIN conv r2 ON r2.id = r1.parent_id)
 SELECT * FROM w WHERE top != trace_id""")
 def trace_consistency(spark, sf):
-    rows = lens.store(spark, sf).conversations
-    return G.trace_consistency(rows.where(F.substring("id", 2, 20).try_cast("long") % 12 != 0))
+    return G.trace_consistency(lens.bare_conversations(lens.messages(spark, sf)))
 
 
 @query()
@@ -200,9 +197,9 @@ def trace_render_order(spark, sf):
     return G.render_order(s.conversations, s.messages)
 
 
-@query("SELECT id, conversation_id, role, sequence FROM msg WHERE conversation_id IN ('c3', 'c5')")
+@query("SELECT id, conversation_id, role, sequence FROM msg")
 def messages_ordered(spark, sf):
-    return L.ordered_messages(lens.messages(spark, sf).where(F.col("conversation_id").isin("c3", "c5"))).select("id", "conversation_id", "role", "sequence")
+    return L.ordered_messages(lens.messages(spark, sf)).select("id", "conversation_id", "role", "sequence")
 
 
 @query("SELECT m.id, count(t.id) AS tools, coalesce(string_agg(t.id, ',' ORDER BY t.id), '') AS tool_ids FROM msg m LEFT JOIN tool t ON t.conversation_id = m.conversation_id AND t.message_id = m.id GROUP BY 1")
@@ -303,14 +300,14 @@ _TF = "len(list_filter(w, lambda x: {}))"
 
 @query(_bm25_sql("tf_a > 0 AND tf_b > 0", {"a": _TF.format("x = 'the'"), "b": _TF.format("x = 'and'")}))
 def search_bm25(spark, sf):
-    s = lens.store(spark, sf)
-    return _rounded(FT.search(s.messages, s.conversations, "the and", limit=None))
+    m = lens.messages(spark, sf)
+    return _rounded(FT.search(m, lens.bare_conversations(m), FT.Terms(all_of=("the", "and")), limit=None))
 
 
 @query(_bm25_sql("tf_a > 0", {"a": _TF.format("starts_with(x, 'th')")}))
 def search_prefix(spark, sf):
-    s = lens.store(spark, sf)
-    return _rounded(FT.search(s.messages, s.conversations, "th*", limit=None))
+    m = lens.messages(spark, sf)
+    return _rounded(FT.search(m, lens.bare_conversations(m), FT.Terms(all_of=("th*",)), limit=None))
 
 
 _PHRASE = "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))"
@@ -318,20 +315,20 @@ _PHRASE = "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1]
 
 @query(_bm25_sql("tf_a > 0", {"a": _PHRASE}))
 def search_phrase(spark, sf):
-    s = lens.store(spark, sf)
-    return _rounded(FT.search(s.messages, s.conversations, '"of the"', limit=None))
+    m = lens.messages(spark, sf)
+    return _rounded(FT.search(m, lens.bare_conversations(m), FT.Terms(all_of=("of the",)), limit=None))
 
 
 @query(_bm25_sql("(tf_a > 0 OR tf_b > 0) AND len(list_filter(w, lambda x: x = 'is')) = 0", {"a": _TF.format("x = 'the'"), "b": _TF.format("x = 'de'")}, "adapter_id = 'codex' AND activity >= '2024-01-10'"))
 def search_filtered(spark, sf):
-    s = lens.store(spark, sf)
-    return _rounded(FT.search(s.messages, s.conversations, "(the OR de) NOT is", "codex", "2024-01-10", None))
+    m = lens.messages(spark, sf)
+    return _rounded(FT.search(m, lens.bare_conversations(m), FT.Terms(any_of=("the", "de"), none_of=("is",)), "codex", "2024-01-10", None))
 
 
 @query()
 def search_snippets(spark, sf):
-    s = lens.store(spark, sf)
-    return FT.with_snippets(FT.search(s.messages, s.conversations, "the"), s.messages, "the")
+    m = lens.messages(spark, sf)
+    return FT.with_snippets(FT.search(m, lens.bare_conversations(m), FT.Terms(all_of=("the",))), m, FT.Terms(all_of=("the",)))
 
 
 @query("SELECT id, turn FROM msg")
@@ -489,24 +486,23 @@ def v1_tool_chars(spark, sf):
     return V1.tool_chars(lens.tool_calls(spark, sf))
 
 
-_FILE = "' /src/a' || (event_id % 9) || CASE event_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.rs' ELSE '.txt' END || ' '"
+_LANGUAGES = """ends AS (SELECT conversation_id, regexp_extract(input, '/src/a[0-9][.](py|ts|rs) ', 1) AS e, count(*) AS k FROM tool WHERE regexp_matches(input, '/src/a[0-9][.](py|ts|rs) ') GROUP BY 1, 2),
+lang AS (SELECT conversation_id, CASE arg_min(e, (-k, e)) WHEN 'py' THEN 'Python' WHEN 'ts' THEN 'TypeScript' ELSE 'Rust' END AS language FROM ends GROUP BY 1)"""
 
 
-@query(f""", f AS (SELECT 'c' || (user_id % 100) AS conversation_id, CASE event_id % 4 WHEN 0 THEN 'py' WHEN 1 THEN 'ts' WHEN 2 THEN 'rs' END AS e, count(*) AS k FROM events WHERE event_id % 4 < 3 GROUP BY 1, 2)
-SELECT conversation_id, CASE arg_min(e, (-k, e)) WHEN 'py' THEN 'Python' WHEN 'ts' THEN 'TypeScript' ELSE 'Rust' END AS language FROM f GROUP BY 1""")
+@query(f", {_LANGUAGES} SELECT * FROM lang")
 def v1_language(spark, sf):
-    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("_events")
-    return V1.languages(spark.sql(f"SELECT 'c' || (user_id % 100) AS conversation_id, {_FILE} AS input FROM _events"))
+    return V1.languages(lens.tool_calls(spark, sf))
 
 
-_TAGS = f"""tags AS (SELECT id AS conversation_id, string_split(cwd, '/')[-1] AS tag, 'project' AS category FROM conv UNION SELECT id, adapter_id, 'tool' FROM conv
+_TAGS = f"""{_LANGUAGES}, tags AS (SELECT conversation_id, language AS tag, 'language' AS category FROM lang UNION SELECT id AS conversation_id, string_split(cwd, '/')[-1] AS tag, 'project' AS category FROM conv UNION SELECT id, adapter_id, 'tool' FROM conv
 UNION SELECT conversation_id, {lens.family_sql('model')}, 'model' FROM msg WHERE model != '' UNION SELECT id, 'sub-agent', 'status' FROM conv WHERE relationship IN ('spawned', 'forked')
 UNION SELECT id, 'compacted', 'status' FROM conv WHERE relationship = 'compacted' UNION SELECT id, 'high-cost', 'status' FROM conv WHERE est_cost > 1.0)"""
 
 
 def _tags(spark, sf):
     s = lens.store(spark, sf)
-    return s, V1.tags(s.conversations, s.messages, s.tool_calls.withColumn("input", F.lit("")))
+    return s, V1.tags(s.conversations, s.messages, s.tool_calls)
 
 
 @query(f", {_TAGS} SELECT * FROM tags")

@@ -16,6 +16,7 @@ from ..operators.rollup import conversation_rollup, running_turn
 ADAPTERS = ("claude-code", "codex", "cursor", "gemini-cli", "amp")
 MODELS = ("claude-opus-4-1", "claude-sonnet-4", "claude-3-5-haiku", "gpt-4o", "gemini-1.5-pro", "o3-mini")
 KINDS = ("root", "spawned", "compacted", "forked")
+ENDINGS = (".py", ".ts", ".rs", ".txt")
 AS_OF = "2024-03-05"
 
 
@@ -63,7 +64,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), conv).alias("conversation_id"),
         F.concat(F.lit("m"), conv, F.lit("-"), e % 8).alias("message_id"),
         F.col("event_type").alias("name"),
-        F.coalesce("props", F.lit("")).alias("input"),
+        F.concat(F.coalesce("props", F.lit("")), F.lit(" /src/a"), e % 9, _pick(ENDINGS, e % 4), F.lit(" ")).alias("input"),
         F.concat(F.lit("v"), e % 1000).alias("output"),
         (F.col("event_type") == "error").alias("is_error"),
         (e % 5000 - 1).cast("long").alias("duration_ms"),
@@ -77,12 +78,12 @@ def bare_conversations(found: DataFrame) -> DataFrame:
     base = found.groupBy("conversation_id").agg(F.max("sequence").alias("last")).withColumn("n", F.substring("conversation_id", 2, 20).cast("long"))
     names = found.where("role = 'user'").groupBy("conversation_id").agg(F.min_by(S.first_line_name(F.col("content")), "sequence").alias("name"))
     rows = base.join(names, "conversation_id", "left")
-    parent = F.when(conv % 4 == 0, "").when(conv % 4 == 3, F.concat(F.lit("c"), root + 1)).otherwise(F.concat(F.lit("c"), root))
+    parent = F.when(conv % 28 == 0, F.concat(F.lit("lost"), conv)).when(conv % 20 == 1, F.concat(F.lit("gone"), conv)).when(conv % 4 == 0, "").when(conv % 4 == 3, F.concat(F.lit("c"), root + 1)).otherwise(F.concat(F.lit("c"), root))
     return rows.select(
         F.col("conversation_id").alias("id"),
         F.concat(F.lit("c"), root).alias("trace_id"),
         parent.alias("parent_id"),
-        _pick(KINDS, conv % 4).alias("relationship"),
+        F.when(conv % 28 == 0, "forked").otherwise(_pick(KINDS, conv % 4)).alias("relationship"),
         F.when(conv % 4 == 1, 1).otherwise(-1).alias("fork_point"),
         _pick(ADAPTERS, conv % 5).alias("adapter_id"),
         F.coalesce("name", F.lit("")).alias("name"),
@@ -169,7 +170,7 @@ WITH msg0 AS (
   FROM msg0 WINDOW w AS (PARTITION BY conv_id ORDER BY sequence ROWS UNBOUNDED PRECEDING)
 ), tool AS (
   SELECT 't' || event_id AS id, 'c' || (user_id % 100) AS conversation_id, 'm' || (user_id % 100) || '-' || (event_id % 8) AS message_id,
-         event_type AS name, coalesce(props, '') AS input, 'v' || (event_id % 1000) AS output, event_type = 'error' AS is_error, CAST(event_id % 5000 - 1 AS BIGINT) AS duration_ms
+         event_type AS name, coalesce(props, '') || ' /src/a' || (event_id % 9) || {_case(ENDINGS, 'event_id % 4')} || ' ' AS input, 'v' || (event_id % 1000) AS output, event_type = 'error' AS is_error, CAST(event_id % 5000 - 1 AS BIGINT) AS duration_ms
   FROM events
 ), names AS (
   SELECT conversation_id, arg_min(substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 120), sequence) AS name FROM msg WHERE role = 'user' GROUP BY 1
@@ -179,8 +180,8 @@ WITH msg0 AS (
          sum({cost_sql("(CASE WHEN model = '' THEN " + _case(MODELS, "conv_id % 6") + " ELSE model END)")}) AS est_cost
   FROM msg GROUP BY 1
 ), conv0 AS (
-  SELECT b.*, 'c' || (n - n % 4) AS trace_id, CASE n % 4 WHEN 0 THEN '' WHEN 3 THEN 'c' || (n - n % 4 + 1) ELSE 'c' || (n - n % 4) END AS parent_id,
-         {_case(KINDS, 'n % 4')} AS relationship, CASE WHEN n % 4 = 1 THEN 1 ELSE -1 END AS fork_point, {_case(ADAPTERS, 'n % 5')} AS adapter_id,
+  SELECT b.*, 'c' || (n - n % 4) AS trace_id, CASE WHEN n % 28 = 0 THEN 'lost' || n WHEN n % 20 = 1 THEN 'gone' || n WHEN n % 4 = 0 THEN '' WHEN n % 4 = 3 THEN 'c' || (n - n % 4 + 1) ELSE 'c' || (n - n % 4) END AS parent_id,
+         CASE WHEN n % 28 = 0 THEN 'forked' ELSE {_case(KINDS, 'n % 4')} END AS relationship, CASE WHEN n % 4 = 1 THEN 1 ELSE -1 END AS fork_point, {_case(ADAPTERS, 'n % 5')} AS adapter_id,
          coalesce(x.name, '') AS name, '/home/dev/p' || (n % 7) AS cwd, CASE WHEN n % 7 = 0 THEN '' ELSE 'github.com/acme/repo' || (n % 7) END AS git_remote,
          CASE WHEN n % 2 = 0 THEN 'main' ELSE 'feature/x' || (n % 3) END AS branch, {_case(MODELS, 'n % 6')} AS model,
          {_stamp_sql('n', '0')} AS started_at, CASE WHEN n % 11 = 0 THEN '' ELSE {_stamp_sql('n', 'last')} END AS ended_at,

@@ -6,12 +6,30 @@ leaves the last version in place.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read back: its lineage ends there.
+
+    The folder is ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, else one beside
+    the warehouse.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local")
+        root = tempfile.mkdtemp(prefix="convolens-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_convolens_scratch"
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class VersionedTable:
     """A Parquet table under `root`; `replace` writes the next version whole or only the keys that changed."""
 
@@ -30,24 +48,39 @@ class VersionedTable:
     def version(self) -> int:
         """0 before the first commit."""
         found = self._pointers()
-        return int(found[-1].split("-")[0]) if found else 0
+        return int(found[-1]) if found else 0
+
+    def _data(self, pointer: str) -> str:
+        """The folder that a pointer names; empty while its writer hasn't closed it."""
+        stream = self._fs.open(self._path(f"{self.root}/versions/{pointer}"))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def read(self) -> DataFrame:
-        found = self._pointers()
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{found[-1]}")
+        for pointer in reversed(self._pointers()):
+            if name := self._data(pointer):
+                return self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{name}")
+        return self.spark.createDataFrame([], self.schema)
 
     def replace(self, rows: DataFrame, expected: int | None = None) -> int:
-        """Commits `rows` as the next version. With `expected`, a commit since then makes this one fail."""
+        """Commits `rows` as the next version. With `expected`, a commit since then makes this one fail.
+
+        The pointer is named by the version alone and created only where there is none, so of two writers of
+        one version the second fails.
+        """
         now = self.version()
         if expected is not None and expected != now:
             raise RuntimeError(f"version {now} was committed after {expected} was read")
         name = f"{now + 1:010d}-{uuid.uuid4().hex}"
         rows.select(self.schema.fieldNames()).write.parquet(f"{self.root}/data/{name}")
-        if self.version() != now:
-            raise RuntimeError(f"another writer committed version {now + 1}")
-        self._fs.create(self._path(f"{self.root}/versions/{name}"), False).close()
+        try:
+            stream = self._fs.create(self._path(f"{self.root}/versions/{now + 1:010d}"), False)
+        except Exception as taken:
+            raise RuntimeError(f"another writer committed version {now + 1}") from taken
+        stream.write(bytearray(name.encode()))
+        stream.close()
         return now + 1
 
     def upsert(self, rows: DataFrame, keys: list[str]) -> int:
@@ -58,5 +91,7 @@ class VersionedTable:
     def vacuum(self, keep: int = 2) -> None:
         """Deletes all but the last `keep` versions."""
         for name in self._pointers()[:-keep]:
+            data = self._data(name)
             self._fs.delete(self._path(f"{self.root}/versions/{name}"), False)
-            self._fs.delete(self._path(f"{self.root}/data/{name}"), True)
+            if data:
+                self._fs.delete(self._path(f"{self.root}/data/{data}"), True)

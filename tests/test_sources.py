@@ -141,14 +141,17 @@ def test_engine(spark, amp, tmp_path):
     assert "## User" in sinks.markdown(store.conversations, store.messages).first()["markdown"]
 
 
-def test_search_grammar(spark):
+def test_search_terms(spark):
     rows = [("a", "c", 0, "Émile walked to the old house"), ("b", "c", 1, "the house was old and walking"), ("d", "c", 2, "nothing here")]
     messages = spark.createDataFrame(rows, "id string, conversation_id string, sequence int, content string")
     conversations = spark.createDataFrame([("c", "x", "2026", "")], "id string, adapter_id string, started_at string, ended_at string")
-    hits = lambda q: {r["message_id"] for r in FT.search(messages, conversations, q).collect()}
-    assert hits("emile") == {"a"} and hits("walk*") == {"a", "b"} and hits('"old house"') == {"a"} and hits("house NOT emile") == {"b"}
-    assert hits("emile OR nothing") == {"a", "d"} and hits("NEAR(old was, 0)") == {"b"} and hits("(emile OR walking) house") == {"a", "b"} and hits("") == set()
-    snippet = FT.with_snippets(FT.search(messages, conversations, "old"), messages, "old").where(F.col("message_id") == "a").first()["snippet"]
+    terms = FT.Terms
+    hits = lambda **q: {r["message_id"] for r in FT.search(messages, conversations, terms(**q)).collect()}
+    assert hits(all_of=("emile",)) == {"a"} and hits(all_of=("walk*",)) == {"a", "b"} and hits(all_of=('"old house"',)) == {"a"}
+    assert hits(all_of=("house",), none_of=("emile",)) == {"b"} and hits(any_of=("emile", "nothing")) == {"a", "d"} and hits() == set()
+    assert hits(near=(("old", "was", 0),)) == {"b"} and hits(near=(("old", "house", 0),)) == {"a"} and hits(near=(("old", "house", 2),)) == {"a", "b"}
+    assert hits(any_of=("emile", "walking"), all_of=("house",)) == {"a", "b"} and hits(all_of=("missing", "house")) == set()
+    snippet = FT.with_snippets(FT.search(messages, conversations, terms(all_of=("old",))), messages, terms(all_of=("old",))).where(F.col("message_id") == "a").first()["snippet"]
     assert snippet == "Émile walked to the >>>old<<< house"
 
 
@@ -205,3 +208,30 @@ def test_views(spark, sf_dir):
     assert views.home(s)["recent"].count() == 6
     assert views.dataset_manifest(s.conversations).first()["traces"] > 0
     assert views.merged_pages(found["rows"], found["rows"]).count() == 2
+
+
+def test_long_chains_and_circles(spark):
+    from convolens.operators import graph as G
+
+    rows = [(f"n{i:03d}", f"n{i - 1:03d}" if i else "", "n000", "root" if i == 0 else "compacted", -1, f"{i:03d}", "") for i in range(20)]
+    rows += [("x", "y", "x", "spawned", -1, "1", ""), ("y", "x", "x", "spawned", -1, "2", ""), ("o", "lost", "n000", "spawned", -1, "9", "")]
+    c = spark.createDataFrame(rows, "id string, parent_id string, trace_id string, relationship string, fork_point int, started_at string, ended_at string")
+    assert {r["id"]: r["depth"] for r in G.trees(c).collect()} == {f"n{i:03d}": i for i in range(20)} | {"x": 0, "y": 1}
+    assert {r["id"]: r["top"] for r in G.trace_consistency(c).collect()} == {"x": None, "y": None, "o": "o"}
+    m = spark.createDataFrame([(f"m{i}", f"n{i:03d}", 1, 0) for i in range(20)], "id string, conversation_id string, sequence int, turn int")
+    assert [r["id"] for r in G.render_order(c, m).orderBy("place").collect()] == [f"m{i}" for i in range(20)]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from convolens.streaming.state import VersionedTable
+
+    schema = StructType([StructField("a", StringType())])
+    one, other = (VersionedTable(spark, f"file://{tmp_path}/t", schema) for _ in range(2))
+    rows = spark.createDataFrame([("x",)], schema)
+    assert one.replace(rows) == 1
+    other.version = lambda: 0  # it looked before the first one committed
+    with pytest.raises(RuntimeError):
+        other.replace(rows)
+    assert one.read().count() == 1 and one.version() == 1
