@@ -310,13 +310,3 @@ def fork_points(conversations: DataFrame, messages: DataFrame, tool_calls: DataF
     found = children.join(calls, children["parent_id"] == calls["p"]).where(F.col("hay").contains(F.col("needle")))
     found = found.groupBy("id").agg(F.min_by("turn", F.struct("sequence", "turn")).alias("found"))
     return conversations.join(found, "id", "left").withColumn("fork_point", F.coalesce("found", "fork_point")).drop("found")
-
-
-READERS: dict[str, Callable[[SparkSession, str], tuple[DataFrame, DataFrame, DataFrame]]] = {
-    "claude-code": lambda spark, path: read_sessions(read_lines(spark, path)),
-    "amp": lambda spark, path: read_simple(read_lines(spark, path), AMP),
-    "pi": lambda spark, path: read_simple(read_lines(spark, path), PI),
-    "piagent": lambda spark, path: read_simple(read_lines(spark, path), PIAGENT),
-    "gemini-cli": lambda spark, path: read_simple(read_documents(spark, path), GEMINI),
-    "opencode": lambda spark, path: read_simple(read_documents(spark, path), OPENCODE),
-}

@@ -20,7 +20,7 @@ from ..operators import rollup as R
 from ..operators import routing as P
 from ..operators import sync as Y
 from ..sources import logs
-from ..sources.transcripts import READERS
+from ..sources.readers import READERS
 from .state import VersionedTable
 
 SOURCE_STATE = T.StructType([T.StructField("adapter_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.LongType())])

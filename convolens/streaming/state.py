@@ -13,21 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read back: its lineage ends there.
-
-    The folder is ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, else one beside
-    the warehouse.
-    """
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, under a temporary one in local mode, else beside the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         local = spark.sparkContext.master.startswith("local")
         root = tempfile.mkdtemp(prefix="convolens-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_convolens_scratch"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/saved-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read back: its lineage ends there."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class VersionedTable:

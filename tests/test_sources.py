@@ -10,6 +10,7 @@ from convolens.operators import routing as P
 from convolens.operators import search as FT
 from convolens.sources import logs, rollouts, sqlite
 from convolens.sources import transcripts as TR
+from convolens.sources.readers import READERS
 from convolens.streaming import sinks
 from convolens.streaming.ingest import Engine
 
@@ -31,7 +32,7 @@ def amp(tmp_path):
 
 
 def test_simple_lines(spark, amp):
-    conversations, messages, calls = TR.READERS["amp"](spark, str(amp))
+    conversations, messages, calls = READERS["amp"](spark, str(amp))
     m = messages.orderBy("sequence").collect()
     assert [(r["role"], r["content"], r["turn"]) for r in m] == [("system", "hello", 0), ("user", "first  question\nhere", 1), ("assistant", "answer", 1)]
     assert m[2]["input_tokens"] == 10 and m[2]["timestamp"] == "2026-04-01T10:02:00.000Z"
@@ -43,7 +44,7 @@ def test_simple_lines(spark, amp):
 def test_documents(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"sessionId": "G", "messages": [{"id": "1", "type": "user", "content": [{"text": "hi"}]}, {"id": "2", "type": "model", "parts": [{"text": "there"}], "model": "gemini-pro"}]}))
     (tmp_path / "b.json").write_text("not json")
-    conversations, messages, _ = TR.READERS["gemini-cli"](spark, str(tmp_path))
+    conversations, messages, _ = READERS["gemini-cli"](spark, str(tmp_path))
     assert [(r["role"], r["content"]) for r in messages.orderBy("sequence").collect()] == [("user", "hi"), ("assistant", "there")]
     assert conversations.select("id", "model", "relationship").collect() == [("G", "gemini-pro", "root")]
 
@@ -61,8 +62,8 @@ def test_sessions(spark, tmp_path):
     ]
     put(tmp_path / "p" / "S.jsonl", rows)
     put(tmp_path / "p" / "S" / "subagents" / "agent-7x.jsonl", [line("user", 1, uuid="a1", message={"content": "work"})])
-    conversations, messages, calls = TR.READERS["claude-code"](spark, str(tmp_path))
-    c = {r["id"]: r for r in TR.fork_points(conversations, messages, calls).collect()}
+    conversations, messages, calls = READERS["claude-code"](spark, str(tmp_path))
+    c = {r["id"]: r for r in conversations.collect()}
     assert c["S"]["relationship"] == "root" and c["S#1"]["relationship"] == "compacted" and c["S#1"]["parent_id"] == "S"
     assert (c["agent-7x"]["relationship"], c["agent-7x"]["parent_id"], c["agent-7x"]["trace_id"], c["agent-7x"]["fork_point"]) == ("spawned", "S", "S", 1)
     m = messages.where("conversation_id = 'S'").orderBy("sequence").collect()
