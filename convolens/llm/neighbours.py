@@ -172,18 +172,15 @@ def _improved(graph: DataFrame, nodes: DataFrame, dtype: str, k: int) -> DataFra
     return dealt.mapInArrow(run, _EDGE)
 
 
-def _descent(nodes: DataFrame, dtype: str, most_bits: int, seed: int, threshold: float, graph: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """Adds a bucket graph to `graph` and runs rounds until few lists change; saturated lists double, up to 16 times as long."""
-    n, k, most = nodes.count(), NEIGHBOURS, NEIGHBOURS
-    found = _bucket_graph(nodes, dtype, k, most_bits, seed, scratch)
-    if graph is not None:
-        found = found.union(graph)
-        most = 16 * k
-    graph = scratch.table(found.groupBy("u", "v").agg(F.max("sim").alias("sim")), "graph")
+def _descent(nodes: DataFrame, dtype: str, most_bits: int, attempt: int, threshold: float, graph: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Adds a bucket graph to `graph` and runs rounds until few lists change; saturated lists are twice as long, and doubled in each attempt."""
+    n, k, most = nodes.count(), NEIGHBOURS, NEIGHBOURS << (attempt + 1)
+    found = _bucket_graph(nodes, dtype, k, most_bits, 11 + attempt, scratch)
+    found = scratch.table(found if graph is None else found.union(graph), "found")
+    graph = scratch.table(_best(found, _saturated(found.distinct(), k, threshold), k, most), "graph")
     for _ in range(MAX_ROUNDS):
-        long = scratch.table(_saturated(graph, k, threshold), "saturated")
-        most = min(16 * k, 2 * most) if not long.isEmpty() else most
-        better = scratch.table(_best(graph.union(_improved(graph, nodes, dtype, k)), long, k, most), "graph")
+        better = graph.union(_improved(graph, nodes, dtype, k))
+        better = scratch.table(_best(better, _saturated(graph, k, threshold), k, most), "graph")
         changed = better.join(graph, ["u", "v"], "left_anti").count()
         graph = better
         if changed <= SETTLED * n * k:
@@ -267,7 +264,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     most_bits = max(1, nodes.agg(F.max("bits")).first()[0] or 0)
     graph = None
     for audit in range(MAX_AUDITS):
-        graph = _descent(nodes, dtype, most_bits, 11 + audit, threshold, graph, scratch)
+        graph = _descent(nodes, dtype, most_bits, audit, threshold, graph, scratch)
         linked = scratch.table(_linked(graph, nodes, dtype, threshold, scratch), "linked")
         recall = _recall(nodes, linked, dtype, threshold)
         if recall >= GOOD_RECALL:
