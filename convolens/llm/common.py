@@ -8,9 +8,12 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Maps A-Z to a-z and leaves every other character as it is.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Keys that can each hold over one in so many of the rows: what `join_counted` sends to every task.
+HOT_KEYS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +57,24 @@ class Scratch:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join of `rows` with `counted`, a written table of one row a key; its n counts the key's rows.
+
+    Keys with over 1 / HOT_KEYS of all counted rows, so fewer than HOT_KEYS keys, are sent to every task; the rows
+    they meet are dealt by all their columns, so that none of the hot keys lies whole in one task. `rows` has
+    none of the columns of `counted` but the keys, which aren't null.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot, values = F.col("n") > total / HOT_KEYS, F.struct(*(c for c in counted.columns if c not in keys))
+    few = counted.where(hot).select(*(F.col(k).alias(f"hot_{k}") for k in keys), values.alias("hot"))
+    rest = counted.where(~hot).select(*(F.col(k).alias(f"cold_{k}") for k in keys), F.xxhash64(*keys).alias("cold_deal"), values.alias("cold"))
+    met = rows.join(F.broadcast(few), [F.col(k) == F.col(f"hot_{k}") for k in keys], "left")
+    met = met.withColumn("deal", F.when(F.col("hot").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(*rows.columns)))
+    same = [F.col(k) == F.col(f"cold_{k}") for k in keys]
+    met = met.join(rest, [*same, F.col("deal") == F.col("cold_deal")], "left").withColumn("found", F.coalesce("hot", "cold"))
+    return met.where("found IS NOT NULL").select(*rows.columns, *(F.col(f"found.{c}") for c in counted.columns if c not in keys))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that `df` doesn't have in any case, made from `names`."""
     taken = {c.lower() for c in df.columns}

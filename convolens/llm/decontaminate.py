@@ -3,8 +3,9 @@
 The patterns are the test windows (runs of ten words of a benchmark item). A shift table on blocks of
 two words tells how far the search may jump; a block that ends some window selects a bucket by the
 window's suffix, and a direct comparison confirms. Documents are scanned whole, where they lie: no
-document text is shuffled. The windows go to the tasks in blocks of bounded size; a benchmark with
-more windows is searched block by block, each pass adding its hits to the row.
+document text is shuffled. The windows go to the driver and the tasks in blocks of bounded size; a benchmark
+with more windows is searched block by block. The hits of each pass but the last are written by the text's
+hashes and joined to the rows of the last one.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, Scratch
 
 WINDOW_WORDS = 10
 #: Windows that one pass holds (some 20 MB on the driver, 60 MB as tables in a task).
@@ -91,38 +93,34 @@ def windows_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     )
 
 
-def scanners(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> list[Scanner]:
-    """One scanner for each block of at most about `block_windows` windows."""
-    windows = windows_of(benchmark, item_col, text_col)
+def scanners(benchmark: DataFrame, scratch: Scratch, item_col: str = "item_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> Iterator[tuple[Scanner, bool]]:
+    """One scanner after another, each for a block of at most about `block_windows` windows; whether it is the last."""
+    windows = scratch.table(windows_of(benchmark, item_col, text_col), "windows")
     blocks = max(1, math.ceil(windows.count() / block_windows))
     part = F.pmod(F.xxhash64("item", F.to_json("words")), F.lit(blocks))
-    return [Scanner([(r[0], r[1]) for r in windows.where(part == k).collect()]) for k in range(blocks)]
+    for k in range(blocks):
+        yield Scanner([(r[0], r[1]) for r in windows.where(part == k).collect()]), k == blocks - 1
 
 
 _HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.string())]))
 _HITS_SQL = "array<struct<start:int,end:int,item:string>>"
 
 
-def with_hits(docs: DataFrame, text_col: str, hits_col: str, scans: list[Scanner]) -> DataFrame:
-    """`docs` with a column of all hits, by one pass over the rows for each scanner."""
-    for k, scan in enumerate(scans):
+def _scanned(docs: DataFrame, scan: Scanner) -> DataFrame:
+    """(doc_id, h, g, n_words, hits) of each row of `docs` (doc_id, text); h and g: its text's hashes."""
 
-        def step(batches: Iterator[pa.RecordBatch], scan: Scanner = scan, first: bool = k == 0) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                old = None if first else batch.column(hits_col).to_pylist()
-                out = []
-                for i, text in enumerate(batch.column(text_col)):
-                    found = [{"start": s, "end": e, "item": x} for s, e, x in scan.hits(words_of(text.as_py()))]
-                    out.append(found if first else old[i] + found)
-                column = pa.array(out, type=_HITS)
-                if first:
-                    yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, hits_col])
-                else:
-                    yield batch.set_column(batch.schema.get_field_index(hits_col), hits_col, column)
-
-        schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name != hits_col)
-        docs = docs.mapInArrow(step, f"{schema}, `{hits_col}` {_HITS_SQL}")
-    return docs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, hits = [], []
+            for text in batch.column(3):
+                words = words_of(text.as_py())
+                n_words.append(len(words))
+                hits.append([{"start": s, "end": e, "item": x} for s, e, x in scan.hits(words)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_words, pa.int64()), pa.array(hits, _HITS)], names=["doc_id", "h", "g", "n_words", "hits"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    source = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), "text")
+    return source.mapInArrow(run, f"doc_id {kind}, h long, g long, n_words long, hits {_HITS_SQL}")
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -143,36 +141,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A null or empty text has no words; a benchmark without words hits nothing; repeated documents and
     ids each keep their row; repeated items count once; columns beside the id and text are not read.
     """
-    scans = scanners(benchmark, text_col=text_col, block_windows=block_windows)
+    scratch = Scratch(docs.sparkSession, "windows")
     kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    earlier = len(scans) > 1
+    docs, earlier = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), []
+    for scan, last in scanners(benchmark, scratch, text_col=text_col, block_windows=block_windows):
+        rows = _scanned(docs, scan)
+        if not last:  # each text's hits once; the texts themselves stay where they are
+            found = rows.where(F.size("hits") > 0).select("h", "g", "hits").dropDuplicates(["h", "g"])
+            earlier.append(scratch.table(found, "hits"))
     if earlier:
-        docs = with_hits(docs, "text", "hits", scans[:-1])
-    last = scans[-1]
+        found = reduce(DataFrame.union, earlier).groupBy("h", "g").agg(F.flatten(F.collect_list("hits")).alias("more"))
+        rows = rows.join(found, ["h", "g"], "left").withColumn("hits", F.concat("hits", F.coalesce("more", F.array().cast(_HITS_SQL))))
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, text in enumerate(batch.column(1)):
-                words = words_of(text.as_py())
-                hits = last.hits(words)
-                if earlier:
-                    hits += [(h["start"], h["end"], h["item"]) for h in batch.column(2)[i].as_py()]
-                items = sorted({h[2] for h in hits})
-                n_hit = covered([h[:2] for h in hits]) if hits else 0
-                rows.append((len(words), n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0))
-            columns = zip(*rows) if rows else ([], [], [], [], [])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            arrays = [batch.column(0), *(pa.array(list(c), type=t) for c, t in zip(columns, kinds))]
+            out = []
+            for hits in batch.column(2).to_pylist():
+                items = sorted({h["item"] for h in hits})
+                n_hit = covered([(h["start"], h["end"]) for h in hits]) if hits else 0
+                out.append((n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0))
+            columns = zip(*out) if out else ([], [], [], [])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            arrays = [batch.column(0), batch.column(1), *(pa.array(list(c), type=t) for c, t in zip(columns, kinds))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return docs.mapInArrow(report, _REPORT.format(id=kind))
+    return rows.select("doc_id", "n_words", "hits").mapInArrow(report, _REPORT.format(id=kind))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of `docs`, all their columns, that hold no test window. A null text is kept."""
-    for scan in scanners(benchmark, block_windows=block_windows):
+    scratch = Scratch(docs.sparkSession, "windows")
+    for scan, last in scanners(benchmark, scratch, block_windows=block_windows):
 
         def clean(batches: Iterator[pa.RecordBatch], scan: Scanner = scan) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -180,4 +179,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 yield batch.filter(pa.array(keep, type=pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if not last:  # one block is in the tasks at a time
+            docs = scratch.table(docs, "clean")
     return docs

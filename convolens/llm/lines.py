@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, replaced
+from .common import Scratch, fresh, join_counted, replaced
 from .similar import Measure, nested, similar_parts, standing
 
 SHINGLE_CHARS, SIMILARITY = 8, 0.8
@@ -213,9 +213,9 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> t
     places = places.join(parts, "h", "left").select("doc_id", "tk", "no", F.coalesce("component", "h").alias("part"), F.when(lone, F.col("g")).otherwise(0).alias("g"))
     places = scratch.table(places, "places")
     counted = places.groupBy("part", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    several = scratch.table(places.join(counted, ["part", "g"]), "several")
-    keep = several.where("doc_id <=> first").groupBy("part", "g").agg(F.min(F.struct("tk", "no")).alias("keep"))
-    gone = several.join(keep, ["part", "g"]).where("NOT (doc_id <=> first AND tk = keep.tk AND no = keep.no)")
+    several = scratch.table(join_counted(places, scratch.table(counted, "counted"), ["part", "g"]), "several")
+    keep = several.where("doc_id <=> first").groupBy("part", "g").agg(F.min(F.struct("tk", "no")).alias("keep"), F.max("n").alias("n"))
+    gone = join_counted(several.drop("n"), scratch.table(keep, "keep"), ["part", "g"]).where("NOT (doc_id <=> first AND tk = keep.tk AND no = keep.no)")
     return read, gone.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set("no")).alias("dropped"))
 
 

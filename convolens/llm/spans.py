@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, replaced
+from .common import Scratch, fresh, join_counted, replaced
 from .lines import bitmap, marked
 
 #: (sentences, words) that make a run long enough.
@@ -144,7 +144,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             place = batch.column(0).to_numpy() % BITMAP_BITS
             yield batch.filter(pa.array((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
 
-    later = spans.mapInArrow(run, spans.schema).join(counted, ["h", "g"]).where("again OR NOT (doc_id <=> first)")
+    later = join_counted(spans.mapInArrow(run, spans.schema), counted, ["h", "g"]).where("again OR NOT (doc_id <=> first)")
     return later.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
 
