@@ -51,6 +51,11 @@ def tag_counts(tag_rows: DataFrame) -> DataFrame:
     return tag_rows.groupBy("category", "tag").agg(F.countDistinct("conversation_id").alias("sessions")).orderBy(F.desc("sessions"), "category", "tag")
 
 
+def session_tags(tag_rows: DataFrame, sessions: list[str]) -> DataFrame:
+    """The tags of the given sessions, by category and name."""
+    return tag_rows.where(F.col("conversation_id").isin(sessions)).select("conversation_id", "category", "tag").orderBy("category", "tag")
+
+
 def projects(conversations: DataFrame) -> DataFrame:
     """(project_id, name, sessions, messages, cost, last_seen) by working directory."""
     rows = conversations.where("cwd != ''").withColumns({"project_id": S.project_id(F.col("cwd")), "project": S.project_name(F.col("cwd"))})

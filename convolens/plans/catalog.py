@@ -15,6 +15,7 @@ from ..operators import rollup as R
 from ..operators import routing as P
 from ..operators import search as FT
 from ..operators import sync as Y
+from ..operators import upkeep as K
 from ..operators import usage as U
 from . import lens
 
@@ -521,6 +522,74 @@ def v1_enriched_sessions(spark, sf):
     return V1.enriched(s.conversations, rows)
 
 
+_BYTES = lambda names, fixed: " + ".join([str(fixed), *(f"coalesce(octet_length(encode({n})), 0)" for n in names)])
+_LENS_MESSAGE, _LENS_CALL = ("id", "role", "content", "role", "model", "CASE WHEN sequence > 0 THEN 'm' || conv_id || '-' || (sequence - 1) ELSE '' END", "timestamp"), ("id", "name", "input", "output")
+
+
+@query(f""", calls AS (SELECT conversation_id, message_id, sum({_BYTES(_LENS_CALL, K.CALL_BYTES)}) AS more FROM tool GROUP BY 1, 2),
+each AS (SELECT m.conversation_id, b + coalesce(more, 0) AS b FROM (SELECT *, {_BYTES(_LENS_MESSAGE, K.MESSAGE_BYTES)} AS b FROM msg) m LEFT JOIN calls c ON c.conversation_id = m.conversation_id AND c.message_id = m.id),
+sizes AS (SELECT conversation_id, sum(b)::BIGINT AS m, max(b)::BIGINT AS most FROM each GROUP BY 1)
+SELECT id, ({_BYTES(K.CONVERSATION_TEXTS, K.CONVERSATION_BYTES)})::BIGINT AS bytes, m AS message_bytes, most AS largest_message FROM conv JOIN sizes ON conversation_id = id""")
+def size_estimates(spark, sf):
+    m = lens.messages(spark, sf)
+    return K.conversation_bytes(lens.bare_conversations(m), m, lens.tool_calls(spark, sf))
+
+
+@query("""SELECT conversation_id, count(*) AS steps_back FROM (SELECT conversation_id, lag(sequence) OVER (PARTITION BY conversation_id ORDER BY (sequence * 7) % 11, id) > sequence AS back FROM msg) WHERE back GROUP BY 1""")
+def sequence_disorder(spark, sf):
+    return K.out_of_order(lens.messages(spark, sf).withColumn("arrival", (F.col("sequence") * 7) % 11), "arrival")
+
+
+_SIGNED = "SELECT adapter_id AS source_path, id AS ref_id, 's' || (n % 10) AS signature"
+
+
+def _signatures(spark, sf):
+    c = lens.bare_conversations(lens.messages(spark, sf)).withColumn("n", F.substring("id", 2, 20).cast("long"))
+    row = [F.col("adapter_id").alias("source_path"), F.col("id").alias("ref_id")]
+    known = c.where("n % 7 != 0").select(*row, F.concat(F.lit("s"), F.col("n") % 10).alias("signature"))
+    found = c.where("n % 7 != 1 AND adapter_id != 'amp'").select(*row, F.concat(F.lit("s"), F.when(F.col("n") % 3 == 0, 99).otherwise(F.col("n") % 10)).alias("signature"))
+    return K.changed_signatures(known, found)
+
+
+@query("SELECT adapter_id AS source_path, id AS ref_id FROM conv WHERE n % 7 != 1 AND adapter_id != 'amp' AND (n % 7 = 0 OR n % 3 = 0)")
+def changed_signatures(spark, sf):
+    return _signatures(spark, sf)[0]
+
+
+@query("""SELECT adapter_id AS source_path, id AS ref_id, CASE WHEN adapter_id != 'amp' AND n % 3 = 0 THEN 's99' ELSE 's' || (n % 10) END AS signature FROM conv WHERE CASE WHEN adapter_id = 'amp' THEN n % 7 != 0 ELSE n % 7 != 1 END""")
+def signature_state(spark, sf):
+    return _signatures(spark, sf)[1]
+
+
+@query("SELECT adapter_id, string_agg(DISTINCT p, ',' ORDER BY p) AS paths FROM (SELECT adapter_id, source_path AS p FROM conv UNION ALL SELECT adapter_id, cwd FROM conv) GROUP BY 1")
+def merged_hints(spark, sf):
+    c = lens.bare_conversations(lens.messages(spark, sf))
+    return K.merged_hints(c.select("adapter_id", F.array("source_path", "cwd").alias("paths"))).select("adapter_id", F.array_join("paths", ",").alias("paths"))
+
+
+@query("""SELECT adapter_id, count(*) FILTER (WHERE n % 5 IN (3, 4)) AS cached, count(*) FILTER (WHERE n % 5 IN (1, 2)) AS invalidated, count(*) FILTER (WHERE n % 5 = 0) AS fresh FROM (SELECT n, adapter_id FROM conv) GROUP BY 1""")
+def discovery_status(spark, sf):
+    c = lens.bare_conversations(lens.messages(spark, sf)).withColumn("n", F.substring("id", 2, 20).cast("long"))
+    row = ["adapter_id", F.col("source_path").alias("path"), F.lit(10).cast("long").alias("size")]
+    known = c.where("n % 5 != 0").select(*row, F.lit(1).alias("mtime"))
+    return K.discovery_status(known, c.where("n % 5 != 1").select(*row, F.when(F.col("n") % 5 == 2, 2).otherwise(1).alias("mtime")))
+
+
+@query(f""", w AS ({_WORDS}), each AS (SELECT conversation_id, id, sequence, len(w) AS dl, unnest(w) AS word FROM w WHERE CAST(substr(conversation_id, 2) AS BIGINT) % 9 != 4)
+SELECT word, conversation_id, id, sequence, count(*) AS tf, dl::INT AS dl FROM each GROUP BY ALL""")
+def postings_refresh(spark, sf):
+    """An index of the first four messages each, made whole again for two thirds of the conversations, the others having been new or lost."""
+    m, n = lens.messages(spark, sf), F.substring("conversation_id", 2, 20).cast("long")
+    index = K.postings(m.where((n % 3 == 0) | (F.col("sequence") < 4)).where(n % 9 != 1))
+    changed = m.where((n % 3 != 0) | (n % 9 == 1)).select("conversation_id")
+    return K.refreshed_postings(index, m.where(n % 9 != 4), changed)
+
+
+@query(f", {_TAGS} SELECT conversation_id, category, tag FROM tags WHERE conversation_id IN ('c3', 'c8')")
+def v1_session_tags(spark, sf):
+    return V1.session_tags(_tags(spark, sf)[1], ["c3", "c8"])
+
+
 @query("SELECT string_split(cwd, '/')[-1] AS project, adapter_id, count(*) AS sessions, round(sum(est_cost), 10) AS cost FROM conv GROUP BY 1, 2")
 def v1_cost_by_project_tool(spark, sf):
     return V1.cost_by_project_and_tool(lens.store(spark, sf).conversations)
