@@ -248,9 +248,9 @@ def nearest(rows: DataFrame, k: int = NEAREST, every: int = EVERY, id_col: str =
     asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
     counted = scratch.table(asked.groupBy("vec").agg(F.min("vec_id").alias("q"), F.count("*").alias("n")), "queries")
     picked = lambda df, n: _matrix(df.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n).toArrow().column(0), dtype)
-    audited = picked(counted, AUDIT_QUERIES)
-    if not len(audited):
+    if counted.isEmpty():
         return spark.createDataFrame([], _RESULT)
+    audited = picked(counted, AUDIT_QUERIES)
     index = Index(picked(nodes, min(SAMPLE_ROWS, max(256, SAMPLE_BYTES // width[0]))), nodes.count())
     entries = scratch.table(_indexed(nodes, index, dtype), "entries")
     sizes = entries.groupBy("cell").count().toArrow()  # at most MOST_CENTROIDS squared
