@@ -12,6 +12,7 @@ of sources, is larger.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch
+from .common import Scratch
 
-#: A term's characters: ASCII letters and all that is not ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term's bytes in UTF-8: a-z (A-Z as a-z) and all over 0x7F; every other byte separates.
+_TABLE = bytes(c if 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+#: Terms of groups that a task counts at once.
+HELD_TERMS = 400_000
 LEAST_DOCS, TOP = 30, 50
 #: Shares are whole multiples of 1 / UNIT, with so much added to each count.
 UNIT, ADDED = 1_000_000_000, 5
@@ -47,12 +50,35 @@ def _groups(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> D
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term in a group, and the group's documents that hold it."""
-    words = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    # of a document's sorted terms, each that differs from the one before it counts the document
-    firsts = F.transform("words", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("words", i - 1) != x)).alias("first")))
-    terms = docs.select("lang", "source", F.sort_array(words).alias("words")).select("lang", "source", F.inline(firsts))
-    return terms.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count(F.when(F.col("first"), 1)).alias("docs"))
+    """(lang, source, term, n, docs): occurrences of each term in a group, and the group's documents that hold it.
+
+    Tasks count what they read, up to HELD_TERMS at a time, before rows are shuffled.
+    """
+
+    def counted(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, in_docs) in held.items():
+            terms = list(n)
+            arrays = [pa.array([x] * len(terms), pa.string()) for x in (lang, source)] + [pa.array(terms, pa.binary()).cast(pa.string())]
+            arrays += [pa.array(n.values(), pa.int64()), pa.array(map(in_docs.__getitem__, terms), pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = defaultdict(lambda: (Counter(), Counter())), 0
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                n, in_docs = held[lang, source]
+                words, before = text.encode().translate(_TABLE).split(), len(n)
+                n.update(words)
+                in_docs.update(set(words))
+                size += len(n) - before
+                if size > HELD_TERMS:
+                    yield from counted(held)
+                    held.clear()
+                    size = 0
+        yield from counted(held)
+
+    parts = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _top_terms(used: DataFrame, groups: DataFrame, top: int) -> DataFrame:
