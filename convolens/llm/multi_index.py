@@ -7,7 +7,8 @@ found necessary: there a bounded set of queries is compared with all entries, an
 TARGET of their neighbours.
 
 Cells lie in order in blocks of some BLOCK entries; a larger cell takes several. A query is sent once to each block
-it visits, and is compared with that block's entries in double precision. Blocks that very many queries visit are
+it visits, and is compared with that block's entries in double precision; what scores below the last neighbour of a
+bounded sample isn't given on. Blocks that very many queries visit are
 repeated for parts of their queries. So a task holds a bounded number of entries and queries, whatever is popular.
 """
 
@@ -28,9 +29,11 @@ NEAREST, EVERY = 20, 20
 #: Rows, and bytes of them, that codebooks are fitted on; centroids of a half at most; rounds of fitting.
 SAMPLE_ROWS, SAMPLE_BYTES, MOST_CENTROIDS, FIT_ROUNDS = 32_768, 32_000_000, 512, 8
 #: Queries compared with all entries, and the share of their neighbours that the budget must reach.
-AUDIT_QUERIES, TARGET = 256, 0.97
-#: Entries of a block and queries of a part of it, on average.
-BLOCK, PART = 512, 2048
+AUDIT_QUERIES, TARGET = 256, 0.94
+#: Entries of a block and queries of a part of it, on average; queries that one task sends to blocks.
+BLOCK, PART, ASKING = 2048, 2048, 256
+#: Entries for a cell, on average; rows of the sample that tell a query what its last neighbour scores at least.
+CELL, FLOOR_ROWS = 16, 16_384
 #: Candidates beyond those asked for that are scored again in a fixed order of additions.
 SPARE = 8
 
@@ -86,9 +89,20 @@ class Index:
 
     def __init__(self, sample: np.ndarray, entries: int):
         self.half = sample.shape[1] // 2
-        k = int(np.clip(math.sqrt(entries / 2), 1, min(MOST_CENTROIDS, len(sample))))
+        k = int(np.clip(math.sqrt(entries / CELL), 1, min(MOST_CENTROIDS, len(sample))))
         self.books = [fit_codebook(part, k, seed) for seed, part in enumerate((sample[:, : self.half], sample[:, self.half :]))]
-        self.k = k
+        self.k, self.sample = k, sample[:FLOOR_ROWS].astype(np.float32)
+        self.widest = float(np.sqrt(np.einsum("ij,ij->i", sample, sample).max()))
+
+    def floors(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """What the k-th neighbour of each query scores at least: the k-th best score of the sample, but for rounding."""
+        if len(self.sample) < k:
+            return np.full(len(queries), -np.inf)
+        found = []
+        for i in range(0, len(queries), 256):
+            score = queries[i : i + 256].astype(np.float32) @ self.sample.T
+            found.append(np.partition(score, -k, axis=1)[:, -k].astype(np.float64))
+        return np.concatenate(found) - 1e-4 * np.linalg.norm(queries, axis=1) * self.widest
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         one, two = (_nearest_centroid(part, book) for part, book in zip((x[:, : self.half], x[:, self.half :]), self.books))
@@ -142,29 +156,36 @@ class Index:
 
 
 def _in_order(queries: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """Inner products of each query with its own candidates, components added from the first to the last."""
-    total = np.zeros(entries.shape[:2])
+    """Inner products of pairs of rows, components added from the first to the last."""
+    total = np.zeros(len(queries))
     for d in range(queries.shape[1]):
-        total += queries[:, d, None] * entries[:, :, d]
+        total += queries[:, d] * entries[:, d]
     return total
 
 
-def _best(queries: np.ndarray, entries: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the k best ids of each query, ties to the smaller id."""
-    m = min(k + SPARE, len(entries))
-    rough = queries @ entries.T
-    near = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-    score = np.concatenate([_in_order(queries[i : i + 256], entries[near[i : i + 256]]) for i in range(0, len(queries), 256)])
-    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-    node = near.ravel()
-    many = np.diff(offsets)[node]
-    start = np.repeat(offsets[node] - np.cumsum(many) + many, many)
-    found = values[start + np.arange(many.sum())]
-    query, score = np.repeat(np.repeat(np.arange(len(queries)), m), many), np.repeat(score.ravel(), many)
-    order = np.lexsort((found, -score, query))
-    query, found, score = query[order], found[order], score[order]
-    nth = np.arange(len(query)) - np.searchsorted(query, query)
-    return query[nth < k], found[nth < k], score[nth < k]
+def _best(queries: np.ndarray, floors: np.ndarray, entries: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best ids of each query that reach its floor, ties to the smaller id."""
+    m, offsets, values, out = min(k + SPARE, len(entries)), ids.offsets.to_numpy(), ids.values.to_numpy(), []
+    for i in range(0, len(queries), 128):
+        own = queries[i : i + 128]
+        rough = own @ entries.T
+        reached = rough >= floors[i : i + 128, None]
+        if reached.sum(axis=1).max(initial=0) > m:
+            near = np.argpartition(-rough, m - 1, axis=1)[:, :m]
+            kept = np.zeros_like(reached)
+            np.put_along_axis(kept, near, True, axis=1)
+            reached &= kept
+        query, node = np.nonzero(reached)
+        score = _in_order(own[query], entries[node])
+        many = np.diff(offsets)[node]
+        start = np.repeat(offsets[node] - np.cumsum(many) + many, many)
+        found = values[start + np.arange(many.sum())]
+        query, score = np.repeat(query, many), np.repeat(score, many)
+        order = np.lexsort((found, -score, query))
+        query, found, score = query[order], found[order], score[order]
+        first = np.arange(len(query)) - np.searchsorted(query, query) < k
+        out.append((query[first] + i, found[first], score[first]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _audit(index: Index, queries: np.ndarray, entries: DataFrame, dtype: str, k: int) -> int:
@@ -190,18 +211,21 @@ def _audit(index: Index, queries: np.ndarray, entries: DataFrame, dtype: str, k:
     return int(np.quantile(np.concatenate(needed), TARGET, method="higher"))
 
 
-def _asks(queries: DataFrame, index: Index, budget: int, dtype: str) -> DataFrame:
-    """(q, vec, block): each query with the blocks it visits."""
+def _asks(queries: DataFrame, index: Index, budget: int, dtype: str, k: int) -> DataFrame:
+    """(q, vec, floor, block): each query with the blocks it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = [index.blocks(x, budget) for x in _matrix(batch.column(1), dtype)]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(found))], names=["q", "vec", "block"])
+            asked = _matrix(batch.column(1), dtype)
+            found = [index.blocks(x, budget) for x in asked]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            arrays = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(index.floors(asked, k)[at]), pa.array(np.concatenate(found))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["q", "vec", "floor", "block"])
 
-    return queries.select("q", "vec").mapInArrow(run, "q long, vec binary, block long")
+    tasks = min(max(1, queries.count() // ASKING), 10_000)
+    return queries.select("q", "vec").repartition(tasks, "q").mapInArrow(run, "q long, vec binary, floor double, block long")
 
 
 def _indexed(nodes: DataFrame, index: Index, dtype: str) -> DataFrame:
@@ -268,7 +292,7 @@ def nearest(rows: DataFrame, k: int = NEAREST, every: int = EVERY, id_col: str =
 
 def _searched(scratch: Scratch, entries: DataFrame, queries: DataFrame, index: Index, budget: int, dtype: str, k: int) -> DataFrame:
     """(q, vec_id, score): the k + 1 best ids of each query, itself among them."""
-    asks = scratch.table(_asks(queries, index, budget, dtype), "asks")
+    asks = scratch.table(_asks(queries, index, budget, dtype, k + 1), "asks")
     parts = scratch.table(asks.groupBy("block").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART).alias("parts")), "parts")
     dealt = join_counted(asks, parts, ["block"]).withColumn("part", F.pmod(F.xxhash64("q"), "parts"))
     placed = _placed(entries, index).join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -278,10 +302,10 @@ def _searched(scratch: Scratch, entries: DataFrame, queries: DataFrame, index: I
             empty = np.empty(0, np.int64)
             return pa.table([pa.array(empty), pa.array(empty), pa.array(np.empty(0))], names=["q", "vec_id", "score"])
         q = left.column("q").to_numpy()
-        at, ids, score = _best(_matrix(left.column("vec"), dtype), _matrix(right.column("vec"), dtype), right.column("ids").combine_chunks(), k + 1)
+        at, ids, score = _best(_matrix(left.column("vec"), dtype), left.column("floor").to_numpy(), _matrix(right.column("vec"), dtype), right.column("ids").combine_chunks(), k + 1)
         return pa.table([pa.array(q[at]), pa.array(ids), pa.array(score)], names=["q", "vec_id", "score"])
 
-    sides = dealt.select("block", "part", "q", "vec"), placed.select("block", "part", "vec", "ids")
+    sides = dealt.select("block", "part", "q", "vec", "floor"), placed.select("block", "part", "vec", "ids")
     found = sides[0].groupBy("block", "part").cogroup(sides[1].groupBy("block", "part")).applyInArrow(compared, "q long, vec_id long, score double")
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
