@@ -14,10 +14,10 @@ from .transcripts import _MESSAGE, blocks, iso_or, number_at, text_at
 TABLES = ["cursorDiskKV"]
 UNNAMED = "New Agent"
 #: A name may start with wrapped context, which isn't the user's text.
-_WRAPPED = r"^(?:\s*<([A-Za-z_-]+)>[\s\S]*?</\1>\s*)+"
+WRAPPED = r"^(?:\s*<([A-Za-z_-]+)>[\s\S]*?</\1>\s*)+"
 
 
-def read_composers(spark: SparkSession, path: str, adapter: str = "cursor") -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_composers(spark: SparkSession, path: str | list[str], adapter: str = "cursor") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Conversations, messages and tool calls; a child's fork point is the place of the bubble that started it.
 
     Headers give the order of bubbles; a bubble without a row is left out. A trace is named by the top of
@@ -66,7 +66,7 @@ def _conversations(heads: DataFrame, messages: DataFrame, adapter: str) -> DataF
     ended = F.coalesce(iso_or(text_at("head", "$.lastUpdatedAt", "$.updatedAt"), none), started)
     links = heads.select(F.col("conversation_id").alias("up"), F.explode(blocks(F.get_json_object("head", "$.subagentComposerIds"))).alias("id")).groupBy("id").agg(F.min("up").alias("up"))
     forks = links.join(messages.select(F.col("conversation_id").alias("up"), "place", "value"), "up").where(F.col("value").contains(F.col("id"))).groupBy("id").agg(F.min("place").alias("fork"))
-    firsts = messages.where("role = 'user'").groupBy("conversation_id").agg(F.min_by(S.first_line_name(F.regexp_replace("content", _WRAPPED, ""), 80), "sequence").alias("first"))
+    firsts = messages.where("role = 'user'").groupBy("conversation_id").agg(F.min_by(S.first_line_name(F.regexp_replace("content", WRAPPED, ""), 80), "sequence").alias("first"))
     name = text_at("head", "$.name")
     out = heads.join(firsts, "conversation_id", "left").withColumn("id", F.col("conversation_id")).join(links, "id", "left").join(forks, "id", "left")
     out = out.select(

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import TOOL_CALL
+from .chats import read_chats
 from .composers import read_composers
 from .rollouts import read_rollouts, trace_roots
 from .sqlite import read_kiro, read_warp
@@ -27,21 +27,26 @@ def _rollouts(spark: SparkSession, path: Paths) -> Tables:
     return trace_roots(conversations), messages, calls
 
 
-def _databases(read: Callable[[SparkSession, str], tuple[DataFrame, ...]]) -> Callable[[SparkSession, Paths], Tables]:
-    """A reader of one database as a reader of several; without calls it gets an empty table of them."""
+def _databases(read: Callable[[SparkSession, Paths], tuple[DataFrame, ...]]) -> Callable[[SparkSession, Paths], Tables]:
+    """A reader of databases; one without calls gets an empty table of them."""
 
     def run(spark: SparkSession, path: Paths) -> Tables:
-        found = [read(spark, p) for p in ([path] if isinstance(path, str) else path)]
-        tables = [reduce(DataFrame.unionByName, parts) for parts in zip(*found)]
-        return (*tables, *([spark.createDataFrame([], TOOL_CALL)] if len(tables) == 2 else []))
+        found = read(spark, path)
+        return (*found, *([spark.createDataFrame([], TOOL_CALL)] if len(found) == 2 else []))
 
     return run
 
 
+def _editor(spark: SparkSession, path: Paths) -> Tables:
+    """The editor's key-value store, and its chats as graphs of blobs."""
+    one, two = read_composers(spark, path), read_chats(spark, path)
+    return tuple(a.unionByName(b) for a, b in zip(one, two))
+
+
 READERS: dict[str, Callable[[SparkSession, Paths], Tables]] = {
     "claude-code": _sessions,
     "codex": _rollouts,
-    "cursor": _databases(read_composers),
+    "cursor": _editor,
     "kiro": _databases(read_kiro),
     "warp": _databases(read_warp),
     "amp": lambda spark, path: read_simple(read_lines(spark, path), AMP),

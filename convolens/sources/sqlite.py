@@ -1,15 +1,16 @@
-"""SQLite files as a Spark data source: each file is read where its partition runs.
+"""SQLite files as a Spark data source: files are read where their partitions run.
 
-spark.read.format("sqlite_rows").option("path", ...).option("tables", "a,b").option("columns", "x,y").load()
-gives the rows of the first of `tables` that a file has, columns that it lacks as null, all as text. The
-files must lie in a folder that every executor sees.
+read_sqlite gives the rows of the first of `tables` that a file has, columns that it lacks as null, all as text.
+Small files share partitions. The files must lie in a folder that every executor sees.
 """
 
 from __future__ import annotations
 
 import glob
+import json
 import os
 import sqlite3
+import urllib.parse
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,23 +25,45 @@ from .transcripts import _MESSAGE, _conversations, iso_or, role_of
 NAME = "sqlite_rows"
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Files are dealt to partitions up to so many bytes and files together; a larger file is a partition of its own.
+PARTITION_BYTES, PARTITION_FILES = 32 << 20, 256
+#: A name in `columns` that stands for the file's time in epoch milliseconds.
+MODIFIED = "_modified"
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.path, self.tables, self.columns = options["path"], options["tables"].split(","), options["columns"].split(",")
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
-    def partitions(self) -> list[_File]:
-        found = glob.glob(os.path.join(self.path, "**", "*"), recursive=True) if os.path.isdir(self.path) else glob.glob(self.path)
-        return [_File(p) for p in sorted(found) if os.path.isfile(p)] or [_File("")]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        db = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.given, self.tables, self.columns = json.loads(options["path"]), options["tables"].split(","), options["columns"].split(",")
+        self.hexed = set(options.get("hexed", "").split(","))
+
+    def partitions(self) -> list[_Files]:
+        found: list[str] = []
+        for path in self.given:
+            found += glob.glob(os.path.join(path, "**", "*"), recursive=True) if os.path.isdir(path) else glob.glob(path)
+        out, held, size = [], [], 0
+        for path in sorted({p for p in found if os.path.isfile(p)}):
+            own = os.path.getsize(path)
+            if held and (size + own > PARTITION_BYTES or len(held) == PARTITION_FILES):
+                out.append(_Files(held))
+                held, size = [], 0
+            held.append(path)
+            size += own
+        return [*out, _Files(held)]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            try:
+                yield from self._rows(path)
+            except sqlite3.DatabaseError:  # not a database: such files are no source
+                continue
+
+    def _rows(self, path: str) -> Iterator[tuple]:
+        db = sqlite3.connect(f"file:{urllib.parse.quote(path)}?mode=ro", uri=True)
         try:
             there = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")}
             table = next((t for t in self.tables if t in there), None)
@@ -48,11 +71,10 @@ class _Reader(DataSourceReader):
                 return
             quote = lambda name: '"' + name.replace('"', '""') + '"'
             have = {r[1] for r in db.execute(f"PRAGMA table_info({quote(table)})")}
-            cells = ", ".join(f"CAST({quote(c)} AS TEXT)" if c in have else "NULL" for c in self.columns)
+            cell = lambda c: f"hex({quote(c)})" if c in self.hexed else f"CAST({quote(c)} AS TEXT)"
+            cells = ", ".join(f"'{round(os.path.getmtime(path) * 1000)}'" if c == MODIFIED else cell(c) if c in have else "NULL" for c in self.columns)
             for n, row in enumerate(db.execute(f"SELECT {cells} FROM {quote(table)}")):
-                yield (partition.path, table, n, *row)
-        except sqlite3.DatabaseError:  # not a database: such files are no source
-            return
+                yield (path, table, n, *row)
         finally:
             db.close()
 
@@ -69,9 +91,12 @@ class SqliteRows(DataSource):
         return _Reader(self.options)
 
 
-def read_sqlite(spark: SparkSession, path: str, tables: list[str], columns: list[str]) -> DataFrame:
+def read_sqlite(spark: SparkSession, path: str | list[str], tables: list[str], columns: list[str], hexed: list[str] | None = None) -> DataFrame:
+    """(path, source_table, n, *columns) of a folder, pattern or file, or of several; `hexed` columns as hexadecimal digits of their bytes."""
     spark.dataSource.register(SqliteRows)
-    return spark.read.format(NAME).option("path", path).option("tables", ",".join(tables)).option("columns", ",".join(columns)).load()
+    given = json.dumps([path] if isinstance(path, str) else list(path))
+    options = {"path": given, "tables": ",".join(tables), "columns": ",".join(columns), "hexed": ",".join(hexed or [])}
+    return spark.read.format(NAME).options(**options).load()
 
 
 # Names of tables that the tools use, the first there counting.
@@ -91,7 +116,7 @@ def _messages(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_kiro(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_kiro(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Conversations and messages of a tool with session and message tables of changing names."""
     heads = read_sqlite(spark, path, SESSION_TABLES, ["id", "title", "cwd", "model"]).select("path", F.col("id").alias("sid"), "title", "cwd", F.col("model").alias("session_model"))
     rows = read_sqlite(spark, path, MESSAGE_TABLES, ["id", "conversation_id", "role", "content", "created_at", "model"]).withColumnRenamed("id", "given")
@@ -104,7 +129,7 @@ def read_kiro(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return conversations, messages.select(*_MESSAGE)
 
 
-def read_warp(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_warp(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """One conversation for each working directory; a query and its response are two messages."""
     rows = read_sqlite(spark, path, ["ai_queries"], ["working_directory", "query", "response", "created_at", "model"])
     cwd = F.coalesce("working_directory", F.lit(""))
