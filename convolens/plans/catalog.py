@@ -11,12 +11,14 @@ from ..functions import scalar as S
 from ..operators import filters as L
 from ..operators import graph as G
 from ..operators import legacy as V1
+from ..operators import matching as MT
 from ..operators import rollup as R
 from ..operators import routing as P
 from ..operators import search as FT
 from ..operators import sync as Y
 from ..operators import upkeep as K
 from ..operators import usage as U
+from ..sources import chats as C
 from . import lens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -628,6 +630,50 @@ def source_diff(spark, sf):
     return Y.source_diff(known, listed)
 
 
+@query(""", blob AS (SELECT conversation_id, id, sequence, max(sequence) OVER (PARTITION BY conversation_id) AS last, CASE WHEN sequence % 6 != 0 AND role != 'system' THEN lag(id) OVER (PARTITION BY conversation_id ORDER BY sequence) END AS up FROM msg),
+walk AS (
+  SELECT conversation_id, id, up, sequence // 6 AS page, sequence AS entry, sequence FROM blob WHERE sequence % 6 = 5 OR sequence = last
+  UNION ALL SELECT w.conversation_id, b.id, b.up, w.page, w.entry, b.sequence FROM walk w JOIN blob b ON b.id = w.up
+), met AS (SELECT id, conversation_id, min((page, sequence)) AS first FROM walk GROUP BY 1, 2)
+SELECT conversation_id, id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY first) AS INT) AS place FROM met""")
+def chat_order(spark, sf):
+    """Messages as blobs: chains of parents in pages of six, broken above a system message, and raw pages that name the last message of each."""
+    w = Window.partitionBy("conversation_id").orderBy("sequence")
+    m = lens.messages(spark, sf).withColumns({"last": F.max("sequence").over(Window.partitionBy("conversation_id")), "before": F.lag("id").over(w)})
+    key, page = lambda c: F.sha2(c, 256), (F.col("sequence") / 6).cast("int")
+    linked = (F.col("sequence") % 6 != 0) & (F.col("role") != "system")
+    up = F.when(linked, key(F.col("before"))).otherwise(F.sha2(F.concat(F.lit("lost"), "id"), 256))
+    rows = m.select(F.col("conversation_id").alias("path"), key(F.col("id")).alias("id"), F.to_json(F.struct("role", up.alias("parentId"))).alias("raw"), F.lit(None).cast("string").alias("data"))
+    names = m.where("sequence % 6 = 5 OR sequence = last").select(F.col("conversation_id").alias("path"), page.alias("page"), F.concat(F.lit("0a20"), key(F.col("id"))).alias("ref"))
+    pages = names.groupBy("path", "page").agg(F.concat(F.lit("0820"), F.max("ref"), F.lit("1220"), F.repeat(F.lit("0"), 70)).alias("data"))
+    top = pages.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.sha2("data", 256).alias("id")))), lambda x: F.concat(F.lit("0a20"), x["id"])), "").alias("data"))
+    raw = lambda df: df.select("path", F.sha2("data", 256).alias("id"), F.lit(None).cast("string").alias("raw"), "data")
+    found = C.read_order(rows.unionByName(raw(pages)).unionByName(raw(top)), top.select("path", F.sha2("data", 256).alias("node")))
+    named = m.select("conversation_id", F.col("id").alias("message_id"), key(F.col("id")).alias("key"))
+    return found.join(named, (F.col("path") == F.col("conversation_id")) & (F.col("id") == F.col("key"))).select("conversation_id", F.col("message_id").alias("id"), "place")
+
+
+ORACLE["chat_order"] = ORACLE["chat_order"].replace("WITH msg0", "WITH RECURSIVE msg0", 1)
+_EVENTS = """SELECT 'c' || (user_id % 100) AS conversation_id, CAST(event_id % 8 AS INT) AS place, CAST(event_id AS INT) AS ord, CASE WHEN event_id % 3 = 2 THEN 'result' ELSE 'call' END AS kind,
+  CASE WHEN event_id % 4 = 0 THEN '' ELSE 'i' || (event_id % 50) END AS call_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS name, 'v' || event_id AS output, event_type = 'error' AS is_error FROM events"""
+
+
+@query(f""", ev AS ({_EVENTS}),
+claim AS (SELECT r.conversation_id, r.place, r.ord, any_value(r.output) AS output, any_value(r.is_error) AS is_error,
+  arg_max((c.place, c.ord), (c.place = r.place, CASE WHEN r.call_id != '' AND c.call_id = r.call_id THEN 2 WHEN r.name != '' AND c.name = r.name THEN 1 ELSE 0 END, c.place, c.ord)) AS own
+  FROM ev r JOIN ev c ON c.conversation_id = r.conversation_id AND c.kind = 'call' AND (c.place, c.ord) < (r.place, r.ord) WHERE r.kind = 'result' GROUP BY 1, 2, 3),
+took AS (SELECT conversation_id, own, arg_max(output, (place, ord)) AS output, bool_or(is_error) AS is_error FROM claim GROUP BY 1, 2)
+SELECT e.conversation_id, e.place, e.ord, e.call_id, e.name, coalesce(t.output, '') AS output, coalesce(t.is_error, FALSE) AS is_error FROM ev e LEFT JOIN took t ON t.conversation_id = e.conversation_id AND t.own = (e.place, e.ord) WHERE e.kind = 'call'""")
+def tool_results_matched(spark, sf):
+    """Events as calls and results whose ids repeat, are missing, or belong to calls of other messages."""
+    e = F.col("event_id")
+    events = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.concat(F.lit("c"), F.col("user_id") % 100).alias("conversation_id"), (e % 8).cast("int").alias("place"), e.cast("int").alias("ord"), F.when(e % 3 == 2, "result").otherwise("call").alias("kind"),
+        F.when(e % 4 == 0, "").otherwise(F.concat(F.lit("i"), e % 50)).alias("call_id"), F.when(e % 5 == 0, "").otherwise(F.col("event_type")).alias("name"), F.concat(F.lit("v"), e).alias("output"), (F.col("event_type") == "error").alias("is_error"),
+    )
+    return MT.answered(events).select("conversation_id", "place", "ord", "call_id", "name", "output", "is_error")
+
+
 @query()
 def bundle_hash(spark, sf):
     s = lens.store(spark, sf)
