@@ -80,17 +80,18 @@ def model_family(model: Column) -> Column:
     return _first_rule(model, FAMILY_RULES, F.when(last == "", model).otherwise(last))
 
 
-def _price(tier: Column, which: int) -> Column:
-    out = F.lit(TIERS["default"][which])
-    for name, prices in TIERS.items():
-        out = F.when(tier == name, F.lit(prices[which])).otherwise(out)
-    return out
+def prices(model: Column) -> Column:
+    """(input, output): the dollars for a million tokens of a model's tier, from a constant map."""
+    table = [x for name, (p, q) in TIERS.items() for x in (F.lit(name), F.struct(F.lit(p).alias("input"), F.lit(q).alias("output")))]
+    return F.element_at(F.create_map(*table), model_tier(model))
+
 
+def estimate_cost(price: Column, n_in: Column, n_out: Column, cache_read: Column, cache_write: Column) -> Column:
+    """Dollars: cached input is read at a tenth of the input price and written at 1.25 times it.
 
-def estimate_cost(model: Column, n_in: Column, n_out: Column, cache_read: Column, cache_write: Column) -> Column:
-    """Dollars: cached input is read at a tenth of the input price and written at 1.25 times it."""
-    tier = model_tier(model)
-    p, q = _price(tier, 0), _price(tier, 1)
+    `price` is a column that holds `prices`: it is named four times here, and a column is worked out once.
+    """
+    p, q = price["input"], price["output"]
     n_in, n_out, cache_read, cache_write = (c.cast("double") for c in (n_in, n_out, cache_read, cache_write))
     return n_in * p / MILLION + cache_read * p * CACHE_READ_SHARE / MILLION + cache_write * p * CACHE_WRITE_SHARE / MILLION + n_out * q / MILLION
 

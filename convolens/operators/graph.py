@@ -11,6 +11,39 @@ from ..functions import scalar as S
 from ..streaming.state import saved
 
 
+def climbed(links: DataFrame, scope: list[str]) -> DataFrame:
+    """(*scope, id, up, at, steps, least): where the walk up from each id ends, walks doubling in length each round.
+
+    `links` has the columns of scope, id and up, an id of the same scope or null. A walk that ended is at an id
+    without up, after `steps` links; one in a circle is somewhere in it, after more steps than there are ids. `least`
+    is the least id that it met behind its start.
+    """
+    here = F.coalesce("up", "id")
+    walk = saved(links.select(*scope, "id", "up", here.alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"), here.alias("least")))
+    for _ in range(walk.count().bit_length() + 1):
+        ahead = walk.select(*scope, F.col("id").alias("at"), F.col("at").alias("far"), F.col("steps").alias("more"), F.col("least").alias("other"))
+        joined = walk.join(ahead, [*scope, "at"])
+        if joined.where("more > 0").isEmpty():
+            break
+        # steps past those of any chain mean a circle: they needn't grow on
+        steps = F.least(F.col("steps") + F.col("more"), F.lit(1 << 60))
+        walk = saved(joined.select(*scope, "id", "up", F.col("far").alias("at"), steps.alias("steps"), F.least("least", "other").alias("least")))
+    return walk
+
+
+def top_traces(links: DataFrame) -> DataFrame:
+    """(id, trace): of (id, parent_id, trace_id), each id once, the trace that its topmost known ancestor names.
+
+    That is the ancestor itself, or the parent that it names where that one isn't known. Circles keep what they have.
+    """
+    known = links.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
+    own = links.join(known, "parent_id", "left").select("id", F.when(F.col("known") & (F.col("parent_id") != F.col("id")), F.col("parent_id")).alias("up"))
+    walk = climbed(own, [])
+    ends = walk.where("up IS NULL").select(F.col("id").alias("at")).join(links.select(F.col("id").alias("at"), F.col("parent_id").alias("above")), "at")
+    found = walk.select("id", "at").join(ends, "at").select("id", F.when(F.col("above").isin("") | (F.col("above") == F.col("at")), F.col("at")).otherwise(F.col("above")).alias("trace"))
+    return links.select("id", "trace_id").join(found, "id", "left").select("id", F.coalesce("trace", "trace_id").alias("trace"))
+
+
 def trace(conversations: DataFrame, trace_id: str) -> DataFrame:
     return conversations.where(F.col("trace_id") == trace_id).orderBy("started_at", "ended_at", "id")
 

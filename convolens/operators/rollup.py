@@ -39,7 +39,8 @@ def message_costs(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """`messages` with est_cost; a message without a model is priced by its conversation's."""
     models = conversations.select(F.col("id").alias("conversation_id"), F.col("model").alias("conversation_model"))
     model = F.coalesce(F.nullif("model", F.lit("")), "conversation_model", F.lit(""))
-    return messages.join(models, "conversation_id").withColumn("est_cost", S.estimate_cost(model, *(F.col(t) for t in TOKENS))).drop("conversation_model")
+    priced = messages.join(models, "conversation_id").withColumn("price", S.prices(model))
+    return priced.withColumn("est_cost", S.estimate_cost(F.col("price"), *(F.col(t) for t in TOKENS))).drop("conversation_model", "price")
 
 
 def conversation_rollup(conversations: DataFrame, messages: DataFrame, tool_calls: DataFrame) -> DataFrame:

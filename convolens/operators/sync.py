@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..model import CONVERSATION, MESSAGE, TOOL_CALL
 
-_DERIVED = {"duration_ms", "message_count", "tool_count", "turn_count", "input_tokens", "output_tokens", "cache_read", "cache_write", "est_cost"}
+#: What a rollup or the rows of other conversations decide.
+_DERIVED = {"trace_id", "fork_point", "duration_ms", "message_count", "tool_count", "turn_count", "input_tokens", "output_tokens", "cache_read", "cache_write", "est_cost"}
 
 
 def bundle_hash(conversations: DataFrame, messages: DataFrame, tool_calls: DataFrame) -> DataFrame:
@@ -22,6 +23,13 @@ def bundle_hash(conversations: DataFrame, messages: DataFrame, tool_calls: DataF
     return joined.select("conversation_id", F.sha2(F.to_json(F.struct("c", "m", "t")), 256).alias("content_hash"))
 
 
+def raised(sync: DataFrame, moved: DataFrame) -> DataFrame:
+    """`sync` with one revision more for the conversations in `moved` (conversation_id): what links decide has changed."""
+    up = moved.select("conversation_id", F.lit(1).cast("long").alias("more"))
+    joined = sync.join(up, "conversation_id", "left")
+    return joined.withColumn("local_revision", F.col("local_revision") + F.coalesce("more", F.lit(0))).drop("more")
+
+
 def revise(sync: DataFrame, hashes: DataFrame, now: str) -> DataFrame:
     """The next state and whether each conversation changed: a new hash raises the revision, an equal one
     only touches the time; conversations not in `hashes` stay."""

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import rollup as R
+from ..operators.graph import climbed
 from ..operators.matching import answered
 from ..streaming.state import saved
 from .composers import UNNAMED, WRAPPED
@@ -55,34 +56,17 @@ def references(blobs: DataFrame) -> DataFrame:
     return found.join(blobs.select("path", F.col("id").alias("ref")), ["path", "ref"])
 
 
-def _climbed(links: DataFrame) -> DataFrame:
-    """(path, id, up, at, steps, least): where the walk up from each id ends, or is after more steps than there are ids.
-
-    `links` has path, id, up; up is an id of the same path or null. `least` is the least id that the walk met behind
-    its start; at a walk that ended, steps counts its links.
-    """
-    here = F.coalesce("up", "id")
-    walk = saved(links.select("path", "id", "up", here.alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"), here.alias("least")))
-    for _ in range(walk.count().bit_length() + 1):
-        ahead = walk.select("path", F.col("id").alias("at"), F.col("at").alias("far"), F.col("steps").alias("more"), F.col("least").alias("other"))
-        joined = walk.join(ahead, ["path", "at"])
-        if joined.where("more > 0").isEmpty():
-            break
-        walk = saved(joined.select("path", "id", "up", F.col("far").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.least("least", "other").alias("least")))
-    return walk
-
-
 def chains(links: DataFrame) -> DataFrame:
     """(path, id, up, at, steps): the end of each chain of parents and the links to it.
 
     A circle of parents is cut above its least id, which then has no parent.
     """
-    walk = _climbed(links)
+    walk = climbed(links, ["path"])
     ends = walk.where("up IS NULL").select("path", F.col("id").alias("at"))
     endless = walk.join(ends, ["path", "at"], "left_anti").select("path", "at").distinct()
     if not endless.isEmpty():
         cut = endless.join(walk.select("path", F.col("id").alias("at"), "least"), ["path", "at"]).select("path", F.col("least").alias("id"), F.lit(True).alias("cut")).distinct()
-        walk = _climbed(links.join(cut, ["path", "id"], "left").select("path", "id", F.when(F.col("cut").isNull(), F.col("up")).alias("up")))
+        walk = climbed(links.join(cut, ["path", "id"], "left").select("path", "id", F.when(F.col("cut").isNull(), F.col("up")).alias("up")), ["path"])
     return walk.select("path", "id", "up", "at", "steps")
 
 

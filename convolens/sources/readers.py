@@ -43,6 +43,9 @@ def _editor(spark: SparkSession, path: Paths) -> Tables:
     return tuple(a.unionByName(b) for a, b in zip(one, two))
 
 
+#: Adapters whose files are one JSON value each.
+WHOLE = ("gemini-cli", "opencode")
+
 READERS: dict[str, Callable[[SparkSession, Paths], Tables]] = {
     "claude-code": _sessions,
     "codex": _rollouts,

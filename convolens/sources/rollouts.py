@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..model import TOKENS
 from ..operators import rollup as R
+from ..operators.graph import top_traces
 from .transcripts import SEPARATOR, _MESSAGE, _segment_conversations, blocks, flat_text, number_at, role_of, text_at
 
 FLUSHED = "Tool call output"
@@ -115,17 +116,7 @@ def _calls(rows: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
-def trace_roots(conversations: DataFrame, most_levels: int = 64) -> DataFrame:
-    """`conversations` whose trace_id is the top of their parent links; a circle keeps what it has."""
-    conversations.select("id", "parent_id").createOrReplaceTempView("_up_rows")
-    tops = conversations.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(id, top, up, steps) MAX RECURSION LEVEL {most_levels} AS (
-          SELECT id, id, parent_id, 0 FROM _up_rows
-          UNION ALL SELECT w.id, r.id, r.parent_id, w.steps + 1 FROM walk w JOIN _up_rows r ON r.id = w.up WHERE w.steps < {most_levels - 2}
-        ) SELECT id, max_by(top, steps) AS top, max_by(up, steps) AS up FROM walk GROUP BY id
-        """
-    )
-    out = conversations.join(tops, "id", "left")
-    ends = F.col("up") == ""
-    return out.withColumn("trace_id", F.when(ends, F.col("top")).otherwise(F.col("trace_id"))).drop("top", "up")
+def trace_roots(conversations: DataFrame) -> DataFrame:
+    """`conversations` whose trace_id is the top of their parent links, or the parent that the top names if it isn't there; a circle keeps what it has."""
+    found = top_traces(conversations.select("id", "parent_id", "trace_id"))
+    return conversations.join(found, "id", "left").withColumn("trace_id", F.col("trace")).drop("trace")

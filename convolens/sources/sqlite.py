@@ -9,6 +9,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 import sqlite3
 import urllib.parse
 from collections.abc import Iterator
@@ -43,7 +44,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Files]:
         found: list[str] = []
-        for path in self.given:
+        for path in (re.sub("^file:/+", "/", p) for p in self.given):
             found += glob.glob(os.path.join(path, "**", "*"), recursive=True) if os.path.isdir(path) else glob.glob(path)
         out, held, size = [], [], 0
         for path in sorted({p for p in found if os.path.isfile(p)}):
@@ -99,6 +100,39 @@ def read_sqlite(spark: SparkSession, path: str | list[str], tables: list[str], c
     return spark.read.format(NAME).options(**options).load()
 
 
+class _Probe(_Reader):
+    """(path, problem): why a file can't be read as a database, or null."""
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            try:
+                db = sqlite3.connect(f"file:{urllib.parse.quote(path)}?mode=ro", uri=True, timeout=1)
+                try:
+                    db.execute("SELECT count(*) FROM sqlite_master").fetchone()
+                    yield path, None
+                finally:
+                    db.close()
+            except sqlite3.Error as problem:
+                yield path, str(problem)
+
+
+class SqliteProbe(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_probe"
+
+    def schema(self) -> str:
+        return "path string, problem string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Probe({"tables": "", "columns": "", **self.options})
+
+
+def probe_sqlite(spark: SparkSession, paths: list[str]) -> DataFrame:
+    spark.dataSource.register(SqliteProbe)
+    return spark.read.format("sqlite_probe").option("path", json.dumps(paths)).load()
+
+
 # Names of tables that the tools use, the first there counting.
 SESSION_TABLES = ["conversations", "sessions", "chats"]
 MESSAGE_TABLES = ["messages", "conversation_messages", "chat_messages"]

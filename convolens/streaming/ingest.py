@@ -1,84 +1,168 @@
-"""Incremental ingest and push: micro-batches of transcript lines, hash-gated revisions, dirty sets, sinks.
+"""Incremental ingest and push: changed files, hash-gated revisions, dirty sets, sinks.
 
-A file that grew is read again whole, since a message may complete what stood before it; which files
-changed is told by their size and time. Each batch commits its tables by one pointer move each, state
-last, so a batch that failed is done again and one that was done twice changes nothing.
+A file that grew is read again whole, since a message may complete what stood before it; which files changed is told
+by their size and time. A batch is one commit of all tables, which rewrites the buckets of the conversations that
+changed; a batch that failed is done again and one that was done twice changes nothing. A file that can't be read is
+put down with its problem and tried again next time, while the others of its batch go on.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import CONVERSATION, MESSAGE, PUSH_STATE, SYNC, TOOL_CALL, Store
+from ..operators import graph as G
 from ..operators import rollup as R
 from ..operators import routing as P
 from ..operators import sync as Y
+from ..sources import discovery as D
 from ..sources import logs
-from ..sources.readers import READERS
-from .state import VersionedTable
-
-SOURCE_STATE = T.StructType([T.StructField("adapter_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.LongType())])
-PUSH_BATCH = 20
+from ..sources.readers import READERS, WHOLE
+from ..sources.sqlite import probe_sqlite
+from ..sources.transcripts import fork_points
+from .state import BUCKETS, Buckets, Snapshot, saved
+
+_FILE = [T.StructField("adapter_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.LongType())]
+SOURCE_STATE = T.StructType(_FILE)
+FAILURE = T.StructType([*_FILE, T.StructField("problem", T.StringType()), T.StructField("failed_at", T.StringType())])
+KINDS = {
+    "conversations": (CONVERSATION, "id"), "messages": (MESSAGE, "conversation_id"), "tool_calls": (TOOL_CALL, "conversation_id"),
+    "sync": (SYNC, "conversation_id"), "push_state": (PUSH_STATE, "conversation_id"), "sources": (SOURCE_STATE, "path"), "failures": (FAILURE, "path"),
+}
+#: Adapters whose traces follow parent links, those whose fork points are calls of the parent, and those that read databases.
+BY_LINKS, BY_CALLS, DATABASES = ("codex", "cursor"), ("claude-code",), ("cursor", "kiro", "warp")
+#: Conversations that are sent and recorded at a time; those due are numbered in parts of so many.
+PUSH_BATCH, PUSH_PART = 20, 100_000
 
 
 def _now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
 
 
+def plain_path(path: Column | str) -> Column:
+    """A local file's path without its scheme, as listings, readers and databases may or may not write it."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), r"\+", "%2B"))
+
+
 class Engine:
     """The tables under one root folder, and what changes them."""
 
-    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], str] = _now):
-        self.spark, self.clock = spark, clock
-        kinds = {"conversations": CONVERSATION, "messages": MESSAGE, "tool_calls": TOOL_CALL, "sync": SYNC, "push_state": PUSH_STATE, "sources": SOURCE_STATE}
-        self.tables = {name: VersionedTable(spark, f"{root}/{name}", schema) for name, schema in kinds.items()}
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], str] = _now, buckets: int = BUCKETS):
+        self.spark, self.clock, self.root = spark, clock, root
+        self.tables = Buckets(spark, root, KINDS, buckets)
 
     def store(self) -> Store:
-        return Store(*(self.tables[n].read() for n in ("conversations", "messages", "tool_calls", "sync", "push_state")))
+        """All tables as of one commit."""
+        now = self.tables.snapshot()
+        return Store(*(self.tables.read(n, now) for n in ("conversations", "messages", "tool_calls", "sync", "push_state")))
 
-    def changed_sources(self, adapter: str, listed: DataFrame) -> DataFrame:
-        """(path, change) of files that are new, changed or gone. An empty store takes all files as new."""
-        known = self.tables["sources"].read().where(F.col("adapter_id") == adapter)
-        if self.tables["conversations"].version() == 0:
-            known = known.limit(0)
-        return Y.source_diff(known, listed)
+    def failures(self) -> DataFrame:
+        """Files that couldn't be read when last tried."""
+        return self.tables.read("failures")
+
+    def changed_sources(self, adapter: str, listed: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
+        """(path, change) of files that are new, changed or gone. A store without conversations takes all files as new."""
+        now = snapshot or self.tables.snapshot()
+        known = self.tables.read("sources", now).where(F.col("adapter_id") == adapter)
+        return Y.source_diff(known if now.folders.get("conversations") else known.limit(0), listed)
 
     def ingest(self, adapter: str, path: str) -> int:
-        """Reads the files of `path` that changed; returns how many conversations changed."""
-        # names, sizes and times as of one moment, which the driver lists anyway: a later change shows next time
-        listed = self.spark.createDataFrame(logs.listing(self.spark, path).collect(), "path string, size long, mtime long")
-        changes = [r["path"] for r in self.changed_sources(adapter, listed).where("change != 'removed'").collect()]
-        if not changes:
+        """Reads the files of `path` that changed; returns how many conversations changed. The engine's own files are left out."""
+        now = self.tables.snapshot()
+        # names, sizes and times as of one moment: a later change shows next time
+        listed = saved(logs.listing(self.spark, path).where(D.not_own(plain_path("path"), re.sub("^file:/+", "/", self.root))))
+        changes = self.changed_sources(adapter, listed, now).where("change != 'removed'").select("path")
+        files = saved(listed.join(changes, "path", "left_semi").withColumn("adapter_id", F.lit(adapter)))
+        paths = [r["path"] for r in files.select("path").collect()]  # Spark's readers take names
+        if not paths:
             return 0
-        changed = self.write(*READERS[adapter](self.spark, changes))
-        rows = listed.where(F.col("path").isin(changes)).withColumn("adapter_id", F.lit(adapter))
-        self.tables["sources"].upsert(rows, ["adapter_id", "path"])  # last: a failure before this reads them again
-        return changed
-
-    def write(self, conversations: DataFrame, messages: DataFrame, tool_calls: DataFrame) -> int:
-        """Takes in whole conversations; those whose content hash is known only get a new time."""
+        conversations, messages, tool_calls = READERS[adapter](self.spark, paths)
+        conversations = saved(conversations)
+        failed = self._failed(adapter, files, conversations)
+        done = files.join(failed.select("path"), "path", "left_anti")
+        more = {"sources": (done, done), "failures": (failed.withColumn("failed_at", F.lit(self.clock())), files)}
+        return self.write(conversations, messages, tool_calls, more, now)
+
+    def _failed(self, adapter: str, files: DataFrame, conversations: DataFrame) -> DataFrame:
+        """`files` that gave no conversation and can't be read, with their problem. Only files without a conversation are looked at again."""
+        read = conversations.select(plain_path("source_path").alias("plain")).distinct()
+        silent = saved(files.where("size > 0").withColumn("plain", plain_path("path")).join(read, "plain", "left_anti"))
+        paths = [r["path"] for r in silent.select("path").collect()]
+        if not paths:
+            return silent.drop("plain").withColumn("problem", F.lit(""))
+        if adapter in DATABASES:
+            found = probe_sqlite(self.spark, paths).where("problem IS NOT NULL")
+        else:
+            text = self.spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("wholetext", adapter in WHOLE).text(paths)
+            rows = text.select(F.col("_metadata")["file_path"].alias("path"), F.try_parse_json("value").isNotNull().alias("good"), (F.trim("value") != "").alias("said"))
+            seen = rows.groupBy("path").agg(F.count_if("said").alias("lines"), F.count_if("good").alias("good"))
+            found = seen.where("lines > 0 AND good = 0").select("path", F.format_string("none of %d lines is JSON", "lines").alias("problem"))
+        found = found.select(plain_path("path").alias("plain"), "problem")
+        return saved(silent.join(found, "plain").drop("plain"))
+
+    def write(self, conversations: DataFrame, messages: DataFrame, tool_calls: DataFrame, more: dict | None = None, snapshot: Snapshot | None = None) -> int:
+        """Takes in whole conversations in one commit, with the changes `more` of other tables; returns how many changed.
+
+        Those whose content hash is known only get a new time. Traces and fork points are worked out over what is
+        stored too, so that a parent that comes later moves its descendants as if all had come at once.
+        """
+        now = snapshot or self.tables.snapshot()
         conversations, messages, tool_calls = conversations.cache(), messages.cache(), tool_calls.cache()
-        state = Y.revise(self.tables["sync"].read(), Y.bundle_hash(conversations, messages, tool_calls), self.clock()).cache()
+        came = conversations.select(F.col("id").alias("conversation_id"))
+        hashes = Y.bundle_hash(conversations, messages, tool_calls)
+        before = self._of("sync", came, now)
+        state = Y.revise(before, hashes, self.clock()).cache()
         ids = state.where("changed").select("conversation_id").cache()
         changed = ids.count()
-        if changed:
-            own = conversations.join(ids.withColumnRenamed("conversation_id", "id"), "id", "left_semi")
-            m, t = (df.join(ids, "conversation_id", "left_semi") for df in (messages, tool_calls))
-            for name, rows in (("messages", m), ("tool_calls", t)):
-                old = self.tables[name].read().join(ids, "conversation_id", "left_anti")
-                self.tables[name].replace(old.unionByName(rows.select(old.columns)))
-            self.tables["conversations"].upsert(R.conversation_rollup(own, m, t), ["id"])
-        self.tables["sync"].replace(state.select("conversation_id", "content_hash", "local_revision", "ingested_at"))
+        keys = ids.withColumnRenamed("conversation_id", "id")
+        m, t = (df.join(ids, "conversation_id", "left_semi") for df in (messages, tool_calls))
+        own, moved = self._linked(conversations.join(keys, "id", "left_semi"), keys, m, t, now)
+        moved_ids = moved.select(F.col("id").alias("conversation_id"))
+        touched = came.unionByName(moved_ids).distinct()
+        known = self._of("sync", moved_ids, now).join(came, "conversation_id", "left_anti")
+        sync = Y.raised(state.drop("changed").unionByName(known), moved_ids)
+        changes = {"messages": (m, ids), "tool_calls": (t, ids), "conversations": (R.conversation_rollup(own, m, t).unionByName(moved), keys.unionByName(moved.select("id"))), "sync": (sync, touched)}
+        self.tables.commit(now, changes | (more or {}))
         for df in (conversations, messages, tool_calls, state, ids):
             df.unpersist()
         return changed
 
+    def _of(self, name: str, ids: DataFrame, snapshot: Snapshot) -> DataFrame:
+        """The rows of a table that have a conversation of `ids`, read from their buckets alone."""
+        key = KINDS[name][1]
+        wanted = ids.select(F.col("conversation_id").alias(key)).distinct()
+        return self.tables.read(name, snapshot, self.tables.touched(name, wanted, snapshot)).join(wanted, key, "left_semi")
+
+    def _linked(self, own: DataFrame, keys: DataFrame, messages: DataFrame, tool_calls: DataFrame, now: Snapshot) -> tuple[DataFrame, DataFrame]:
+        """`own`, the conversations that changed, with traces and fork points over all; and stored ones that get others."""
+        kinds = {r[0] for r in own.select("adapter_id").distinct().collect()}
+        stored = self.tables.read("conversations", now).join(keys, "id", "left_anti")
+        moved = stored.limit(0)
+        if kinds & set(BY_LINKS):
+            link = ["id", "parent_id", "trace_id"]
+            traced = F.col("adapter_id").isin(*BY_LINKS)
+            found = saved(G.top_traces(saved(own.where(traced).select(link).unionByName(stored.where(traced).select(link)))))
+            own = own.join(found, "id", "left").withColumn("trace_id", F.coalesce("trace", "trace_id")).drop("trace")
+            moved = saved(stored.join(found, "id").where("trace != trace_id").withColumn("trace_id", F.col("trace")).drop("trace"))
+        if kinds & set(BY_CALLS):
+            lost = (F.col("relationship") == "spawned") & (F.col("fork_point") == -1) & F.col("adapter_id").isin(*BY_CALLS)
+            late = stored.where(lost).join(keys.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+            waiting = saved(own.where(lost).select("id", "parent_id", "relationship", "fork_point").unionByName(late.select("id", "parent_id", "relationship", "fork_point")))
+            parents = waiting.select(F.col("parent_id").alias("conversation_id")).distinct()
+            away = parents.join(keys, parents["conversation_id"] == keys["id"], "left_anti")
+            m, t = (df.join(parents, "conversation_id", "left_semi").unionByName(self._of(n, away, now).select(df.columns)) for df, n in ((messages, "messages"), (tool_calls, "tool_calls")))
+            found = saved(fork_points(waiting, m, t).where("fork_point != -1").select("id", F.col("fork_point").alias("found")))
+            own = own.join(found, "id", "left").withColumn("fork_point", F.coalesce("found", "fork_point")).drop("found")
+            moved = moved.unionByName(late.join(found, "id").withColumn("fork_point", F.col("found")).select(moved.columns))
+        return own.cache(), moved.cache()
+
     def watch(self, adapter: str, path: str, checkpoint: str, seconds: int = 60, once: bool = False) -> StreamingQuery:
         """A stream that ingests `path` again at each trigger that sees new files; `once`: all there is, then stop."""
         lines = self.spark.readStream.option("recursiveFileLookup", True).text(path)
@@ -98,22 +182,34 @@ class Engine:
         body = F.to_json(F.struct(F.struct(*mine.columns).alias("conversation"), "messages", "tool_calls"))
         return joined.select("id", "adapter_id", "revision", F.concat_ws(":r", "id", F.col("revision").cast("string")).alias("idempotency_key"), body.alias("body"))
 
-    def push(self, sink: str, routes: list[P.Route], send: Callable[[DataFrame], DataFrame]) -> int:
-        """Sends what is due and records it; `send` gives (id, ok, error). What isn't recorded is sent again, with the same key."""
-        due = self.payloads(sink, routes).cache()
+    def push(self, sink: str, routes: list[P.Route], send: Callable[[DataFrame], DataFrame], batch: int = PUSH_BATCH) -> int:
+        """Sends what is due, `batch` conversations at a time, and records each batch before the next; returns how many were sent.
+
+        `send` gives (id, ok, error). When it fails, the batches before it stay recorded; what isn't recorded is sent
+        again with the same key. A revision that came meanwhile stays due, since the one that was sent is recorded.
+        """
+        due = saved(self.payloads(sink, routes))
         n = due.count()
-        if n:
-            results = send(due).join(due.select("id", "revision"), "id")
-            rows = results.select(F.col("id").alias("conversation_id"), F.lit(sink).alias("sink_id"), "revision", "ok", "error")
-            table = self.tables["push_state"]
-            table.replace(Y.record_push(table.read(), rows, self.clock()), table.version())
-        due.unpersist()
+        part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // PUSH_PART))))
+        nth = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+        dealt = saved(due.withColumn("part", part).withColumn("batch", F.floor(nth / batch)))
+        for key in sorted(map(tuple, dealt.select("part", "batch").distinct().collect())):
+            rows = dealt.where((F.col("part") == key[0]) & (F.col("batch") == key[1])).drop("part", "batch")
+            self._record(sink, saved(send(rows).join(rows.select("id", "revision"), "id")))
         return n
 
+    def _record(self, sink: str, results: DataFrame) -> None:
+        now = self.tables.snapshot()
+        rows = results.select(F.col("id").alias("conversation_id"), F.lit(sink).alias("sink_id"), "revision", "ok", "error")
+        ids = rows.select("conversation_id")
+        self.tables.commit(now, {"push_state": (Y.record_push(self._of("push_state", ids, now), rows, self.clock()), ids)})
+
     def repush(self, sink: str) -> dict:
         """Forgets what the sink has taken; the counts of rows cleared and of conversations due before and after."""
-        s = self.store()
-        kept, counts = Y.reset_push(s.sync, s.push_state, sink)
+        now = self.tables.snapshot()
+        state = self.tables.read("push_state", now)
+        kept, counts = Y.reset_push(self.tables.read("sync", now), state, sink)
         out = counts.first().asDict()
-        self.tables["push_state"].replace(kept)
+        ids = state.where(F.col("sink_id") == sink).select("conversation_id")
+        self.tables.commit(now, {"push_state": (kept.join(ids, "conversation_id", "left_semi"), ids)})
         return out

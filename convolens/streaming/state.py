@@ -1,15 +1,20 @@
-"""Versioned tables: each commit writes a new folder and then moves one small pointer file.
+"""The engine's tables on disk: Parquet folders by bucket of a key's hash, and one pointer for all tables.
 
-Readers follow the pointer, so they see all of a commit or nothing of it, and a failed or lost writer
-leaves the last version in place.
+A commit writes only the buckets of the keys that changed, into new folders, and then creates the next pointer, a
+small file that names each table's folder for each bucket. Readers follow a pointer, so they see all tables as of one
+commit; a failed or lost writer leaves the last pointer in place.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -30,68 +35,108 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class VersionedTable:
-    """A Parquet table under `root`; `replace` writes the next version whole or only the keys that changed."""
+#: Buckets of a table: a conversation that changed rewrites one of so many parts. A store keeps the number it began with.
+BUCKETS = 32
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
-    def _pointers(self) -> list[str]:
-        folder = self._path(f"{self.root}/versions")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
+@dataclass(frozen=True)
+class Snapshot:
+    """What a pointer names: of each table the folder of each bucket that has rows."""
 
-    def version(self) -> int:
-        """0 before the first commit."""
-        found = self._pointers()
-        return int(found[-1]) if found else 0
+    version: int = 0
+    buckets: int = BUCKETS
+    folders: dict[str, dict[int, str]] = field(default_factory=dict)
 
-    def _data(self, pointer: str) -> str:
-        """The folder that a pointer names; empty while its writer hasn't closed it."""
-        stream = self._fs.open(self._path(f"{self.root}/versions/{pointer}"))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
 
-    def read(self) -> DataFrame:
-        for pointer in reversed(self._pointers()):
-            if name := self._data(pointer):
-                return self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{name}")
-        return self.spark.createDataFrame([], self.schema)
+class Buckets:
+    """Tables under one root; `kinds` gives each table's schema and key column."""
+
+    def __init__(self, spark: SparkSession, root: str, kinds: dict[str, tuple[StructType, str]], buckets: int = BUCKETS):
+        self.spark, self.root, self.kinds, self.buckets = spark, root.rstrip("/"), kinds, buckets
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
-    def replace(self, rows: DataFrame, expected: int | None = None) -> int:
-        """Commits `rows` as the next version. With `expected`, a commit since then makes this one fail.
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
-        The pointer is named by the version alone and created only where there is none, so of two writers of
-        one version the second fails.
+    def _pointer(self, name: str) -> Snapshot | None:
+        """None while its writer hasn't closed it."""
+        stream = self._fs.open(self._path(f"{self.root}/versions/{name}"))
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        if not text:
+            return None
+        found = json.loads(text)
+        return Snapshot(int(name), found["buckets"], {t: {int(b): f for b, f in folders.items()} for t, folders in found["folders"].items()})
+
+    def snapshot(self) -> Snapshot:
+        """The newest commit; version 0 before the first."""
+        for name in reversed(self._names("versions")):
+            if found := self._pointer(name):
+                return found
+        return Snapshot(buckets=self.buckets)
+
+    def bucket(self, key: Column | str, snapshot: Snapshot) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(snapshot.buckets)).cast("int")
+
+    def read(self, name: str, snapshot: Snapshot | None = None, only: set[int] | None = None) -> DataFrame:
+        """A table as of `snapshot`, or its buckets `only`."""
+        folders = (snapshot or self.snapshot()).folders.get(name, {})
+        paths = [f"{self.root}/{f}" for b, f in sorted(folders.items()) if only is None or b in only]
+        schema = self.kinds[name][0]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def touched(self, name: str, keys: DataFrame, snapshot: Snapshot) -> set[int]:
+        """The buckets of `keys`, a table with the key column: at most as many as there are."""
+        return {r[0] for r in keys.select(self.bucket(self.kinds[name][1], snapshot).alias("b")).distinct().collect()}
+
+    def _written(self, snapshot: Snapshot, name: str, rows: DataFrame, keys: DataFrame) -> tuple[set[int], dict[int, str]]:
+        """Writes the buckets of `keys` anew: these buckets, and the folders of those that have rows."""
+        schema, key = self.kinds[name]
+        ids = keys.select(key).distinct()
+        buckets = self.touched(name, ids, snapshot)
+        if not buckets:
+            return buckets, {}
+        old = self.read(name, snapshot, buckets).join(ids, key, "left_anti")
+        folder = f"data/{name}/{snapshot.version + 1:010d}-{uuid.uuid4().hex}"
+        new = old.select(schema.fieldNames()).unionByName(rows.select(schema.fieldNames())).withColumn("bucket", self.bucket(key, snapshot))
+        new.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        return buckets, {int(n.split("=")[1]): f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
+
+    def commit(self, snapshot: Snapshot, changes: dict[str, tuple[DataFrame, DataFrame]]) -> Snapshot:
+        """The commit after `snapshot`, in which each table of `changes` has new rows in place of those of some keys.
+
+        A change is (rows, keys): rows whose key is among `keys` go and `rows`, which have only such keys, come. The pointer is named by its version
+        alone and created only where there is none, so of two writers of one version the second fails.
         """
-        now = self.version()
-        if expected is not None and expected != now:
-            raise RuntimeError(f"version {now} was committed after {expected} was read")
-        name = f"{now + 1:010d}-{uuid.uuid4().hex}"
-        rows.select(self.schema.fieldNames()).write.parquet(f"{self.root}/data/{name}")
+        folders = {t: dict(f) for t, f in snapshot.folders.items()}
+        with ThreadPoolExecutor(len(changes)) as pool:  # tables are written side by side
+            for name, (buckets, there) in zip(changes, pool.map(lambda c: self._written(snapshot, c, *changes[c]), changes)):
+                folders[name] = {b: f for b, f in folders.get(name, {}).items() if b not in buckets} | there
+        version = snapshot.version + 1
+        if self.snapshot().version != snapshot.version:
+            raise RuntimeError(f"version {version} was committed after {snapshot.version} was read")
         try:
-            stream = self._fs.create(self._path(f"{self.root}/versions/{now + 1:010d}"), False)
+            stream = self._fs.create(self._path(f"{self.root}/versions/{version:010d}"), False)
         except Exception as taken:
-            raise RuntimeError(f"another writer committed version {now + 1}") from taken
-        stream.write(bytearray(name.encode()))
+            raise RuntimeError(f"another writer committed version {version}") from taken
+        stream.write(bytearray(json.dumps({"buckets": snapshot.buckets, "folders": folders}).encode()))
         stream.close()
-        return now + 1
-
-    def upsert(self, rows: DataFrame, keys: list[str]) -> int:
-        """Replaces the rows of all keys in `rows`; other rows stay."""
-        old = self.read()
-        return self.replace(old.join(rows.select(keys).distinct(), keys, "left_anti").unionByName(rows.select(old.columns)), self.version())
+        return Snapshot(version, snapshot.buckets, folders)
 
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes all but the last `keep` versions."""
-        for name in self._pointers()[:-keep]:
-            data = self._data(name)
+        """Deletes all pointers but the last `keep`, and what only they named. Folders of a later writer stay."""
+        names = self._names("versions")
+        kept = [s for s in map(self._pointer, names[-keep:]) if s]
+        for name in names[:-keep]:
             self._fs.delete(self._path(f"{self.root}/versions/{name}"), False)
-            if data:
-                self._fs.delete(self._path(f"{self.root}/data/{data}"), True)
+        used = {f for s in kept for folders in s.folders.values() for f in folders.values()}
+        for table in self.kinds:
+            for version in self._names(f"data/{table}"):
+                if kept and int(version.split("-")[0]) <= kept[-1].version:
+                    for bucket in self._names(f"data/{table}/{version}"):
+                        if f"data/{table}/{version}/{bucket}" not in used and bucket.startswith("bucket="):
+                            self._fs.delete(self._path(f"{self.root}/data/{table}/{version}/{bucket}"), True)

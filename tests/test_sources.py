@@ -221,18 +221,3 @@ def test_long_chains_and_circles(spark):
     assert {r["id"]: r["top"] for r in G.trace_consistency(c).collect()} == {"x": None, "y": None, "o": "o"}
     m = spark.createDataFrame([(f"m{i}", f"n{i:03d}", 1, 0) for i in range(20)], "id string, conversation_id string, sequence int, turn int")
     assert [r["id"] for r in G.render_order(c, m).orderBy("place").collect()] == [f"m{i}" for i in range(20)]
-
-
-def test_two_writers_of_one_version(spark, tmp_path):
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    from convolens.streaming.state import VersionedTable
-
-    schema = StructType([StructField("a", StringType())])
-    one, other = (VersionedTable(spark, f"file://{tmp_path}/t", schema) for _ in range(2))
-    rows = spark.createDataFrame([("x",)], schema)
-    assert one.replace(rows) == 1
-    other.version = lambda: 0  # it looked before the first one committed
-    with pytest.raises(RuntimeError):
-        other.replace(rows)
-    assert one.read().count() == 1 and one.version() == 1
