@@ -6,7 +6,7 @@ reader; the SQL gives the same rows from the tables alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import rollouts
@@ -121,13 +121,43 @@ def export_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.markdown(lens.bare_conversations(m), m)
 
 
-QUERIES = {f.__name__: f for f in (adapters_amp, adapters_pi, adapters_piagent, adapters_gemini, adapters_opencode, adapters_claude_code, adapters_codex, engine_ingest, export_markdown)}
+def export_json(spark: SparkSession, sf: str) -> DataFrame:
+    m = lens.messages(spark, sf)
+    out = sinks.export_json(lens.bare_conversations(m), m)
+    part = lambda path: F.get_json_object("json", path)
+    listed = F.from_json(part("$.messages"), "array<struct<sequence:int,content:string>>")
+    text = F.array_join(F.transform(listed, lambda p: F.concat(p["sequence"].cast("string"), F.lit(":"), p["content"])), "|")
+    return out.select("id", "filename", part("$.conversation.name").alias("name"), F.size(listed).cast("long").alias("messages"), F.sha2(text, 256).alias("texts"))
+
+
+def engine_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations without their last message, then some whole: only those are read anew, with a new revision."""
+    m = lens.messages(spark, sf)
+    short = m.withColumn("last", F.max("sequence").over(Window.partitionBy("conversation_id"))).where("sequence < last").drop("last")
+    some = m.where(F.substring("conversation_id", 2, 20).cast("long") % 3 == 0)
+    engine = Engine(spark, f"{scratch_path(spark)}/store", clock=lambda: "now")
+    none = lens.tool_calls(spark, sf).limit(0)
+    engine.write(lens.bare_conversations(short), short, none)
+    changed = engine.write(lens.bare_conversations(some), some, none)
+    now = engine.tables.snapshot()
+    found, sync = engine.tables.read("conversations", now), engine.tables.read("sync", now)
+    said = engine.tables.read("messages", now).groupBy("conversation_id").agg(F.sum("sequence").alias("sequences"))
+    rows = found.join(sync, F.col("id") == F.col("conversation_id")).drop("conversation_id").join(said, F.col("id") == F.col("conversation_id"))
+    return rows.select("id", "message_count", "input_tokens", "local_revision", "sequences", F.lit(changed).cast("long").alias("changed"))
+
+
+QUERIES = {f.__name__: f for f in (export_json, engine_updates, adapters_amp, adapters_pi, adapters_piagent, adapters_gemini, adapters_opencode, adapters_claude_code, adapters_codex, engine_ingest, export_markdown)}
 
 ORACLE = {name: lens.SQL + sql for name, sql in {
     **dict.fromkeys(("adapters_amp", "adapters_pi", "adapters_piagent", "adapters_gemini", "adapters_opencode"), _ALL),
     "adapters_claude_code": _TWO,
     "adapters_codex": _TWO.replace("CAST(users + CASE WHEN f = 'assistant' THEN 1 ELSE 0 END AS INT)", "CAST(CASE WHEN users = 0 THEN -1 ELSE users END AS INT)"),
     "engine_ingest": " SELECT conversation_id AS id, count(*) AS message_count, sum(input_tokens)::BIGINT AS input_tokens, 1::BIGINT AS local_revision, 0::BIGINT AS changed_again FROM msg WHERE content != '' GROUP BY 1",
+    "export_json": """, parts AS (SELECT conversation_id, count(*) AS messages, sha256(string_agg(sequence || ':' || content, '|' ORDER BY sequence, id)) AS texts FROM msg GROUP BY 1)
+SELECT c.id, concat_ws('-', started_at[1:10], substr(regexp_replace(name, '[^A-Za-z0-9]+', '-', 'g'), 1, 50), substr(c.id, 1, 8)) AS filename, name, messages, texts FROM conv c JOIN parts p ON p.conversation_id = c.id""",
+    "engine_updates": """, x AS (SELECT *, max(sequence) OVER (PARTITION BY conversation_id) AS last, conv_id % 3 = 0 AS again FROM msg),
+y AS (SELECT conversation_id AS id, count(*) AS message_count, sum(input_tokens)::BIGINT AS input_tokens, any_value(CASE WHEN again AND last > 0 THEN 2 ELSE 1 END)::BIGINT AS local_revision, sum(sequence)::BIGINT AS sequences FROM x WHERE again OR sequence < last GROUP BY 1)
+SELECT *, (SELECT count(DISTINCT conversation_id) FROM x WHERE again) AS changed FROM y""",
     "export_markdown": """, parts AS (SELECT conversation_id, string_agg('## ' || upper(role[1]) || role[2:] || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY sequence, id) AS body FROM msg GROUP BY 1)
 SELECT c.id, concat_ws('-', started_at[1:10], substr(regexp_replace(name, '[^A-Za-z0-9]+', '-', 'g'), 1, 50), substr(c.id, 1, 8)) AS filename,
 '# ' || name || chr(10) || chr(10) || '- Harness: ' || adapter_id || chr(10) || '- Started: ' || started_at || chr(10) || chr(10) || coalesce(body, '') AS markdown FROM conv c LEFT JOIN parts p ON p.conversation_id = c.id""",

@@ -11,7 +11,7 @@ from .chats import read_chats
 from .composers import read_composers
 from .rollouts import read_rollouts, trace_roots
 from .sqlite import read_kiro, read_warp
-from .transcripts import AMP, GEMINI, OPENCODE, PI, PIAGENT, fork_points, read_documents, read_lines, read_sessions, read_simple
+from .transcripts import AMP, GEMINI, OPENCODE, OPENCODE_LINES, PI, PIAGENT, fork_points, read_documents, read_lines, read_sessions, read_simple
 
 Paths = str | list[str]
 Tables = tuple[DataFrame, DataFrame, DataFrame]
@@ -43,6 +43,12 @@ def _editor(spark: SparkSession, path: Paths) -> Tables:
     return tuple(a.unionByName(b) for a, b in zip(one, two))
 
 
+def _opencode(spark: SparkSession, path: Paths) -> Tables:
+    """Sessions as documents, and as lines."""
+    one, two = read_simple(read_documents(spark, path), OPENCODE), read_simple(read_lines(spark, path), OPENCODE_LINES)
+    return tuple(a.unionByName(b) for a, b in zip(one, two))
+
+
 #: Adapters whose files are one JSON value each.
 WHOLE = ("gemini-cli", "opencode")
 
@@ -56,5 +62,5 @@ READERS: dict[str, Callable[[SparkSession, Paths], Tables]] = {
     "pi": lambda spark, path: read_simple(read_lines(spark, path), PI),
     "piagent": lambda spark, path: read_simple(read_lines(spark, path), PIAGENT),
     "gemini-cli": lambda spark, path: read_simple(read_documents(spark, path), GEMINI),
-    "opencode": lambda spark, path: read_simple(read_documents(spark, path), OPENCODE),
+    "opencode": _opencode,
 }

@@ -101,6 +101,7 @@ class Simple:
     time: tuple[str, ...] = ("$.timestamp", "$.createTime", "$.createdAt")
     model: tuple[str, ...] = ("$.model", "$.message.model")
     items: tuple[str, ...] = ()
+    last: bool = False  # of lines, whether the last that names a session counts
 
 
 AMP = Simple("amp", ("$.thread_id", "$.threadId"))
@@ -108,6 +109,7 @@ PI = Simple("pi", ("$.session_id", "$.sessionId"))
 PIAGENT = Simple("piagent", ("$.session_id", "$.sessionId"))
 GEMINI = Simple("gemini-cli", ("$.sessionId", "$.id"), role=("$.role", "$.type"), items=("$.turns", "$.messages", "$.conversation"))
 OPENCODE = Simple("opencode", ("$.id", "$.sessionId"), items=("$.messages", "$.turns", "$.conversation"))
+OPENCODE_LINES = Simple("opencode", ("$.session_id", "$.thread_id", "$.id"), last=True)
 
 _USAGE = {
     "input_tokens": ("$.usage.input_tokens", "$.usage.inputTokens", "$.usage.input"),
@@ -124,8 +126,9 @@ def _stem(path: Column) -> Column:
 def _rows(source: DataFrame, spec: Simple) -> DataFrame:
     """(path, modified, line, value, session, cwd) of each message row."""
     if not spec.items:
-        session = F.first(F.nullif(text_at("value", *spec.session), F.lit("")), ignorenulls=True).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        cwd = F.first(F.nullif(text_at("value", "$.cwd"), F.lit("")), ignorenulls=True).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        whole, pick = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.last if spec.last else F.first
+        session = pick(F.nullif(text_at("value", *spec.session), F.lit("")), ignorenulls=True).over(whole)
+        cwd = pick(F.nullif(text_at("value", "$.cwd"), F.lit("")), ignorenulls=True).over(whole)
         return source.withColumns({"session": F.coalesce(session, _stem(F.col("path"))), "cwd": F.coalesce(cwd, F.lit(""))})
     items = F.coalesce(*(blocks(F.get_json_object("value", p)) for p in spec.items))
     session = F.coalesce(F.nullif(text_at("value", *spec.session), F.lit("")), _stem(F.col("path")))

@@ -27,6 +27,7 @@ from ..sources import logs
 from ..sources.readers import READERS, WHOLE
 from ..sources.sqlite import probe_sqlite
 from ..sources.transcripts import fork_points
+from .growing import growing_files
 from .state import BUCKETS, Buckets, Snapshot, saved
 
 _FILE = [T.StructField("adapter_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.LongType())]
@@ -164,10 +165,14 @@ class Engine:
         return own.cache(), moved.cache()
 
     def watch(self, adapter: str, path: str, checkpoint: str, seconds: int = 60, once: bool = False) -> StreamingQuery:
-        """A stream that ingests `path` again at each trigger that sees new files; `once`: all there is, then stop."""
-        lines = self.spark.readStream.option("recursiveFileLookup", True).text(path)
+        """A stream that ingests `path` again at each trigger that sees a new, grown or rewritten file; `once`: what there is now, then stop.
+
+        A folder of a store that only Spark reaches is watched by Spark's file source, which sees new names alone.
+        """
+        local = path.startswith(("/", "file:"))
+        seen = growing_files(self.spark, path) if local else self.spark.readStream.option("recursiveFileLookup", True).text(path)
         trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
-        return lines.writeStream.foreachBatch(lambda _df, _n: self.ingest(adapter, path)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+        return seen.writeStream.foreachBatch(lambda _df, _n: self.ingest(adapter, path)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
     def payloads(self, sink: str, routes: list[P.Route]) -> DataFrame:
         """The conversations that the sink needs and rules send there, each with its messages and calls, as JSON."""

@@ -3,27 +3,49 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _RESULT = "id string, ok boolean, error string"
 
 
+def object_key(adapter: str, conversation: str, prefix: str = "") -> str:
+    """prefix/adapter/id.json; a slash or a name of dots alone can't lead to another folder."""
+    safe = lambda x: re.sub(r"[/\\]|^\.+$", lambda m: "".join(f"%{ord(c):02X}" for c in m[0]), x)
+    return "/".join(x for x in (prefix.strip("/"), safe(adapter or ""), f"{safe(conversation)}.json") if x)
+
+
 def objects(root: str, prefix: str = "") -> Callable[[DataFrame], DataFrame]:
-    """One file for each conversation under root/prefix/adapter_id=.../id=..., in any store that Hadoop reaches."""
-    folder = "/".join(x for x in (root.rstrip("/"), prefix.strip("/")) if x)
+    """One object for each conversation at root/prefix/adapter/id.json, in any store that Arrow's file systems reach.
 
-    def send(rows: DataFrame) -> DataFrame:
-        named = rows.select(F.col("adapter_id"), F.col("id"), F.col("body"))
-        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("adapter_id", "id").text(folder)
-        return rows.select("id", F.lit(True).alias("ok"), F.lit("").alias("error"))
+    Each task writes its rows' objects, one at a time, under their final names: one that is written again has the same
+    key. An object that fails gives its error and leaves the others alone.
+    """
 
-    return send
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for frame in frames:
+            errors = []
+            for adapter, conversation, body in zip(frame.adapter_id, frame.id, frame.body):
+                path = f"{base.rstrip('/')}/{object_key(adapter, conversation, prefix)}"
+                try:
+                    store.create_dir(path.rpartition("/")[0], recursive=True)
+                    with store.open_output_stream(path) as out:
+                        out.write(body.encode())
+                    errors.append("")
+                except OSError as problem:
+                    errors.append(str(problem))
+            yield pd.DataFrame({"id": frame.id, "ok": [not e for e in errors], "error": errors})
+
+    return lambda rows: rows.select("id", "adapter_id", "body").mapInPandas(run, _RESULT)
 
 
 def webhook(url: str, batch: int = 20, timeout: float = 30.0, post: Callable[[str, bytes, float], tuple[int, bytes]] | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -74,6 +96,20 @@ def jdbc(url: str, table: str, properties: dict[str, str] | None = None) -> Call
     return send
 
 
+def _filename() -> Column:
+    safe = F.substring(F.regexp_replace("name", "[^A-Za-z0-9]+", "-"), 1, 50)
+    return F.concat_ws("-", F.substring("started_at", 1, 10), safe, F.substring("id", 1, 8)).alias("filename")
+
+
+def export_json(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """(id, filename, json): each conversation with its messages in order, as one JSON document."""
+    bodies = messages.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "id", F.struct(*messages.columns).alias("m")))).alias("parts"))
+    rows = conversations.join(bodies, conversations["id"] == bodies["conversation_id"], "left").drop("conversation_id")
+    listed = F.coalesce(F.transform("parts", lambda p: p["m"]), F.array().cast(bodies.select(F.transform("parts", lambda p: p["m"]).alias("x")).schema["x"].dataType))
+    body = F.to_json(F.struct(F.struct(*conversations.columns).alias("conversation"), listed.alias("messages")))
+    return rows.select("id", _filename(), body.alias("json"))
+
+
 def markdown(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """(id, filename, markdown): each conversation as a document, its messages in order."""
     part = F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), "content")
@@ -81,5 +117,4 @@ def markdown(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     rows = conversations.join(bodies, conversations["id"] == bodies["conversation_id"], "left").drop("conversation_id")
     head = F.concat(F.lit("# "), F.col("name"), F.lit("\n\n- Harness: "), F.col("adapter_id"), F.lit("\n- Started: "), F.col("started_at"), F.lit("\n\n"))
     text = F.concat(head, F.coalesce(F.array_join(F.transform("parts", lambda p: p["t"]), "\n\n"), F.lit("")))
-    safe = F.substring(F.regexp_replace("name", "[^A-Za-z0-9]+", "-"), 1, 50)
-    return rows.select("id", F.concat_ws("-", F.substring("started_at", 1, 10), safe, F.substring("id", 1, 8)).alias("filename"), text.alias("markdown"))
+    return rows.select("id", _filename(), text.alias("markdown"))

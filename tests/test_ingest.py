@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from convolens.model import CONVERSATION, MESSAGE, TOOL_CALL
 from convolens.operators import routing as P
+from convolens.sources.readers import READERS
+from convolens.streaming import sinks
 from convolens.streaming.ingest import Engine
 from convolens.streaming.state import Buckets
 
@@ -171,3 +173,46 @@ def test_a_push_is_recorded_batch_by_batch(spark, tmp_path):
     assert engine.push("lake", routes, send) == 10
     assert len(sent) == 1 and not first & set(sent[0]) and len(first | set(sent[0])) == 50
     assert engine.push("lake", routes, send) == 0
+
+
+def test_a_file_that_grows_starts_a_batch(spark, tmp_path):
+    folder = tmp_path / "amp"
+    folder.mkdir()
+    line = lambda i: json.dumps({"thread_id": "T", "role": "user", "content": f"text {i}", "timestamp": "2026-04-01T10:00:00Z"}) + "\n"
+    (folder / "t.jsonl").write_text(line(0))
+    engine = Engine(spark, f"file://{tmp_path}/store", clock=lambda: "now", buckets=2)
+
+    calls, ingest = [], engine.ingest
+    engine.ingest = lambda *of: calls.append(of) or ingest(*of)
+
+    def batches():
+        calls.clear()
+        query = engine.watch("amp", str(folder), f"{tmp_path}/checkpoint", once=True)
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return len(calls)
+
+    assert batches() == 1 and engine.store().messages.count() == 1
+    assert batches() == 0
+    with (folder / "t.jsonl").open("a") as f:
+        f.write(line(1))
+    assert batches() == 1 and engine.store().messages.count() == 2
+
+
+def test_objects_have_one_key_a_conversation(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b", "x", '{"n": 1}'), ("..", "x", "{}"), ("c", "y", '{"n": 2}')], "id string, adapter_id string, body string")
+    (tmp_path / "lake" / "p" / "y").mkdir(parents=True)
+    (tmp_path / "lake" / "p" / "y" / "c.json").mkdir()  # a folder where the object should be
+    send = sinks.objects(f"file://{tmp_path}/lake", "p")
+    out = {r.id: (r.ok, bool(r.error)) for r in send(rows).collect()}
+    assert out == {"a/b": (True, False), "..": (True, False), "c": (False, True)}
+    assert sorted(os.listdir(tmp_path / "lake" / "p" / "x")) == ["%2E%2E.json", "a%2Fb.json"]
+    assert (tmp_path / "lake" / "p" / "x" / "a%2Fb.json").read_text() == '{"n": 1}'
+
+
+def test_lines_and_documents_of_one_tool(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"id": "D", "messages": [{"role": "user", "content": "hi"}]}))
+    (tmp_path / "b.jsonl").write_text("\n".join(json.dumps(x) for x in ({"session_id": "first", "role": "user", "content": "one"}, {"session_id": "L", "role": "assistant", "content": "two"})))
+    conversations, messages, _ = READERS["opencode"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in conversations.select("id", "source_format").collect()) == [("D", "json"), ("L", "jsonl")]
+    assert sorted(tuple(r) for r in messages.select("conversation_id", "sequence", "content").collect()) == [("D", 0, "hi"), ("L", 0, "one"), ("L", 1, "two")]

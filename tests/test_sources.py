@@ -129,7 +129,7 @@ def test_engine(spark, amp, tmp_path):
     assert engine.push("lake", routes, refuse) == 1
     assert engine.store().push_state.select("last_successful_revision", "last_error").collect() == [(0, "no")]
     assert engine.push("lake", routes, send) == 1 and engine.push("lake", routes, send) == 0
-    assert spark.read.text(f"file://{tmp_path}/lake").count() == 1
+    assert json.loads((tmp_path / "lake" / "amp" / "T1.json").read_text())["conversation"]["id"] == "T1"
     with (amp / "t1.jsonl").open("a") as f:
         f.write(json.dumps(said("user", "more", 9)) + "\n")
     query = engine.watch("amp", str(amp), f"{tmp_path}/cp", once=True)
