@@ -53,9 +53,11 @@ def words_of(term: str) -> tuple[list[str], bool]:
     return re.findall(r"\w+", fold(term.strip('*"')).replace("_", " ")), term.endswith("*")
 
 
-def _term_places(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, conversation_id, sequence, dl, term, tf, places): the starts of each term (by its number) in each message that holds it."""
-    each = rows.select("id", "conversation_id", "sequence", F.size("w").alias("dl"), F.posexplode("w").alias("place", "word"))
+def _term_places(each: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, conversation_id, sequence, dl, term, tf, places): the starts of each term (by its number) in each message that holds it.
+
+    `each` has a row for each word of a message: id, conversation_id, sequence, dl, place, word.
+    """
     parts = []
     for n, term in enumerate(terms):
         words, prefix = words_of(term)
@@ -75,13 +77,60 @@ def search(messages: DataFrame, conversations: DataFrame, terms: Terms, adapter:
     Words are exploded once and those of a term kept, so what is shuffled are the places of the terms. Without
     a ranked term nothing is found. A message whose text is null or empty holds nothing.
     """
+    rows = messages.select("id", "conversation_id", "sequence", tokens(F.col("content")).alias("w"))
+    n, mean = rows.agg(F.count("*"), F.avg(F.size("w"))).first() if _terms(terms)[0] else (0, None)
+    each = rows.select("id", "conversation_id", "sequence", F.size("w").alias("dl"), F.posexplode("w").alias("place", "word"))
+    return _hits(each, n, mean, conversations, terms, adapter, since, limit)
+
+
+def search_postings(index: DataFrame, n: int, mean: float | None, conversations: DataFrame, terms: Terms, adapter: str | None = None, since: str | None = None, limit: int | None = 20) -> DataFrame:
+    """What `search` gives, from `placed_postings` of `n` messages of `mean` words.
+
+    Only postings of the terms' words are read: whole words lie in the parts of their hashes, and within a part
+    words are sorted, so that a prefix reads its range of each part.
+    """
+    whole, prefixes = set(), set()
+    for words, prefix in map(words_of, [*terms.ranked(), *terms.none_of]):
+        whole |= set(words[:-1] if prefix else words)
+        prefixes |= set(words[-1:] if prefix else ())
+    wanted = F.col("word").isin(sorted(whole))
+    for p in sorted(prefixes):
+        wanted = wanted | F.col("word").startswith(p)
+    kept = index.where(wanted)
+    if not prefixes:
+        kept = kept.where(F.col("part").isin([part_of(F.lit(w)) for w in sorted(whole)]) if whole else F.lit(False))
+    each = kept.select("id", "conversation_id", "sequence", "dl", F.explode("places").alias("place"), "word")
+    return _hits(each, n, mean, conversations, terms, adapter, since, limit)
+
+
+#: Parts of an index, by the word's hash.
+PARTS = 16
+
+
+def part_of(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(PARTS)).cast("int")
+
+
+def placed_postings(messages: DataFrame) -> DataFrame:
+    """(word, conversation_id, id, sequence, dl, places, part): where each word of a message stands; one without words has none."""
+    rows = messages.select("conversation_id", "id", "sequence", tokens(F.col("content")).alias("w"))
+    each = rows.select("conversation_id", "id", "sequence", F.size("w").alias("dl"), F.posexplode("w").alias("place", "word"))
+    grouped = each.groupBy("word", "conversation_id", "id", "sequence", "dl").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return grouped.withColumn("part", part_of(F.col("word")))
+
+
+def _terms(terms: Terms) -> tuple[list[str], list[str]]:
+    """The terms with words that count for the rank, and all of them."""
     ranked = [t for t in terms.ranked() if words_of(t)[0]]
-    every = [*ranked, *(t for t in dict.fromkeys(terms.none_of) if words_of(t)[0] and t not in ranked)]
+    return ranked, [*ranked, *(t for t in dict.fromkeys(terms.none_of) if words_of(t)[0] and t not in ranked)]
+
+
+def _hits(each: DataFrame, n: int, mean: float | None, conversations: DataFrame, terms: Terms, adapter: str | None, since: str | None, limit: int | None) -> DataFrame:
+    """Ranked messages from the words in `each`, of a corpus of `n` messages with `mean` words."""
+    ranked, every = _terms(terms)
     if not ranked:
-        return messages.limit(0).select(F.col("id").alias("message_id"), "conversation_id", "sequence", F.lit(0.0).alias("rank"))
-    rows = messages.select("id", "conversation_id", "sequence", tokens(F.col("content")).alias("w"))
-    n, mean = rows.agg(F.count("*"), F.avg(F.size("w"))).first()
-    found = _term_places(rows, every)
+        return each.limit(0).select(F.col("id").alias("message_id"), "conversation_id", "sequence", F.lit(0.0).alias("rank"))
+    found = _term_places(each, every)
     counts = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf").cast("double")

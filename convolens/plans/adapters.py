@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import search as FT
 from ..sources import rollouts
 from ..sources import transcripts as TR
 from ..streaming import sinks
 from ..streaming.ingest import Engine
 from ..streaming.state import scratch_path
-from . import lens
+from . import catalog, lens
 
 
 def _written(rows: DataFrame, line: Column, *before: Column, user: Column | None = None) -> str:
@@ -146,7 +147,18 @@ def engine_updates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "message_count", "input_tokens", "local_revision", "sequences", F.lit(changed).cast("long").alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (export_json, engine_updates, adapters_amp, adapters_pi, adapters_piagent, adapters_gemini, adapters_opencode, adapters_claude_code, adapters_codex, engine_ingest, export_markdown)}
+def engine_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Two words sought in the postings that the engine keeps, made for short conversations first and then for those that grew."""
+    m = lens.messages(spark, sf)
+    engine = Engine(spark, f"{scratch_path(spark)}/store", clock=lambda: "now", buckets=8)
+    none, first = lens.tool_calls(spark, sf).limit(0), m.where("sequence < 2")
+    for said in (first, m):
+        engine.write(lens.bare_conversations(said), said, none)
+        engine.index()
+    return engine.search(FT.Terms(all_of=("the", "and")), limit=None).withColumn("rank", F.round("rank", 6))
+
+
+QUERIES = {f.__name__: f for f in (engine_search, export_json, engine_updates, adapters_amp, adapters_pi, adapters_piagent, adapters_gemini, adapters_opencode, adapters_claude_code, adapters_codex, engine_ingest, export_markdown)}
 
 ORACLE = {name: lens.SQL + sql for name, sql in {
     **dict.fromkeys(("adapters_amp", "adapters_pi", "adapters_piagent", "adapters_gemini", "adapters_opencode"), _ALL),
@@ -161,4 +173,4 @@ SELECT *, (SELECT count(DISTINCT conversation_id) FROM x WHERE again) AS changed
     "export_markdown": """, parts AS (SELECT conversation_id, string_agg('## ' || upper(role[1]) || role[2:] || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY sequence, id) AS body FROM msg GROUP BY 1)
 SELECT c.id, concat_ws('-', started_at[1:10], substr(regexp_replace(name, '[^A-Za-z0-9]+', '-', 'g'), 1, 50), substr(c.id, 1, 8)) AS filename,
 '# ' || name || chr(10) || chr(10) || '- Harness: ' || adapter_id || chr(10) || '- Started: ' || started_at || chr(10) || chr(10) || coalesce(body, '') AS markdown FROM conv c LEFT JOIN parts p ON p.conversation_id = c.id""",
-}.items()}
+}.items()} | {"engine_search": catalog.ORACLE["search_bm25"]}

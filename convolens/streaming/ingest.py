@@ -21,7 +21,9 @@ from ..model import CONVERSATION, MESSAGE, PUSH_STATE, SYNC, TOOL_CALL, Store
 from ..operators import graph as G
 from ..operators import rollup as R
 from ..operators import routing as P
+from ..operators import search as FT
 from ..operators import sync as Y
+from ..operators.upkeep import config_fingerprint
 from ..sources import discovery as D
 from ..sources import logs
 from ..sources.readers import READERS, WHOLE
@@ -31,14 +33,24 @@ from .growing import growing_files
 from .state import BUCKETS, Buckets, Snapshot, saved
 
 _FILE = [T.StructField("adapter_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.LongType())]
-SOURCE_STATE = T.StructType(_FILE)
+SOURCE_STATE = T.StructType([*_FILE, T.StructField("fingerprint", T.StringType())])
 FAILURE = T.StructType([*_FILE, T.StructField("problem", T.StringType()), T.StructField("failed_at", T.StringType())])
+POSTING = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("word", "conversation_id", "id")]
+    + [T.StructField(n, T.IntegerType()) for n in ("sequence", "dl")]
+    + [T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("part", T.IntegerType())]
+)
+#: What of a conversation is in the index: the hash of its content then, its messages and their words.
+INDEXED = T.StructType([T.StructField(n, T.StringType()) for n in ("conversation_id", "content_hash")] + [T.StructField(n, T.LongType()) for n in ("messages", "words")])
 KINDS = {
     "conversations": (CONVERSATION, "id"), "messages": (MESSAGE, "conversation_id"), "tool_calls": (TOOL_CALL, "conversation_id"),
     "sync": (SYNC, "conversation_id"), "push_state": (PUSH_STATE, "conversation_id"), "sources": (SOURCE_STATE, "path"), "failures": (FAILURE, "path"),
+    "postings": (POSTING, "conversation_id"), "indexed": (INDEXED, "conversation_id"),
 }
 #: Adapters whose traces follow parent links, those whose fork points are calls of the parent, and those that read databases.
 BY_LINKS, BY_CALLS, DATABASES = ("codex", "cursor"), ("claude-code",), ("cursor", "kiro", "warp")
+#: Version of what readers make of a file; another one, as other settings, has all files read again.
+PAYLOAD_VERSION, CONTRACT_VERSION = 1, 1
 #: Conversations that are sent and recorded at a time; those due are numbered in parts of so many.
 PUSH_BATCH, PUSH_PART = 20, 100_000
 
@@ -57,7 +69,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], str] = _now, buckets: int = BUCKETS):
         self.spark, self.clock, self.root = spark, clock, root
-        self.tables = Buckets(spark, root, KINDS, buckets)
+        self.tables = Buckets(spark, root, KINDS, buckets, {"postings": ("part", "word")})
 
     def store(self) -> Store:
         """All tables as of one commit."""
@@ -68,18 +80,26 @@ class Engine:
         """Files that couldn't be read when last tried."""
         return self.tables.read("failures")
 
-    def changed_sources(self, adapter: str, listed: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
-        """(path, change) of files that are new, changed or gone. A store without conversations takes all files as new."""
+    def changed_sources(self, adapter: str, listed: DataFrame, snapshot: Snapshot | None = None, fingerprint: str | None = None) -> DataFrame:
+        """(path, change) of files that are new, changed or gone; of those read under other settings too, where a `fingerprint` is given.
+
+        A store without conversations takes all files as new.
+        """
         now = snapshot or self.tables.snapshot()
         known = self.tables.read("sources", now).where(F.col("adapter_id") == adapter)
+        known = known.where(F.col("fingerprint") == fingerprint) if fingerprint else known
         return Y.source_diff(known if now.folders.get("conversations") else known.limit(0), listed)
 
-    def ingest(self, adapter: str, path: str) -> int:
-        """Reads the files of `path` that changed; returns how many conversations changed. The engine's own files are left out."""
+    def ingest(self, adapter: str, path: str, allow_protected: bool = False) -> int:
+        """Reads the files of `path` that changed; returns how many conversations changed. The engine's own files are left out.
+
+        What is known of a file holds for the settings it was read under: others have it read again.
+        """
+        fingerprint = f"{PAYLOAD_VERSION}:{config_fingerprint(adapter, CONTRACT_VERSION, data_dir=path, allow_protected=allow_protected)}"
         now = self.tables.snapshot()
         # names, sizes and times as of one moment: a later change shows next time
         listed = saved(logs.listing(self.spark, path).where(D.not_own(plain_path("path"), re.sub("^file:/+", "/", self.root))))
-        changes = self.changed_sources(adapter, listed, now).where("change != 'removed'").select("path")
+        changes = self.changed_sources(adapter, listed, now, fingerprint).where("change != 'removed'").select("path")
         files = saved(listed.join(changes, "path", "left_semi").withColumn("adapter_id", F.lit(adapter)))
         paths = [r["path"] for r in files.select("path").collect()]  # Spark's readers take names
         if not paths:
@@ -87,7 +107,7 @@ class Engine:
         conversations, messages, tool_calls = READERS[adapter](self.spark, paths)
         conversations = saved(conversations)
         failed = self._failed(adapter, files, conversations)
-        done = files.join(failed.select("path"), "path", "left_anti")
+        done = files.join(failed.select("path"), "path", "left_anti").withColumn("fingerprint", F.lit(fingerprint))
         more = {"sources": (done, done), "failures": (failed.withColumn("failed_at", F.lit(self.clock())), files)}
         return self.write(conversations, messages, tool_calls, more, now)
 
@@ -164,6 +184,32 @@ class Engine:
             moved = moved.unionByName(late.join(found, "id").withColumn("fork_point", F.col("found")).select(moved.columns))
         return own.cache(), moved.cache()
 
+    def index(self) -> int:
+        """Brings the postings up to the stored conversations in one commit; returns how many were tokenised.
+
+        A conversation is indexed again when its content hash is another; the words of the others aren't touched.
+        """
+        now = self.tables.snapshot()
+        seen = self.tables.read("indexed", now).select("conversation_id", F.col("content_hash").alias("old"))
+        due = self.tables.read("sync", now).join(seen, "conversation_id", "left").where("NOT (old <=> content_hash)")
+        due = saved(due.select("conversation_id", "content_hash"))
+        n = due.count()
+        if not n:
+            return 0
+        messages = self._of("messages", due, now)
+        sizes = messages.groupBy("conversation_id").agg(F.count("*").alias("messages"), F.sum(F.size(FT.tokens(F.col("content")))).cast("long").alias("words"))
+        zero = F.lit(0).cast("long")
+        state = due.join(sizes, "conversation_id", "left").select("conversation_id", "content_hash", F.coalesce("messages", zero).alias("messages"), F.coalesce("words", zero).alias("words"))
+        self.tables.commit(now, {"postings": (FT.placed_postings(messages), due), "indexed": (state, due)})
+        return n
+
+    def search(self, terms: FT.Terms, adapter: str | None = None, since: str | None = None, limit: int | None = 20) -> DataFrame:
+        """Hits by rank from the postings as they are; `index` brings them up to date. Files of other words aren't read."""
+        now = self.tables.snapshot()
+        messages, words = self.tables.read("indexed", now).agg(F.sum("messages"), F.sum("words")).first()
+        mean = words / messages if messages else None
+        return FT.search_postings(self.tables.read("postings", now), messages or 0, mean, self.tables.read("conversations", now), terms, adapter, since, limit)
+
     def watch(self, adapter: str, path: str, checkpoint: str, seconds: int = 60, once: bool = False) -> StreamingQuery:
         """A stream that ingests `path` again at each trigger that sees a new, grown or rewritten file; `once`: what there is now, then stop.
 

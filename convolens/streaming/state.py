@@ -49,10 +49,13 @@ class Snapshot:
 
 
 class Buckets:
-    """Tables under one root; `kinds` gives each table's schema and key column."""
+    """Tables under one root; `kinds` gives each table's schema and key column.
 
-    def __init__(self, spark: SparkSession, root: str, kinds: dict[str, tuple[StructType, str]], buckets: int = BUCKETS):
-        self.spark, self.root, self.kinds, self.buckets = spark, root.rstrip("/"), kinds, buckets
+    `layouts` gives a column by which a table's buckets are parted further, and one by which the rows of a part are sorted.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, kinds: dict[str, tuple[StructType, str]], buckets: int = BUCKETS, layouts: dict[str, tuple[str, str]] | None = None):
+        self.spark, self.root, self.kinds, self.buckets, self.layouts = spark, root.rstrip("/"), kinds, buckets, layouts or {}
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
@@ -87,7 +90,12 @@ class Buckets:
         folders = (snapshot or self.snapshot()).folders.get(name, {})
         paths = [f"{self.root}/{f}" for b, f in sorted(folders.items()) if only is None or b in only]
         schema = self.kinds[name][0]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema)
+        if name in self.layouts:  # parts of buckets are told by folders between this one and the files
+            reader = reader.option("basePath", f"{self.root}/data/{name}")
+        return reader.parquet(*paths).select(schema.fieldNames())
 
     def touched(self, name: str, keys: DataFrame, snapshot: Snapshot) -> set[int]:
         """The buckets of `keys`, a table with the key column: at most as many as there are."""
@@ -101,9 +109,13 @@ class Buckets:
         if not buckets:
             return buckets, {}
         old = self.read(name, snapshot, buckets).join(ids, key, "left_anti")
-        folder = f"data/{name}/{snapshot.version + 1:010d}-{uuid.uuid4().hex}"
+        folder = f"data/{name}/commit={snapshot.version + 1:010d}-{uuid.uuid4().hex}"
         new = old.select(schema.fieldNames()).unionByName(rows.select(schema.fieldNames())).withColumn("bucket", self.bucket(key, snapshot))
-        new.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        part, order = self.layouts.get(name, (None, None))
+        by = ["bucket", part] if part else ["bucket"]
+        dealt = new.hint("rebalance", *by)
+        dealt = dealt.sortWithinPartitions(*by, order) if order else dealt
+        dealt.write.partitionBy(*by).parquet(f"{self.root}/{folder}")
         return buckets, {int(n.split("=")[1]): f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
 
     def commit(self, snapshot: Snapshot, changes: dict[str, tuple[DataFrame, DataFrame]]) -> Snapshot:
@@ -136,7 +148,7 @@ class Buckets:
         used = {f for s in kept for folders in s.folders.values() for f in folders.values()}
         for table in self.kinds:
             for version in self._names(f"data/{table}"):
-                if kept and int(version.split("-")[0]) <= kept[-1].version:
+                if kept and int(version.split("=")[-1].split("-")[0]) <= kept[-1].version:
                     for bucket in self._names(f"data/{table}/{version}"):
                         if f"data/{table}/{version}/{bucket}" not in used and bucket.startswith("bucket="):
                             self._fs.delete(self._path(f"{self.root}/data/{table}/{version}/{bucket}"), True)
