@@ -128,7 +128,13 @@ def _compared(rows: DataFrame, measure: Measure) -> DataFrame:
     def links(groups: list[list[tuple]]) -> list[tuple[int, int]]:
         groups = [own for own in groups if len(own) > 1]
         sets = measure.sets([x[4] or "" for own in groups for x in own])
-        keys, at, out = measure.keys(sets), 0, []
+        at, out = 0, []
+        many = np.repeat([len(own) > 2 for own in groups], [len(own) for own in groups])
+        keys = np.zeros((len(sets), 1), np.int64)  # two strings are each other's only candidates; keys of more rank theirs
+        if many.any():
+            found = measure.keys([s for s, m in zip(sets, many) if m])
+            keys = np.zeros((len(sets), found.shape[1]), np.int64)
+            keys[many] = found
         for own in groups:
             mine = slice(at, at := at + len(own))
             names = sorted({x[3] for x in own})
