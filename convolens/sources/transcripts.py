@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..model import TOKENS
 from ..operators import rollup as R
+from ..streaming.state import saved
 
 SEPARATOR = "\n\n"
 
@@ -46,8 +48,13 @@ def text_at(value: Column | str, *paths: str) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
+def number(text: Column) -> Column:
+    """A whole number of at least 0; 0 if the text is none."""
+    return F.greatest(F.lit(0), F.coalesce(text.try_cast("double"), F.lit(0))).cast("long")
+
+
 def number_at(value: Column | str, *paths: str) -> Column:
-    return F.greatest(F.lit(0), F.coalesce(text_at(value, *paths).try_cast("double"), F.lit(0))).cast("long")
+    return number(text_at(value, *paths))
 
 
 def iso_or(value: Column, fallback: Column) -> Column:
@@ -79,15 +86,12 @@ def flat_text(content: Column) -> Column:
     return F.coalesce(parts, holder, F.trim(content), F.lit(""))
 
 
-ROLES = {"human": "user", "model": "assistant", "ai": "assistant", "developer": "system"}
+ROLES = {"user": "user", "assistant": "assistant", "system": "system", "human": "user", "model": "assistant", "ai": "assistant", "developer": "system"}
 
 
 def role_of(text: Column) -> Column:
-    """user, assistant or system; other roles become null and their rows go."""
-    low = F.lower(F.trim(text))
-    for old, new in ROLES.items():
-        low = F.when(low == old, new).otherwise(low)
-    return F.when(low.isin("user", "assistant", "system"), low)
+    """user, assistant or system; other roles become null and their rows go. The text is worked out once, for one look-up."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair)), F.lower(F.trim(text)))
 
 
 @dataclass(frozen=True)
@@ -123,20 +127,47 @@ def _stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)\.[^./]*$", 1)
 
 
+def _paths(spec: Simple) -> set[str]:
+    """All that is read of a row."""
+    own = ("$.cwd", "$.id", "$.uuid", "$.type", "$.role", "$.thinking", "$.tool_calls")
+    return {*own, *spec.session, *spec.role, *spec.content, *spec.time, *spec.model, *(p for paths in _USAGE.values() for p in paths)}
+
+
+def _shape(paths: set[str]) -> T.StructType:
+    """A struct with a text, of whatever JSON stands there, at each path."""
+    below: dict[str, set[str]] = {}
+    for path in sorted(paths):
+        head, _, rest = path.removeprefix("$.").partition(".")
+        below.setdefault(head, set()).update({rest} - {""})
+    return T.StructType([T.StructField(name, _shape(rest) if rest else T.StringType()) for name, rest in below.items()])
+
+
+def _raw(*paths: str) -> Column:
+    """The first of the paths that is there, in the column `row`."""
+    return F.coalesce(*(F.col(p.replace("$", "row", 1)) for p in paths))
+
+
+def _text(*paths: str) -> Column:
+    """As `text_at`, in the column `row`."""
+    return F.coalesce(*(F.nullif(F.trim(_raw(p)), F.lit("")) for p in paths), F.lit(""))
+
+
 def _rows(source: DataFrame, spec: Simple) -> DataFrame:
-    """(path, modified, line, value, session, cwd) of each message row."""
+    """(path, modified, line, row, session, cwd) of each message row; `row`: what is read of its JSON, which is parsed once."""
+    row = F.from_json("value", _shape(_paths(spec)))
     if not spec.items:
         whole, pick = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.last if spec.last else F.first
-        session = pick(F.nullif(text_at("value", *spec.session), F.lit("")), ignorenulls=True).over(whole)
-        cwd = pick(F.nullif(text_at("value", "$.cwd"), F.lit("")), ignorenulls=True).over(whole)
-        return source.withColumns({"session": F.coalesce(session, _stem(F.col("path"))), "cwd": F.coalesce(cwd, F.lit(""))})
+        session = pick(F.nullif(_text(*spec.session), F.lit("")), ignorenulls=True).over(whole)
+        cwd = pick(F.nullif(_text("$.cwd"), F.lit("")), ignorenulls=True).over(whole)
+        return source.select("path", "modified", "line", row.alias("row")).withColumns({"session": F.coalesce(session, _stem(F.col("path"))), "cwd": F.coalesce(cwd, F.lit(""))})
     items = F.coalesce(*(blocks(F.get_json_object("value", p)) for p in spec.items))
     session = F.coalesce(F.nullif(text_at("value", *spec.session), F.lit("")), _stem(F.col("path")))
-    return source.select("path", "modified", session.alias("session"), text_at("value", "$.cwd").alias("cwd"), F.posexplode(items).alias("line", "value"))
+    each = source.select("path", "modified", session.alias("session"), text_at("value", "$.cwd").alias("cwd"), F.posexplode(items).alias("line", "value"))
+    return each.withColumn("row", F.when(F.ltrim("value").startswith("{"), row)).drop("value")
 
 
 def _tool_calls(messages: DataFrame) -> DataFrame:
-    calls = blocks(F.get_json_object("value", "$.tool_calls"))
+    calls = blocks(F.col("tool_calls"))
     each = messages.select("conversation_id", F.col("id").alias("message_id"), F.posexplode(calls).alias("n", "call"))
     name = text_at("call", "$.function.name", "$.name")
     return each.where(name != "").select(
@@ -152,31 +183,35 @@ def _tool_calls(messages: DataFrame) -> DataFrame:
 
 
 def read_simple(source: DataFrame, spec: Simple) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Conversations, messages and tool calls of a simple tool's rows."""
+    """Conversations, messages and tool calls of a simple tool's rows.
+
+    The files are read and their JSON is taken apart once: the messages are written to the shared folder, and the other
+    two tables come from what was written.
+    """
     rows = _rows(source, spec)
-    role = role_of(text_at("value", *spec.role))
-    content = flat_text(F.coalesce(*(F.get_json_object("value", p) for p in spec.content), F.lit("")))
+    role = role_of(_text(*spec.role))
+    content = flat_text(F.coalesce(_raw(*spec.content), F.lit("")))
     rows = rows.select("*", role.alias("role"), content.alias("content"), F.col("session").alias("conversation_id"))
-    rows = rows.where("role IS NOT NULL AND (content != '' OR get_json_object(value, '$.tool_calls') IS NOT NULL)")
+    rows = rows.where("role IS NOT NULL AND (content != '' OR row.tool_calls IS NOT NULL)")
     order = Window.partitionBy("conversation_id").orderBy("path", "line")
     rows = rows.withColumn("sequence", (F.row_number().over(order) - 1).cast("int"))
-    given = text_at("value", "$.id", "$.uuid")
+    given = _text("$.id", "$.uuid")
     messages = rows.select(
         "*",
         F.when(given != "", given).otherwise(S.stable_id(F.col("conversation_id"), F.col("sequence").cast("string"))).alias("id"),
-        text_at("value", "$.type", "$.role").alias("record_type"),
-        text_at("value", *spec.model).alias("model"),
-        iso_or(text_at("value", *spec.time), F.col("modified")).alias("timestamp"),
+        _text("$.type", "$.role").alias("record_type"),
+        _text(*spec.model).alias("model"),
+        iso_or(_text(*spec.time), F.col("modified")).alias("timestamp"),
         F.lit(False).alias("is_sidechain"),
         F.lit("").alias("parent_message_id"),
-        text_at("value", "$.thinking").alias("thinking_content"),
-        *(number_at("value", *paths).alias(name) for name, paths in _USAGE.items()),
+        _text("$.thinking").alias("thinking_content"),
+        *(number(_text(*paths)).alias(name) for name, paths in _USAGE.items()),
     )
     messages = messages.withColumns(
         {"turn": R.running_turn(F.col("role")), "thinking_tokens": F.when(F.col("thinking_content") == "", 0).otherwise(S.estimated_tokens(F.col("thinking_content"))).cast("long")}
     )
-    calls = _tool_calls(messages)
-    return _conversations(messages, spec.adapter, "json" if spec.items else "jsonl"), messages.select(*_MESSAGE), calls
+    messages = saved(messages.select(*_MESSAGE, "path", "cwd", "row.tool_calls"))
+    return _conversations(messages, spec.adapter, "json" if spec.items else "jsonl"), messages.select(*_MESSAGE), _tool_calls(messages)
 
 
 _MESSAGE = (
