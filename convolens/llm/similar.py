@@ -117,12 +117,11 @@ def _members(strings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, h long, chars long").union(met).distinct()
 
 
-def _compared(rows: DataFrame, measure: Measure) -> DataFrame:
+def _compared(rows: DataFrame, chars: int, measure: Measure) -> DataFrame:
     """Links (a, b) between parts among the rows (k, asks, h, part, text) of equal k, stars around the least.
 
-    With rows that ask, only pairs of one of these and one of the others count.
+    `chars`: of all their texts. With rows that ask, only pairs of one of these and one of the others count.
     """
-    chars = rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
     dealt = rows.repartition(max(1, math.ceil(chars / DEALT_CHARS)), "k").sortWithinPartitions("k", "asks", "h")
 
     def links(groups: list[list[tuple]]) -> list[tuple[int, int]]:
@@ -190,7 +189,9 @@ def _asked(members: DataFrame, parts: DataFrame, texts: DataFrame, measure: Meas
     all_of = both.select("key", at("pieces").alias("y"), spread("asking").alias("x"), F.lit(False).alias("asks"), "h", "part")
     ask = both.where("part != main").select("key", spread("pieces").alias("y"), at("asking").alias("x"), F.lit(True).alias("asks"), "h", "part")
     rows = all_of.union(ask).join(texts, "h").select(F.xxhash64("key", "x", "y").alias("k"), "asks", "h", "part", "text")
-    return scratch.table(_compared(scratch.table(rows, "asked"), measure), "links")
+    rows = scratch.table(rows, "asked")
+    chars = rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
+    return scratch.table(_compared(rows, chars, measure), "links")
 
 
 def similar_parts(strings: DataFrame, find: Callable[[DataFrame], DataFrame], measure: Measure, scratch: Scratch) -> DataFrame:
@@ -200,17 +201,18 @@ def similar_parts(strings: DataFrame, find: Callable[[DataFrame], DataFrame], me
     `find` gives (h, text) of at least the strings whose h it is shown, repeated or not.
     """
     members = scratch.table(_members(strings), "members")
-    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("all"), _pieces().alias("pieces"))
-    keys = keys.where("n > 1").groupBy("n", "least", "all").agg(F.min("key").alias("key"), F.first("pieces").alias("pieces"))
-    keys = scratch.table(keys.select("key", "least", "pieces"), "keys")
-    members = scratch.table(members.join(keys, "key").select("key", "h", "chars", "pieces"), "compared")
+    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least"), F.min_by("chars", "h").alias("chars"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("all"), _pieces().alias("pieces"))
+    keys = keys.where("n > 1").groupBy("n", "least", "all").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("pieces", "chars")))
+    keys = scratch.table(keys.select("key", "least", "pieces", F.col("chars").alias("least_chars")), "keys")
+    members = scratch.table(members.join(keys.select("key", "pieces"), "key").select("key", "h", "chars", "pieces"), "compared")
     texts = scratch.table(find(members.select("h").distinct()).groupBy("h").agg(F.min("text").alias("text")), "texts")
     own = members.select("key", F.pmod(F.xxhash64("h", "key"), F.col("pieces")).cast("int").alias("piece"), "h")
     wide = keys.where("pieces > 1")
     least = wide.select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("least").alias("h"))
     rows = own.union(least)
     rows = rows.join(texts, "h").select(F.xxhash64("key", "piece").alias("k"), F.lit(False).alias("asks"), "h", F.col("h").alias("part"), "text")
-    parts = components(scratch.table(_compared(scratch.table(rows, "dealt"), measure), "links"), scratch)
+    chars = (members.agg(F.sum(F.col("chars") + 1)).first()[0] or 0) + (wide.agg(F.sum(F.col("pieces") * (F.col("least_chars") + 1))).first()[0] or 0)
+    parts = components(scratch.table(_compared(rows, chars, measure), "links"), scratch)
     if wide.isEmpty():
         return parts
     parts = scratch.table(parts, "parts")
