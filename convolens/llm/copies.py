@@ -1,7 +1,8 @@
 """Near copies of documents: links of an exact Jaccard similarity of five-word shingles of at least 0.8.
 
-SimHash can't find these pairs by its index: at a similarity of 0.8 about ten of 64 bits differ, and blocks
-that a radius of that width leaves whole are too short to deal by. So the pairs come from MinHash bands.
+SimHash can't find all of these pairs by its index: at a similarity of 0.8 about ten of 64 bits differ, and blocks
+that a radius of that width leaves whole are too short to deal by. So the pairs come from MinHash bands; the
+pipeline adds the links that SimHash finds (`simhash.text_links`), and components are those of both.
 
 1. Each text's shingles are hashed once, and 100 minima of them into 20 bands of 5.
 2. Texts that share a band are candidate pairs; their texts are fetched by a second pass, which a bitmap
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh
+from .components import components
 from .lines import bitmap, marked
 from .similar import Measure, nested, similar_parts, standing
 
@@ -102,15 +104,19 @@ def _texts(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
     return docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, "h long, text string")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
     """The rows of `docs`, all their columns, whose id is the smallest of its component of near copies.
 
+    `more`: further links (a, b) between texts, by their hashes, that join components as the own ones do.
+
     Words are split at white space, A-Z counting as a-z; null, empty and blank texts are copies of each
     other. Rows that share the smallest id all stay; so do rows with a null id, which nothing identifies.
     """
     scratch = Scratch(docs.sparkSession, "copies")
     signed = scratch.table(_signed(docs, text_col), "signed")
     parts = similar_parts(signed, lambda wanted: _texts(docs, text_col, bitmap(wanted)), MEASURE, scratch)
+    if more is not None:
+        parts = components(scratch.table(parts.toDF("b", "a").select("a", "b").union(more.select("a", "b")), "all_links"), scratch)
     parts = parts.select(F.col("node").alias("h"), "component")
     tk = fresh(docs, "tk")[0]
     keyed = docs.withColumn(tk, F.xxhash64(text_col))

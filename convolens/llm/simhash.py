@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh
+from .common import Scratch, fresh, join_counted
 from .components import components
 
 RADIUS, SHINGLE_WORDS, SEED = 3, 3, 42
@@ -187,6 +187,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shard_rows: int) -> Da
     return prints.join(firsts, "fp")
 
 
+def text_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links (a, b) between texts, by their hashes: the texts of each component of fingerprints as a star around its least."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    texts = scratch.table(fingerprints(docs, id_col, text_col).select("tk", "fp").distinct(), "texts")
+    linked = components(scratch.table(links(scratch.table(texts.select("fp").distinct(), "distinct"), scratch, shard_rows), "links"), scratch)
+    parts = scratch.table(texts.join(linked, texts["fp"] == linked["node"], "left").select("tk", F.coalesce("component", "fp").alias("part")), "parts")
+    counted = scratch.table(parts.groupBy("part").agg(F.count("*").alias("n"), F.min("tk").alias("least")).where("n > 1"), "counted")
+    return join_counted(parts, counted, ["part"]).where("tk != least").select(F.col("least").alias("a"), F.col("tk").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (smallest id reachable by links).
 

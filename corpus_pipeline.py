@@ -16,6 +16,7 @@ from convolens.llm.decontaminate import drop_contaminated
 from convolens.llm.lines import dedup_lines
 from convolens.llm.packing import pack
 from convolens.llm.queries import tokenizer_path
+from convolens.llm.simhash import text_links
 from convolens.llm.toxicity import drop_toxic
 
 
@@ -30,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, a Jaccard similarity of 0.8."""
-    return drop_near_copies(docs)
+    """One document of each group stays: linked by SimHash (prints at most 3 bits apart), or near copies, five-word shingles at a Jaccard similarity of 0.8."""
+    return drop_near_copies(docs, more=text_links(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import random
 from itertools import combinations
 
-from convolens.llm import copies, similar
+import corpus_pipeline
+from convolens.llm import copies, similar, simhash
 
 from .test_operators import closure, prose
 
@@ -67,3 +68,19 @@ def test_the_stage_drops_near_copies(spark, sf_dir):
     assert all(similarity(sets[0], sets[i]) >= 0.8 for i in (1, 2, 3))
     left = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, sf_dir).collect()}
     assert 0 in left and not left & {1, 2, 3}
+
+
+def test_stage_links_by_prints_and_by_similarity(spark):
+    rng, near = random.Random(9), []
+    while len(near) < 3:  # prints link, shingles don't; c is a near copy of b and too far from a in both
+        a = prose(rng, 60)
+        b = replaced_words(rng, a, 3)
+        c = replaced_words(rng, b, 1)
+        prints, sets = [simhash.fingerprint(t) for t in (a, b, c)], [plain_shingles(t) for t in (a, b, c)]
+        bits = lambda i, j: (prints[i] ^ prints[j]).bit_count()  # noqa: B023, E731
+        if bits(0, 1) <= 3 and bits(1, 2) > 3 and bits(0, 2) > 3 and similarity(sets[0], sets[1]) < 0.8 and similarity(sets[0], sets[2]) < 0.8 <= similarity(sets[1], sets[2]):
+            near.append((a, b, c))
+    rows = [(10 * i + k, t) for i, texts in enumerate(near) for k, t in enumerate(texts)] + [(100 + i, prose(rng, 60)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in copies.drop_near_copies(docs).collect()} > {0, 1, 10, 11, 20, 21}
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()} == {0, 10, 20, *range(100, 105)}
