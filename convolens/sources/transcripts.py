@@ -41,6 +41,18 @@ def read_documents(spark: SparkSession, path: str | list[str], suffix: str = "*.
     return rows.where(F.try_parse_json("value").isNotNull())
 
 
+def packed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """What `read_lines` gives, from a pack: Parquet files with the (path, modified, line, value) of many transcripts."""
+    rows = spark.read.parquet(*([path] if isinstance(path, str) else path)).select("path", "modified", "line", "value")
+    return rows.where(F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull())
+
+
+def packed_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """What `read_documents` gives, from a pack with the (path, modified, value) of many documents."""
+    rows = spark.read.parquet(*([path] if isinstance(path, str) else path)).select("path", "modified", "value")
+    return rows.where(F.try_parse_json("value").isNotNull())
+
+
 def text_at(value: Column | str, *paths: str) -> Column:
     """The first of the JSON paths that holds a text or number that isn't blank; else ''."""
     value = F.col(value) if isinstance(value, str) else value

@@ -2,12 +2,14 @@
 
 import json
 import sqlite3
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from convolens.operators import routing as P
 from convolens.operators import search as FT
+from convolens.plans import adapters, lens
 from convolens.sources import logs, rollouts, sqlite
 from convolens.sources import transcripts as TR
 from convolens.sources.readers import READERS
@@ -221,3 +223,26 @@ def test_long_chains_and_circles(spark):
     assert {r["id"]: r["top"] for r in G.trace_consistency(c).collect()} == {"x": None, "y": None, "o": "o"}
     m = spark.createDataFrame([(f"m{i}", f"n{i:03d}", 1, 0) for i in range(20)], "id string, conversation_id string, sequence int, turn int")
     assert [r["id"] for r in G.render_order(c, m).orderBy("place").collect()] == [f"m{i}" for i in range(20)]
+
+
+def test_packed_transcripts_are_read_as_files_are(spark, tmp_path):
+    lines = {f"c{i}": [f'{{"thread_id":"c{i}","role":"user","content":"n{k}"}}' if k % 5 else f"no json {k}" for k in range(i % 4 + 2)] for i in range(40)}
+    for name, own in lines.items():
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / f"{name}.txt").write_text("\n".join(own) + "\n")
+    rows = [(f"{n}.txt", k, x) for n, own in lines.items() for k, x in enumerate(own)]
+    packed = spark.createDataFrame(rows, "path string, line int, value string").selectExpr("path", "timestamp '2024-01-01' AS modified", "line", "value")
+    packed.write.parquet(str(tmp_path / "pack"))
+    one, two = TR.read_lines(spark, str(tmp_path / "files"), "*.txt"), TR.packed_lines(spark, str(tmp_path / "pack"))
+    said = lambda df: sorted((r["path"].split("/")[-1], r["line"], r["value"]) for r in df.collect())
+    assert said(one) == said(two) and sorted(one.columns) == sorted(two.columns)
+    tables = [[sorted(map(tuple, t.drop("timestamp", "started_at", "ended_at", "source_path").collect())) for t in TR.read_simple(df, TR.AMP)] for df in (one, two)]
+    assert tables[0] == tables[1] and len(tables[0][0]) == 40
+
+
+def test_files_of_the_adapters_do_not_grow_with_the_conversations(spark, sf_dir):
+    m = lens.messages(spark, sf_dir)
+    item = F.struct("role", "content")
+    for path in (adapters._written(m, F.to_json(item)), adapters._documents(m, item, F.col("conversation_id").alias("id"))):
+        files = [p for p in Path(path.removeprefix("file:")).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))]
+        assert len(files) <= 4 < m.select("conversation_id").distinct().count()
