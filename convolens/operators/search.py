@@ -111,12 +111,28 @@ def part_of(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(PARTS)).cast("int")
 
 
+def placed_words(messages: DataFrame) -> DataFrame:
+    """(conversation_id, id, sequence, dl, word, places): where each word of a message stands, in order; one without words has none.
+
+    Messages that agree in all keys count as one. What is shuffled and sorted are messages, not their words, which are
+    counted where they lie: each task holds a message's words at a time.
+    """
+    rows = messages.select("conversation_id", "id", "sequence", tokens(F.col("content")).alias("w")).where(F.size("w") > 0)
+    placed = F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("place")))
+    same = rows.groupBy("conversation_id", "id", "sequence", F.size("w").alias("dl")).agg(F.collect_list(placed).alias("s"))
+    held = same.withColumn("s", F.sort_array(F.flatten("s")))
+    word = lambda i: F.get("s", i)["word"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
+    runs = held.withColumn("starts", starts).withColumn("ends", F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("s"))))
+    own = F.zip_with("starts", "ends", lambda i, j: F.struct(word(i).alias("word"), F.slice("s", i + 1, j - i)["place"].alias("places")))
+    each = runs.select("conversation_id", "id", "sequence", "dl", F.explode(own).alias("x"))
+    return each.select("conversation_id", "id", "sequence", "dl", "x.word", "x.places")
+
+
 def placed_postings(messages: DataFrame) -> DataFrame:
-    """(word, conversation_id, id, sequence, dl, places, part): where each word of a message stands; one without words has none."""
-    rows = messages.select("conversation_id", "id", "sequence", tokens(F.col("content")).alias("w"))
-    each = rows.select("conversation_id", "id", "sequence", F.size("w").alias("dl"), F.posexplode("w").alias("place", "word"))
-    grouped = each.groupBy("word", "conversation_id", "id", "sequence", "dl").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    return grouped.withColumn("part", part_of(F.col("word")))
+    """(word, conversation_id, id, sequence, dl, places, part): the words of each message, with their parts of the index."""
+    each = placed_words(messages).select("word", "conversation_id", "id", "sequence", "dl", "places")
+    return each.withColumn("part", part_of(F.col("word")))
 
 
 def _terms(terms: Terms) -> tuple[list[str], list[str]]:

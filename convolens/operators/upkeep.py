@@ -89,17 +89,16 @@ def discovery_status(known: DataFrame, listed: DataFrame) -> DataFrame:
 
 def postings(messages: DataFrame) -> DataFrame:
     """(word, conversation_id, id, sequence, tf, dl): the words of each message; one without words has none."""
-    rows = messages.select("conversation_id", "id", "sequence", FT.tokens(F.col("content")).alias("w"))
-    each = rows.select("conversation_id", "id", "sequence", F.size("w").alias("dl"), F.explode("w").alias("word"))
-    return each.groupBy("word", "conversation_id", "id", "sequence", "dl").agg(F.count("*").alias("tf")).select("word", "conversation_id", "id", "sequence", "tf", "dl")
+    return FT.placed_words(messages).select("word", "conversation_id", "id", "sequence", F.size("places").cast("long").alias("tf"), "dl")
 
 
 def refreshed_postings(index: DataFrame, messages: DataFrame, changed: DataFrame) -> DataFrame:
     """`index` with the postings of the conversations in `changed` (conversation_id) made again from `messages`.
 
-    Only their messages are tokenised; a conversation without messages leaves the index.
+    Only their messages are tokenised; a conversation without messages leaves the index. The ids, few beside the
+    words, are looked up by hash, so that no task sorts the index' rows.
     """
-    ids = changed.select("conversation_id").distinct()
+    ids = changed.select("conversation_id").distinct().hint("shuffle_hash")
     again = postings(messages.join(ids, "conversation_id", "left_semi"))
     return index.join(ids, "conversation_id", "left_anti").unionByName(again)
 

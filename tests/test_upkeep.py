@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from convolens.operators import search as FT
 from convolens.operators import upkeep as K
 from convolens.sources.artifacts import MOST_CHARS, read_artifacts
 
@@ -74,3 +75,16 @@ def test_artifacts(spark, tmp_path):
     assert got["rules (global)/a.md"]["content"] == "x" * MOST_CHARS + "\n...[truncated]"
     assert got["memory (p1)/m.md"]["content"] == "é" and got["memory (p1)/m.md"]["size"] == 2
     assert read_artifacts(spark, str(tmp_path)).where(F.col("content").isNull()).count() == 0
+
+
+def test_words_are_counted_where_their_message_lies(spark):
+    rows = [("c1", "m1", 0, "b a b, Ä a b"), ("c1", "m1", 0, "a z z z z z"), ("c1", "m1", 0, "short"), ("c1", "m2", 1, " .. "), ("c2", "m1", 0, None), ("c3", "m3", 2, "x")]
+    messages = spark.createDataFrame(rows, "conversation_id string, id string, sequence int, content string")
+    got = {(r["word"], r["conversation_id"], r["id"], r["sequence"], r["dl"]): r["tf"] for r in K.postings(messages).collect()}
+    assert got == {("a", "c1", "m1", 0, 6): 4, ("b", "c1", "m1", 0, 6): 3, ("z", "c1", "m1", 0, 6): 5, ("short", "c1", "m1", 0, 1): 1, ("x", "c3", "m3", 2, 1): 1}
+    placed = {(r["word"], r["dl"]): list(r["places"]) for r in FT.placed_postings(messages).collect()}
+    assert placed["a", 6] == [0, 1, 3, 4] and placed["z", 6] == [1, 2, 3, 4, 5]
+    plan = K.postings(messages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # words are made above the shuffle, which moves messages
+    refreshed = K.refreshed_postings(K.postings(messages), messages, messages.select("conversation_id"))
+    assert "Sort [word" not in refreshed._jdf.queryExecution().executedPlan().toString()
