@@ -3,8 +3,8 @@
 One pass over the whole texts finds the base spans and the other candidates (long runs of token
 characters with a letter and a digit) with their surroundings; a second pass over that small table
 scores them. The network (embedding, one convolution, largest response inside and outside the candidate,
-logistic output) is plain numpy. It is trained on labelled findings: a bounded sample of the corpus' base
-findings (secrets) and of its candidates that are words and short numbers joined by signs (plain), and made-up
+logistic output) is plain numpy. It is trained on labelled findings: all of the corpus' base
+findings (secrets) and all of its candidates that are words and short numbers joined by signs (plain), and made-up
 secrets and plain identifiers in borrowed surroundings, so that the string itself must decide. Of an assignment
 the value is the candidate and its word stands before it, as in what is scored. Other candidates have no label:
 the base patterns miss secrets, so nothing is learnt from their silence. A value lies in one of three parts by its
@@ -15,13 +15,15 @@ LEAST_RECALL of every family of secrets, found or made up; recall and precision
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +59,8 @@ SECRETS, PLAIN = ("hex", "base36", "upper", "base64", "prefixed", "letters"), ("
 _PREFIXES = ("AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "eyJ")
 _WORDLIST = ("version", "module", "chapter", "example", "mail", "www", "index", "report", "section", "build", "release", "file", "img", "page", "item", "user", "test", "data")
 WIDTH, DIM, FILTERS = 5, 8, 24
+#: Steps of a logit; passes over the rows that are fitted, at least.
+CELLS, PASSES = 64, 8
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -120,6 +124,8 @@ class Network:
     recall: float = 0.0
     precision: float = 0.0
     families: dict[str, float] = field(default_factory=dict)
+    #: Distinct labelled findings of the corpus that it learnt from, made-up ones aside.
+    findings: int = 0
 
     def _columns(self, codes: np.ndarray) -> np.ndarray:
         x = np.zeros((len(codes), LENGTH + WIDTH - 1, DIM + 1), np.float32)
@@ -141,8 +147,15 @@ class Network:
         found = [self._pooled(np.maximum(self._columns(c) @ self.conv + self.bias, 0))[0] @ self.out + self.shift[0] for c in parts]
         return np.concatenate(found) if found else np.empty(0)
 
+    def cells(self, codes: np.ndarray) -> np.ndarray:
+        """Logits in whole steps of 1 / CELLS, by which all rows are counted."""
+        return np.floor(np.clip(self.logits(codes), -100, 100) * CELLS).astype(np.int64)
+
+    def of_cells(self, cells: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * (cells / CELLS) + self.scale[1], -40, 40)))
+
     def probability(self, codes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.logits(codes) + self.scale[1], -40, 40)))
+        return self.of_cells(self.cells(codes))
 
     def gradients(self, codes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
         n = len(codes)
@@ -170,57 +183,91 @@ def _part(window: str) -> int:
     return zlib.crc32(window[BEFORE : BEFORE + INSIDE].encode("utf-8", "surrogatepass")) % 5
 
 
-def train(windows: list[str], labels: list[int]) -> Network:
-    """Trained on the first part of the rows; the second calibrates it and sets its threshold, the third is measured."""
+def _begun() -> Network:
     rng = np.random.default_rng(SEED)
-    codes, y, part = encode(windows), np.array(labels, np.float64), np.array([_part(w) for w in windows])
-    x_fit, y_fit, x_held, y_held = codes[part < 3], y[part < 3], codes[part == 3], y[part == 3]
-    net = Network(
+    return Network(
         rng.normal(0, 0.3, (len(_SYMBOLS) + 2, DIM)).astype(np.float32),
         rng.normal(0, 0.15, (WIDTH * (DIM + 1), FILTERS)).astype(np.float32),
         np.zeros(FILTERS, np.float32),
         rng.normal(0, 0.2, 2 * FILTERS).astype(np.float32),
         np.zeros(1, np.float32),
     )
-    weights = np.where(y_fit == 1, 0.5 / max(1e-9, y_fit.mean()), 0.5 / max(1e-9, 1 - y_fit.mean()))
-    params = [net.embed, net.conv, net.bias, net.out, net.shift]
-    first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(max(8, STEPS * 128 // max(1, len(y_fit)))):
-        order = rng.permutation(len(y_fit))
+
+
+def _params(net: Network) -> list[np.ndarray]:
+    return [net.embed, net.conv, net.bias, net.out, net.shift]
+
+
+def _passed(state: tuple[list, list, list], t: int, codes: np.ndarray, y: np.ndarray, share: float, passes: int, seed: list[int]) -> tuple[tuple[list, list, list], int]:
+    """Parameters and their two moments after `passes` passes of Adam over the rows, and the steps done; `share`: of secrets in all rows."""
+    params, first, second = ([x.copy() for x in xs] for xs in state)
+    net, rng = Network(*params), np.random.default_rng(seed)
+    weights = np.where(y == 1, 0.5 / max(1e-9, share), 0.5 / max(1e-9, 1 - share))
+    for _ in range(passes):
+        order = rng.permutation(len(y))
         for at in range(0, len(order), 128):
             pick, t = order[at : at + 128], t + 1
-            for p, g, m, v in zip(params, net.gradients(x_fit[pick], y_fit[pick], weights[pick]), first, second):
+            for p, g, m, v in zip(params, net.gradients(codes[pick], y[pick], weights[pick]), first, second):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= (0.004 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(p.dtype)
-    net.scale = _calibrated(net.logits(x_held), y_held)
-    found = _by_family(windows, part, 3)
-    kinds = [net.probability(x_held[y_held == 1]), *(net.probability(encode(w)) for f, w in found.items() if f in SECRETS)]
+    return (params, first, second), t
+
+
+def _settle(net: Network, counts: list[tuple[int, int, str | None, int, int]]) -> None:
+    """Calibration and threshold from the second part, report from the third; `counts`: (part, label, family or None, cell, rows) of all rows."""
+    table = np.array([(p, y, c, n) for p, y, f, c, n in counts if f is None], np.int64).reshape(-1, 4)
+    held, last = table[table[:, 0] == 3], table[table[:, 0] == 4]
+    net.scale = _calibrated(held[:, 2] / CELLS, held[:, 1].astype(np.float64), held[:, 3])
+    of = lambda part, family: np.array([(c, n) for p, _, f, c, n in counts if p == part and f == family], np.int64).reshape(-1, 2)
     lost = lambda n: max(0.0, 1 - LEAST_RECALL - (LEAST_RECALL * (1 - LEAST_RECALL) / n) ** 0.5)  # noqa: E731 - a standard error less than allowed
-    net.threshold = float(min((np.sort(p)[int(lost(len(p)) * len(p))] for p in kinds if len(p)), default=0.5))
-    net.families = {f: float((net.probability(encode(w)) >= net.threshold).mean()) for f, w in _by_family(windows, part, 4).items()}
-    hit, y_last = net.probability(codes[part == 4]) >= net.threshold, y[part == 4]
-    net.recall, net.precision = float(hit[y_last == 1].mean()) if y_last.any() else 0.0, float(y_last[hit].mean()) if hit.any() else 0.0
+    cuts = []
+    for own in (held[held[:, 1] == 1][:, 2:], *(of(3, f) for f in SECRETS)):
+        own = own[np.argsort(own[:, 0], kind="stable")]
+        if n := int(own[:, 1].sum()):
+            cuts.append(own[np.searchsorted(own[:, 1].cumsum(), int(lost(n) * n), "right"), 0])
+    net.threshold = float(net.of_cells(np.array([min(cuts)]))[0]) if cuts else 0.5
+    found = lambda rows: int(rows[net.of_cells(rows[:, 0]) >= net.threshold, 1].sum())
+    families = {f: of(4, f) for f in (*SECRETS, *PLAIN)}
+    net.families = {f: found(rows) / int(rows[:, 1].sum()) for f, rows in families.items() if len(rows)}
+    secret, all_hit = last[last[:, 1] == 1][:, 2:], found(last[:, 2:])
+    net.recall = found(secret) / int(secret[:, 1].sum()) if len(secret) else 0.0
+    net.precision = found(secret) / all_hit if all_hit else 0.0
+
+
+def train(windows: list[str], labels: list[int]) -> Network:
+    """Trained on the first part of the rows; the second calibrates it and sets its threshold, the third is measured."""
+    codes, y, part = encode(windows), np.array(labels, np.float64), np.array([_part(w) for w in windows], np.int64)
+    net, fitted = _begun(), part < 3
+    zeros = [np.zeros_like(p) for p in _params(net)]
+    passes = max(PASSES, STEPS * 128 // max(1, int(fitted.sum())))
+    state, _ = _passed((_params(net), zeros, zeros), 0, codes[fitted], y[fitted], float(y[fitted].mean()) if fitted.any() else 0.5, passes, [SEED, 0])
+    net = Network(*state[0])
+    counts = [(int(p), int(l), None, int(c), 1) for p, l, c in zip(part, y, net.cells(codes)) if p >= 3]
+    for own in (3, 4):
+        for family, found in _by_family(windows, part, own).items():
+            counts += [(own, int(family in SECRETS), family, int(c), 1) for c in net.cells(encode(found))]
+    _settle(net, counts)
     return net
 
 
-def _by_family(windows: list[str], part: np.ndarray, own: int) -> dict[str, list[str]]:
+def _by_family(windows: list[str], part: np.ndarray, own: int, n: int = CHECKED * 5, more: int = 0) -> dict[str, list[str]]:
     """Made-up strings of each family whose values lie in the part `own`, in surroundings of that part."""
     around = [w for w, p in zip(windows, part) if p == own]
-    made, out = _made(around, CHECKED * 5, SEED + 10 + own), {}
+    made, out = _made(around, n, SEED + 10 + own + more), {}
     for family, window in made:
         if _part(window) == own:
             out.setdefault(family, []).append(window)
     return out
 
 
-def _calibrated(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps, the slope held near 1."""
+def _calibrated(logits: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset by Newton steps, the slope held near 1; each row stands for `n`."""
     a, b = 1.0, 0.0
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a * logits + b, -40, 40)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        ga, gb = ((y - p) * logits).sum() - (a - 1), (y - p).sum() - 0.1 * b
+        w = n * np.maximum(p * (1 - p), 1e-9)
+        ga, gb = (n * (y - p) * logits).sum() - (a - 1), (n * (y - p)).sum() - 0.1 * b
         h = np.array([[(w * logits**2).sum() + 1, (w * logits).sum()], [(w * logits).sum(), w.sum() + 0.1]])
         da, db = np.linalg.solve(h, [ga, gb])
         a, b = a + np.clip(da, -1, 1), b + np.clip(db, -1, 1)
@@ -257,9 +304,9 @@ def _made(surroundings: list[str], n: int, seed: int) -> list[tuple[str, str]]:
     return out
 
 
-def made_findings(surroundings: list[str], n: int = MADE) -> tuple[list[str], list[int]]:
+def made_findings(surroundings: list[str], n: int = MADE, more: int = 0) -> tuple[list[str], list[int]]:
     """Windows of made-up secrets (1) and plain identifiers (0), each in the middle of borrowed surroundings."""
-    made = _made(surroundings, n, SEED + 1)
+    made = _made(surroundings, n, SEED + 1 + more)
     return [w for _, w in made], [int(f in SECRETS) for f, _ in made]
 
 
@@ -284,19 +331,80 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, found array<struct<start:int,kind:string,end:int,plain:boolean,windows:array<string>>>")
 
 
+_EXAMPLE = "deal long, part int, y int, family string, window string"
+
+
+def _examples(deals: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of a deal's labelled windows: these, made-up ones in their surroundings, as many and MADE in all at least, and those of each family."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        deal = int(rows["deal"].iloc[0])
+        rows = rows[rows["y"].notna()].sort_values(["y", "window"])
+        windows, labels = rows["window"].tolist(), [int(y) for y in rows["y"]]
+        seed = 100 * deal
+        made = made_findings([w for w, y in zip(windows, labels) if not y] or windows, max(len(windows), -(-MADE // deals)), seed)
+        windows, labels = windows + made[0], labels + made[1]
+        part = np.array([_part(w) for w in windows], np.int64)
+        out = [(deal, p, y, None, w) for p, y, w in zip(part.tolist(), labels, windows)]
+        for own in (3, 4):
+            found = _by_family(windows, part, own, -(-CHECKED * 5 // deals), seed)
+            out += [(deal, own, int(f in SECRETS), f, w) for f, of in found.items() for w in of]
+        return pd.DataFrame(out, columns=["deal", "part", "y", "family", "window"])
+
+    return run
+
+
+def _round(state: tuple[list, list, list], t: int, share: float, passes: int, nth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of a deal's rows: what `passes` passes over them make of the parameters."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, deal = rows.sort_values(["y", "window"]), int(rows["deal"].iloc[0])
+        after, steps = _passed(state, t, encode(rows["window"].tolist()), rows["y"].to_numpy(np.float64), share, passes, [SEED, deal, nth])
+        return pd.DataFrame([(deal, len(rows), steps, pickle.dumps(after))], columns=["deal", "n", "t", "state"])
+
+    return run
+
+
 def fit(found: DataFrame, labelled: int = LABELLED) -> Network:
-    """A network from at most `labelled` distinct findings of each label, those with the smallest hash; it knows its held-back recall and precision."""
+    """A network from all distinct labelled findings; it knows its held-back recall and precision.
+
+    Findings are dealt by hash, about 2 * `labelled` to a task. In each round every task makes a pass over its own from the
+    same parameters, and their means, weighted by rows, begin the next. Calibration, threshold and report count all rows.
+    """
+    scratch = Scratch(found.sparkSession, "secrets-fit")
     y = F.when(F.col("x.kind") != "cnn", 1).when(F.col("x.plain"), 0).alias("y")
     rows = found.select(F.explode("found").alias("x")).select(F.col("x.windows")[0].alias("window"), y).where("y IS NOT NULL").distinct()
-    windows, labels = [], []
-    for y in (0, 1):
-        own = [r[0] for r in rows.where(F.col("y") == y).select("window").orderBy(F.xxhash64("window"), "window").limit(labelled).collect()]
-        windows += own
-        labels += [y] * len(own)
-    made = made_findings([w for w, y in zip(windows, labels) if not y] or windows)
-    order = np.random.default_rng(SEED).permutation(len(labels) + len(made[1]))
-    windows, labels = windows + made[0], labels + made[1]
-    return train([windows[i] for i in order], [labels[i] for i in order])
+    rows = scratch.table(rows, "labelled")
+    n = rows.count()
+    deals = max(1, -(-n // (2 * labelled)))
+    dealt = rows.select(F.pmod(F.xxhash64("window"), F.lit(deals)).cast("long").alias("deal"), "y", "window")
+    empty = found.sparkSession.range(deals).select(F.col("id").alias("deal"), F.lit(None).cast("int").alias("y"), F.lit(None).cast("string").alias("window"))
+    examples = scratch.table(dealt.union(empty).groupBy("deal").applyInPandas(_examples(deals), _EXAMPLE), "examples")
+    own = examples.where("part < 3 AND family IS NULL").select("deal", "y", "window")
+    size, secrets = own.agg(F.count("*"), F.sum("y")).first()
+    passes, share = max(PASSES, STEPS * 128 * deals // max(1, size)), (secrets or 0) / max(1, size)
+    state, t = ([*_params(_begun())], *([np.zeros_like(p) for p in _params(_begun())] for _ in range(2))), 0
+    rounds, each = (1, passes) if deals == 1 else (passes, 1)
+    for nth in range(rounds):
+        run = _round(state, t, share, each, nth)
+        after = sorted(map(tuple, own.groupBy("deal").applyInPandas(run, "deal long, n long, t long, state binary").collect()))
+        total, t = sum(r[1] for r in after), max((r[2] for r in after), default=t)
+        means = [[np.zeros(x.shape) for x in xs] for xs in state]
+        for _, rows_of, _, raw in after:
+            for xs, ys in zip(means, pickle.loads(raw)):
+                for x, part in zip(xs, ys):
+                    x += part * (rows_of / total)
+        state = tuple([x.astype(old.dtype) for x, old in zip(xs, olds)] for xs, olds in zip(means, state))
+    net = Network(*state[0])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(net.cells(encode(batch.column(3).to_pylist())), pa.int64())], names=["part", "y", "family", "cell"])
+
+    placed = examples.where("part >= 3").select("part", "y", "family", "window").mapInArrow(cells, "part int, y int, family string, cell long")
+    _settle(net, [tuple(r) for r in placed.groupBy("part", "y", "family", "cell").count().orderBy("part", "y", "family", "cell").collect()])
+    net.findings = n
+    return net
 
 
 def _line(spans: list[tuple[int, str, int]]) -> str:

@@ -86,3 +86,16 @@ def test_candidates():
     text = "QwErTyUiOpAsDfGhJk and abcdefgh12345678"
     assert secrets.candidates(text, []) == [(0, 18), (23, 39)]
     assert secrets.candidates(text, [(10, "hex", 12)]) == [(23, 39)] and secrets.candidates(text, [(38, "hex", 45), (0, "hex", 1)]) == []
+
+
+def test_all_labelled_findings_are_learnt_from(spark):
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choice(WORDS) for _ in range(12))
+    texts = [f"{prose()} password: {value(rng, 'base64')} {prose()} {plain(rng)}1 {prose()}" for _ in range(300)]
+    found = secrets._found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    net = secrets.fit(found, labelled=150)  # in several tasks, each with a part
+    labelled = found.selectExpr("explode(found) AS x").where("x.kind != 'cnn' OR x.plain").selectExpr("x.windows[0]").distinct().count()
+    assert net.findings == labelled > 300
+    assert net.recall >= 0.95 and min(net.families[f] for f in secrets.SECRETS) >= 0.93 and max(net.families[f] for f in secrets.PLAIN) <= 0.07
+    again = secrets.fit(found.repartition(3), labelled=150)
+    assert again.threshold == net.threshold and (again.conv == net.conv).all()
