@@ -101,8 +101,9 @@ def latest_before(rows: DataFrame, partition: str, key: str, ref: str, order: st
     defs = rows.where(F.col(key) != "").select(F.col(partition).alias("_p"), F.col(key).alias("_k"), F.col(order).alias("_o"), F.lit(1).alias("_what"), F.col(value).alias("_v"))
     refs = rows.where("_ref != ''").select(F.col(partition).alias("_p"), F.col("_ref").alias("_k"), F.col(order).alias("_o"), F.lit(0).alias("_what"), F.lit(None).alias("_v"))
     w = Window.partitionBy("_p", "_k").orderBy("_o", "_what").rowsBetween(Window.unboundedPreceding, 0)
-    found = defs.union(refs).withColumn("parent_value", F.last("_v", ignorenulls=True).over(w)).where("_what = 0").select("_p", "_o", "parent_value").distinct()
-    return rows.join(found, (F.col(partition) == F.col("_p")) & (F.col(order) == F.col("_o")), "left").drop("_p", "_o", "_ref")
+    found = defs.union(refs).withColumn("parent_value", F.last("_v", ignorenulls=True).over(w)).where("_what = 0")
+    found = found.groupBy("_p", "_k", "_o").agg(F.first("parent_value").alias("parent_value"))  # equal where the keys are
+    return rows.join(found, (F.col(partition) == F.col("_p")) & (F.col("_ref") == F.col("_k")) & (F.col(order) == F.col("_o")), "left").drop("_p", "_k", "_o", "_ref")
 
 
 def segments(rows: DataFrame, partition: str, order: str, boundary: Column) -> DataFrame:

@@ -259,59 +259,67 @@ def _conversations(messages: DataFrame, adapter: str, kind: str) -> DataFrame:
 
 # Session files with side chains, compaction and replayed usage.
 
+_SESSION_USAGE = dict(zip(TOKENS, (f"$.message.usage.{name}" for name in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"))))
+_SESSION_PATHS = {
+    "$.sessionId", "$.type", "$.subtype", "$.message.content", "$.summary", "$.content", "$.message.model", "$.isSidechain", "$.uuid", "$.parentUuid",
+    "$.requestId", "$.message.id", "$.timestamp", "$.cwd", "$.gitBranch", *_SESSION_USAGE.values(),
+}
+
 
 def read_sessions(source: DataFrame, adapter: str = "claude-code") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Conversations, messages and tool calls of block-structured session lines.
 
     A compact_boundary row opens a new segment, a conversation of its own whose parent is the one before it.
-    Usage that a request repeats counts once, at its first assistant row. Results meet their calls by id.
+    Usage that a request repeats counts once, at its first assistant row. Results meet their calls by id. The lines are
+    taken apart once: their rows are written to the shared folder, and all three tables come from what was written.
     """
     subagent = F.regexp_extract("path", r"([^/]+)/subagents/[^/]+$", 1)
-    session = F.coalesce(F.nullif(text_at("value", "$.sessionId"), F.lit("")), _stem(F.col("path")))
-    own = F.when(subagent != "", _stem(F.col("path"))).otherwise(session)
-    rows = source.select("*", text_at("value", "$.type").alias("kind"), own.alias("session"), subagent.alias("spawner"))
-    boundary = (F.col("kind") == "system") & (text_at("value", "$.subtype") == "compact_boundary")
-    rows = R.segments(rows, "session", "line", boundary & (F.col("line") > 0))
-    content = F.get_json_object("value", "$.message.content")
-    rows = rows.where("kind IN ('user', 'assistant', 'system', 'summary')").withColumns({"content_json": content, "parts": blocks(content)})
+    rows = source.select("path", "line", F.from_json("value", _shape(_SESSION_PATHS)).alias("row"))
+    rows = rows.select("*", F.col("row.message.content").alias("content_json"), subagent.alias("spawner"))
+    rows = rows.withColumn("parts", blocks(F.col("content_json")))
     joined = lambda what, path: F.array_join(F.filter(F.transform("parts", lambda x: F.when(text_at(x, "$.type") == what, text_at(x, path)).otherwise("")), lambda t: t != ""), SEPARATOR)
-    text = F.coalesce(joined("text", "$.text"), F.trim("content_json"), text_at("value", "$.summary", "$.content"))
+    text = F.coalesce(joined("text", "$.text"), F.trim("content_json"), _text("$.summary", "$.content"))
     thinking = F.coalesce(joined("thinking", "$.thinking"), F.lit(""))
     tools = F.coalesce(F.array_join(F.filter(F.transform("parts", lambda x: F.when(text_at(x, "$.type") == "tool_use", F.concat(F.lit("[tool:"), text_at(x, "$.name"), F.lit("]"))).otherwise("")), lambda t: t != ""), SEPARATOR), F.lit(""))
     results = F.coalesce(F.array_join(F.filter(F.transform("parts", lambda x: F.when(text_at(x, "$.type") == "tool_result", flat_text(F.get_json_object(x, "$.content"))).otherwise("")), lambda t: t != ""), SEPARATOR), F.lit(""))
     pick = F.coalesce(*(F.nullif(c, F.lit("")) for c in (text, results, thinking, tools)), F.lit(""))
-    uuid = text_at("value", "$.uuid")
+    session = F.coalesce(F.nullif(_text("$.sessionId"), F.lit("")), _stem(F.col("path")))
+    kind = _text("$.type")
     rows = rows.select(
-        "path", "modified", "line", "session", "spawner", "value", "parts", "segment", "relationship", "parent_segment_id",
-        F.col("segment_id").alias("conversation_id"),
-        F.when(F.col("kind").isin("user", "assistant"), F.col("kind")).otherwise("system").alias("role"),
-        F.col("kind").alias("record_type"),
+        "path", "line", "spawner", "parts",
+        F.when(F.col("spawner") != "", _stem(F.col("path"))).otherwise(session).alias("session"),
+        kind.alias("record_type"),
+        ((kind == "system") & (_text("$.subtype") == "compact_boundary") & (F.col("line") > 0)).alias("boundary"),
+        F.when(kind.isin("user", "assistant"), kind).otherwise("system").alias("role"),
         pick.alias("content"), thinking.alias("thinking_content"),
-        text_at("value", "$.message.model").alias("model"),
-        (text_at("value", "$.isSidechain") == "true").alias("is_sidechain"),
-        uuid.alias("uuid"), text_at("value", "$.parentUuid").alias("parent_uuid"),
-        text_at("value", "$.requestId").alias("request"), text_at("value", "$.message.id").alias("message_key"),
-        F.coalesce(F.nullif(iso_or(text_at("value", "$.timestamp"), F.lit(None).cast("timestamp")), F.lit("")), text_at("value", "$.timestamp")).alias("timestamp"),
-        text_at("value", "$.cwd").alias("cwd"), text_at("value", "$.gitBranch").alias("branch"),
-        number_at("value", "$.message.usage.input_tokens").alias("input_tokens"), number_at("value", "$.message.usage.output_tokens").alias("output_tokens"),
-        number_at("value", "$.message.usage.cache_read_input_tokens").alias("cache_read"), number_at("value", "$.message.usage.cache_creation_input_tokens").alias("cache_write"),
+        _text("$.message.model").alias("model"),
+        (_text("$.isSidechain") == "true").alias("is_sidechain"),
+        _text("$.uuid").alias("uuid"), _text("$.parentUuid").alias("parent_uuid"),
+        _text("$.requestId").alias("request"), _text("$.message.id").alias("message_key"),
+        F.coalesce(F.nullif(iso_or(_text("$.timestamp"), F.lit(None).cast("timestamp")), F.lit("")), _text("$.timestamp")).alias("timestamp"),
+        _text("$.cwd").alias("cwd"), _text("$.gitBranch").alias("branch"),
+        *(number(_text(path)).alias(name) for name, path in _SESSION_USAGE.items()),
     )
-    rows = rows.where("content != ''")
+    # rows that don't count go behind the window: a filter before it would work out each content twice
+    rows = R.segments(rows, "session", "line", F.col("boundary")).withColumnRenamed("segment_id", "conversation_id")
+    rows = rows.where("record_type IN ('user', 'assistant', 'system', 'summary') AND content != ''")
+    # the windows below all lie within a conversation, so its rows move once
+    rows = rows.repartition("conversation_id")
     rows = rows.withColumn("counters", F.when((F.col("request") != "") | (F.col("message_key") != ""), F.concat_ws("|", *TOKENS)).otherwise(""))
     rows = R.dedup_usage(rows, ["request", "message_key", "counters"], "conversation_id", "line")
     rows = rows.withColumn("seed", F.when(F.col("uuid") != "", F.col("uuid")).otherwise(F.concat_ws(":", "record_type", "timestamp")))
     rows = R.occurrence_ids(rows, "conversation_id", "seed", "line").withColumnRenamed("stable_id", "id")
-    rows = R.latest_before(rows, "conversation_id", "uuid", "parent_uuid", "line", "id")
     w = Window.partitionBy("conversation_id").orderBy("line")
     rows = rows.withColumns(
         {
             "sequence": (F.row_number().over(w) - 1).cast("int"),
             "turn": R.sidechain_turn(F.col("role"), F.col("is_sidechain"), "conversation_id", "line"),
-            "parent_message_id": F.coalesce("parent_value", F.lit("")),
             "thinking_tokens": F.when(F.col("thinking_content") == "", 0).otherwise(S.estimated_tokens(F.col("thinking_content"))).cast("long"),
         }
     )
-    return _segment_conversations(rows, adapter), rows.select(*_MESSAGE), _stitched(rows)
+    rows = saved(rows.drop("boundary", "counters", "is_replay", "seed", "occurrence", "request", "message_key"))
+    messages = R.latest_before(rows, "conversation_id", "uuid", "parent_uuid", "line", "id").withColumn("parent_message_id", F.coalesce("parent_value", F.lit("")))
+    return _segment_conversations(rows, adapter), messages.select(*_MESSAGE), _stitched(rows)
 
 
 def _stitched(rows: DataFrame) -> DataFrame:

@@ -246,3 +246,22 @@ def test_files_of_the_adapters_do_not_grow_with_the_conversations(spark, sf_dir)
     for path in (adapters._written(m, F.to_json(item)), adapters._documents(m, item, F.col("conversation_id").alias("id"))):
         files = [p for p in Path(path.removeprefix("file:")).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))]
         assert len(files) <= 4 < m.select("conversation_id").distinct().count()
+
+
+def _pack(spark, path, rows):
+    """A pack of transcripts: (path, line, value) as `packed_lines` reads them."""
+    packed = spark.createDataFrame([(p, n, json.dumps(v)) for p, n, v in rows], "path string, line int, value string")
+    packed.selectExpr("path", "timestamp '2024-01-01' AS modified", "line", "value").write.parquet(path)
+    return path
+
+
+def test_lines_of_sessions_are_taken_apart_once(spark, tmp_path):
+    line = lambda role, uuid, up="", **more: {"type": role, "sessionId": "S", "uuid": uuid, "parentUuid": up, "message": {"role": role, "content": f"by {uuid}", **more}}
+    # two files of one session, whose lines have the same numbers
+    rows = [("of=a/f.txt", 0, line("user", "u1")), ("of=a/f.txt", 1, line("assistant", "u2", "u1", model="m")), ("of=b/f.txt", 0, line("user", "v1")), ("of=b/f.txt", 1, line("assistant", "v2", "v1"))]
+    pack = _pack(spark, str(tmp_path / "pack"), rows)
+    tables = TR.read_sessions(TR.packed_lines(spark, pack))
+    assert not any(pack in f for t in tables for f in t.inputFiles())
+    m = {r["content"]: r for r in tables[1].collect()}
+    assert tables[1].count() == 4 and m["by u2"]["model"] == "m"
+    assert m["by u2"]["parent_message_id"] == m["by u1"]["id"] and m["by v2"]["parent_message_id"] == m["by v1"]["id"]
