@@ -9,15 +9,15 @@ from ..functions import scalar as S
 from ..model import TOKENS
 
 
-def _in_order(key: str = "conversation_id", order: str = "sequence") -> Window:
-    return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def _in_order(key: str = "conversation_id", *order: str) -> Window:
+    return Window.partitionBy(key).orderBy(*(order or ("sequence",))).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def running_turn(role: Column, key: str = "conversation_id", order: str = "sequence") -> Column:
-    """Each user row opens a turn; rows before any user are in turn 0, which shifts later turns by one."""
-    w = _in_order(key, order)
+def running_turn(role: Column, key: str = "conversation_id", order: tuple[str, ...] = ("sequence",), skip_null: bool = False) -> Column:
+    """Each user row opens a turn; rows before any user are in turn 0, which shifts later turns by one. `skip_null`: as if rows without a role weren't there."""
+    w = _in_order(key, *order)
     users = F.sum((role == "user").cast("int")).over(w)
-    return (users - (F.first(role).over(w) == "user").cast("int")).cast("int")
+    return (users - (F.first(role, ignorenulls=skip_null).over(w) == "user").cast("int")).cast("int")
 
 
 def sidechain_turn(role: Column, is_sidechain: Column, key: str = "conversation_id", order: str = "sequence") -> Column:

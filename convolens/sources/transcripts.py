@@ -165,16 +165,18 @@ def _text(*paths: str) -> Column:
 
 
 def _rows(source: DataFrame, spec: Simple) -> DataFrame:
-    """(path, modified, line, row, session, cwd) of each message row; `row`: what is read of its JSON, which is parsed once."""
+    """(path, modified, line, row, session, cwd) of each message row; `row`: what is read of its JSON, which is parsed once.
+
+    `session` and `cwd` are null where a line, or the document that holds the row, names none.
+    """
     row = F.from_json("value", _shape(_paths(spec)))
+    own = (F.nullif(_text(*spec.session), F.lit("")).alias("session"), F.nullif(_text("$.cwd"), F.lit("")).alias("cwd"))
     if not spec.items:
-        whole, pick = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.last if spec.last else F.first
-        session = pick(F.nullif(_text(*spec.session), F.lit("")), ignorenulls=True).over(whole)
-        cwd = pick(F.nullif(_text("$.cwd"), F.lit("")), ignorenulls=True).over(whole)
-        return source.select("path", "modified", "line", row.alias("row")).withColumns({"session": F.coalesce(session, _stem(F.col("path"))), "cwd": F.coalesce(cwd, F.lit(""))})
-    items = F.coalesce(*(blocks(F.get_json_object("value", p)) for p in spec.items))
-    session = F.coalesce(F.nullif(text_at("value", *spec.session), F.lit("")), _stem(F.col("path")))
-    each = source.select("path", "modified", session.alias("session"), text_at("value", "$.cwd").alias("cwd"), F.posexplode(items).alias("line", "value"))
+        return source.select("path", "modified", "line", row.alias("row")).select("*", *own)
+    # a document is taken apart before its rows are laid out, or each row would do it again
+    whole = F.when(F.col("value").rlike(r"^\s*\{"), F.from_json("value", _shape({*spec.items, *spec.session, "$.cwd"})))
+    documents = source.select("path", "modified", whole.alias("row")).select("path", "modified", "row", *own)
+    each = documents.select("path", "modified", "session", "cwd", F.posexplode(F.coalesce(*(blocks(_raw(p)) for p in spec.items))).alias("line", "value"))
     return each.withColumn("row", F.when(F.ltrim("value").startswith("{"), row)).drop("value")
 
 
@@ -200,29 +202,41 @@ def read_simple(source: DataFrame, spec: Simple) -> tuple[DataFrame, DataFrame,
     The files are read and their JSON is taken apart once: the messages are written to the shared folder, and the other
     two tables come from what was written.
     """
-    rows = _rows(source, spec)
-    role = role_of(_text(*spec.role))
-    content = flat_text(F.coalesce(_raw(*spec.content), F.lit("")))
-    rows = rows.select("*", role.alias("role"), content.alias("content"), F.col("session").alias("conversation_id"))
-    rows = rows.where("role IS NOT NULL AND (content != '' OR row.tool_calls IS NOT NULL)")
-    order = Window.partitionBy("conversation_id").orderBy("path", "line")
-    rows = rows.withColumn("sequence", (F.row_number().over(order) - 1).cast("int"))
-    given = _text("$.id", "$.uuid")
-    messages = rows.select(
-        "*",
-        F.when(given != "", given).otherwise(S.stable_id(F.col("conversation_id"), F.col("sequence").cast("string"))).alias("id"),
+    rows = _rows(source, spec).withColumn("told", F.coalesce(_raw(*spec.content), F.lit("")))
+    rows = rows.select(
+        "path", "line", "session", "cwd", "row.tool_calls",
+        role_of(_text(*spec.role)).alias("role"),
+        flat_text(F.col("told")).alias("content"),
+        _text("$.id", "$.uuid").alias("given"),
         _text("$.type", "$.role").alias("record_type"),
         _text(*spec.model).alias("model"),
         iso_or(_text(*spec.time), F.col("modified")).alias("timestamp"),
-        F.lit(False).alias("is_sidechain"),
-        F.lit("").alias("parent_message_id"),
         _text("$.thinking").alias("thinking_content"),
         *(number(_text(*paths)).alias(name) for name, paths in _USAGE.items()),
+    )
+    if not spec.items:
+        whole, pick = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.last if spec.last else F.first
+        rows = rows.withColumns({name: pick(name, ignorenulls=True).over(whole) for name in ("session", "cwd")})
+    rows = rows.withColumns({"conversation_id": F.coalesce("session", _stem(F.col("path"))), "cwd": F.coalesce("cwd", F.lit(""))})
+    # rows that don't count are numbered past and go behind the window: a filter before it would work out each content twice
+    counts = F.col("role").isNotNull() & ((F.col("content") != "") | F.col("tool_calls").isNotNull())
+    before = Window.partitionBy("conversation_id").orderBy("path", "line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns(
+        {
+            "counts": counts,
+            "sequence": (F.sum(counts.cast("int")).over(before) - 1).cast("int"),
+            "turn": R.running_turn(F.when(counts, F.col("role")), order=("path", "line"), skip_null=True),
+        }
     )
-    messages = messages.withColumns(
-        {"turn": R.running_turn(F.col("role")), "thinking_tokens": F.when(F.col("thinking_content") == "", 0).otherwise(S.estimated_tokens(F.col("thinking_content"))).cast("long")}
+    messages = rows.where("counts").withColumns(
+        {
+            "id": F.when(F.col("given") != "", F.col("given")).otherwise(S.stable_id(F.col("conversation_id"), F.col("sequence").cast("string"))),
+            "is_sidechain": F.lit(False),
+            "parent_message_id": F.lit(""),
+            "thinking_tokens": F.when(F.col("thinking_content") == "", 0).otherwise(S.estimated_tokens(F.col("thinking_content"))).cast("long"),
+        }
     )
-    messages = saved(messages.select(*_MESSAGE, "path", "cwd", "row.tool_calls"))
+    messages = saved(messages.select(*_MESSAGE, "path", "cwd", "tool_calls"))
     return _conversations(messages, spec.adapter, "json" if spec.items else "jsonl"), messages.select(*_MESSAGE), _tool_calls(messages)
 
 

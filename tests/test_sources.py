@@ -265,3 +265,29 @@ def test_lines_of_sessions_are_taken_apart_once(spark, tmp_path):
     m = {r["content"]: r for r in tables[1].collect()}
     assert tables[1].count() == 4 and m["by u2"]["model"] == "m"
     assert m["by u2"]["parent_message_id"] == m["by u1"]["id"] and m["by v2"]["parent_message_id"] == m["by v1"]["id"]
+
+
+def _plan_of_messages(monkeypatch, source, spec):
+    """Lines of the optimized plan of what `read_simple` writes, and its messages."""
+    plans = []
+
+    def saved(df):
+        plans.extend(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+        return df
+
+    monkeypatch.setattr(TR, "saved", saved)
+    return plans, TR.read_simple(source, spec)[1]
+
+
+def test_documents_are_taken_apart_once(spark, tmp_path, monkeypatch):
+    rows = [("tool", "x"), ("model", "before"), ("user", "one"), ("user", " "), ("user", "two")]
+    whole = {"id": "G", "messages": [{"type": role, "content": [{"text": text}], "model": "m"} for role, text in rows]}
+    texts = [("of=g/f.txt", json.dumps(whole)), ("of=h/f.txt", "\n" + json.dumps({**whole, "id": ""})), ("of=i/f.txt", json.dumps([whole])), ("of=j/f.txt", '{"id": "none"}')]
+    source = spark.createDataFrame(texts, "path string, value string").selectExpr("path", "timestamp '2024-01-01' AS modified", "value")
+    plan, messages = _plan_of_messages(monkeypatch, source, TR.GEMINI)
+    # neither a filter parses the rows again nor a row its document
+    assert not any("from_json" in x for x in plan if "Filter" in x)
+    above = plan[: next(i for i, x in enumerate(plan) if "Generate" in x)]
+    assert not any("get_json_object(value" in x for x in above)
+    want = [(s, n, role, text, n) for s in ("G", "f") for n, (role, text) in enumerate([("assistant", "before"), ("user", "one"), ("user", "two")])]
+    assert [tuple(r) for r in messages.select("conversation_id", "sequence", "role", "content", "turn").orderBy("conversation_id", "sequence").collect()] == want
