@@ -291,3 +291,15 @@ def test_documents_are_taken_apart_once(spark, tmp_path, monkeypatch):
     assert not any("get_json_object(value" in x for x in above)
     want = [(s, n, role, text, n) for s in ("G", "f") for n, (role, text) in enumerate([("assistant", "before"), ("user", "one"), ("user", "two")])]
     assert [tuple(r) for r in messages.select("conversation_id", "sequence", "role", "content", "turn").orderBy("conversation_id", "sequence").collect()] == want
+
+
+def _lines_plan(spark, tmp_path, monkeypatch, key, spec):
+    rows = [("tool", "x"), ("user", "one"), ("ai", ""), ("ai", "two"), ("user", "three")]
+    pack = _pack(spark, str(tmp_path / "pack"), [("of=a/f.txt", n, {"type": role, "content": text, **({key: "A"} if n == 3 else {})}) for n, (role, text) in enumerate(rows)])
+    plan, messages = _plan_of_messages(monkeypatch, TR.packed_lines(spark, pack), spec)
+    assert [tuple(r) for r in messages.select("conversation_id", "sequence", "content", "turn").orderBy("sequence").collect()] == [("A", 0, "one", 0), ("A", 1, "two", 0), ("A", 2, "three", 1)]
+    return plan
+
+
+def test_contents_of_amp_lines_are_worked_out_once(spark, tmp_path, monkeypatch):
+    assert not any("from_json" in x for x in _lines_plan(spark, tmp_path, monkeypatch, "thread_id", TR.AMP) if "Filter" in x)
