@@ -303,3 +303,11 @@ def _lines_plan(spark, tmp_path, monkeypatch, key, spec):
 
 def test_contents_of_amp_lines_are_worked_out_once(spark, tmp_path, monkeypatch):
     assert not any("from_json" in x for x in _lines_plan(spark, tmp_path, monkeypatch, "thread_id", TR.AMP) if "Filter" in x)
+
+
+def test_rows_of_piagent_lines_are_not_moved_with_their_json(spark, tmp_path, monkeypatch):
+    plan = _lines_plan(spark, tmp_path, monkeypatch, "sessionId", TR.PIAGENT)
+    windows = [i for i, x in enumerate(plan) if x.lstrip("+-: ").startswith("Window")]
+    parsed = next(i for i, x in enumerate(plan) if " AS row#" in x)
+    # the struct of a row's JSON is used up below the first window
+    assert len(windows) == 2 and parsed > max(windows) and not any("row#" in x for x in plan[: max(windows)])
