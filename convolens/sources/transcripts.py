@@ -85,15 +85,22 @@ def blocks(value: Column) -> Column:
 
 
 def flat_text(content: Column) -> Column:
-    """Text of a content value: a plain text, or the texts of an array of parts, also one level further down."""
+    """Text of a content value: a plain text, or the texts of an array of parts, also one level further down.
 
-    def part(x: Column) -> Column:
-        inner = F.get_json_object(x, "$.content")
-        deep = F.array_join(F.filter(F.transform(blocks(inner), lambda y: text_at(y, "$.text")), lambda t: t != ""), SEPARATOR)
-        plain = F.when(~F.ltrim(x).startswith("{"), F.trim(x))
-        return F.coalesce(F.nullif(plain, F.lit("")), F.nullif(text_at(x, "$.text"), F.lit("")), deep, F.nullif(text_at(x, "$.content"), F.lit("")), F.lit(""))
+    Each part's fields are kept beside it, as a lambda's columns are worked out anew wherever they are named.
+    """
+    holds = lambda p: F.ltrim(p["own"]).startswith("{")
+
+    def deeper(p: Column) -> Column:
+        return p.withField("inner", F.when(holds(p) & (F.coalesce(p["text"], F.lit("")) == ""), F.get_json_object(p["own"], "$.content")))
+
+    def part(p: Column) -> Column:
+        plain = F.when(~holds(p), F.trim(p["own"]))
+        deep = F.array_join(F.filter(F.transform(blocks(p["inner"]), lambda y: F.trim(F.get_json_object(y, "$.text"))), lambda t: t != ""), SEPARATOR)
+        return F.coalesce(F.nullif(plain, F.lit("")), F.nullif(p["text"], F.lit("")), deep, F.nullif(F.trim(p["inner"]), F.lit("")), F.lit(""))
 
-    parts = F.array_join(F.filter(F.transform(blocks(content), part), lambda t: t != ""), SEPARATOR)
+    found = F.transform(blocks(content), lambda x: F.struct(x.alias("own"), F.when(F.ltrim(x).startswith("{"), F.trim(F.get_json_object(x, "$.text"))).alias("text")))
+    parts = F.array_join(F.filter(F.transform(F.transform(found, deeper), part), lambda t: t != ""), SEPARATOR)
     holder = F.when(F.ltrim(content).startswith("{"), text_at(content, "$.text", "$.content"))
     return F.coalesce(parts, holder, F.trim(content), F.lit(""))
 
@@ -202,7 +209,7 @@ def read_simple(source: DataFrame, spec: Simple) -> tuple[DataFrame, DataFrame,
     The files are read and their JSON is taken apart once: the messages are written to the shared folder, and the other
     two tables come from what was written.
     """
-    rows = _rows(source, spec).withColumn("told", F.coalesce(_raw(*spec.content), F.lit("")))
+    rows = _rows(source, spec).withColumns({"told": F.coalesce(_raw(*spec.content), F.lit("")), "said_at": _text(*spec.time)})
     rows = rows.select(
         "path", "line", "session", "cwd", "row.tool_calls",
         role_of(_text(*spec.role)).alias("role"),
@@ -210,7 +217,7 @@ def read_simple(source: DataFrame, spec: Simple) -> tuple[DataFrame, DataFrame,
         _text("$.id", "$.uuid").alias("given"),
         _text("$.type", "$.role").alias("record_type"),
         _text(*spec.model).alias("model"),
-        iso_or(_text(*spec.time), F.col("modified")).alias("timestamp"),
+        iso_or(F.col("said_at"), F.col("modified")).alias("timestamp"),
         _text("$.thinking").alias("thinking_content"),
         *(number(_text(*paths)).alias(name) for name, paths in _USAGE.items()),
     )

@@ -311,3 +311,14 @@ def test_rows_of_piagent_lines_are_not_moved_with_their_json(spark, tmp_path, mo
     parsed = next(i for i, x in enumerate(plan) if " AS row#" in x)
     # the struct of a row's JSON is used up below the first window
     assert len(windows) == 2 and parsed > max(windows) and not any("row#" in x for x in plan[: max(windows)])
+
+
+def test_parts_of_amp_contents_are_taken_apart_once(spark, tmp_path, monkeypatch):
+    parts = [{"text": " a "}, {"content": [{"text": "b"}, {"text": " "}, {"text": "c"}]}, "plain", {"content": "d"}, {"text": "", "content": " e"}, {"text": None, "content": []}, {"type": "x"}, ["n"], "", None]
+    contents = [parts, [], {"content": "held"}, "[no array", [{"text": {"b": 1}}], [{"text": 1}, {"text": "two", "content": "three"}]]
+    pack = _pack(spark, str(tmp_path / "pack"), [("of=a/f.txt", n, {"thread_id": "A", "role": "user", "content": c}) for n, c in enumerate(contents)])
+    plan, messages = _plan_of_messages(monkeypatch, TR.packed_lines(spark, pack), TR.AMP)
+    # a part's text and content, and the text of what lies in that
+    assert "".join(plan).count("get_json_object(lambda") == 3
+    want = ['a\n\nb\n\nc\n\nplain\n\nd\n\ne\n\n["n"]', "held", "[no array", '{"b":1}', "1\n\ntwo"]
+    assert [r["content"] for r in messages.orderBy("sequence").collect()] == want
