@@ -61,8 +61,8 @@ def text_at(value: Column | str, *paths: str) -> Column:
 
 
 def number(text: Column) -> Column:
-    """A whole number of at least 0; 0 if the text is none."""
-    return F.greatest(F.lit(0), F.coalesce(text.try_cast("double"), F.lit(0))).cast("long")
+    """A whole number of at least 0; 0 if the text is none that fits, or null. A null costs less than a blank text, whose cast throws and catches."""
+    return F.greatest(F.lit(0), F.coalesce(text.try_cast("double").try_cast("long"), F.lit(0)))
 
 
 def number_at(value: Column | str, *paths: str) -> Column:
@@ -166,9 +166,14 @@ def _raw(*paths: str) -> Column:
     return F.coalesce(*(F.col(p.replace("$", "row", 1)) for p in paths))
 
 
+def _found(*paths: str) -> Column:
+    """The first of the paths that isn't blank, in the column `row`; else null."""
+    return F.coalesce(*(F.nullif(F.trim(_raw(p)), F.lit("")) for p in paths))
+
+
 def _text(*paths: str) -> Column:
     """As `text_at`, in the column `row`."""
-    return F.coalesce(*(F.nullif(F.trim(_raw(p)), F.lit("")) for p in paths), F.lit(""))
+    return F.coalesce(_found(*paths), F.lit(""))
 
 
 def _rows(source: DataFrame, spec: Simple) -> DataFrame:
@@ -177,7 +182,7 @@ def _rows(source: DataFrame, spec: Simple) -> DataFrame:
     `session` and `cwd` are null where a line, or the document that holds the row, names none.
     """
     row = F.from_json("value", _shape(_paths(spec)))
-    own = (F.nullif(_text(*spec.session), F.lit("")).alias("session"), F.nullif(_text("$.cwd"), F.lit("")).alias("cwd"))
+    own = (_found(*spec.session).alias("session"), _found("$.cwd").alias("cwd"))
     if not spec.items:
         return source.select("path", "modified", "line", row.alias("row")).select("*", *own)
     # a document is taken apart before its rows are laid out, or each row would do it again
@@ -219,7 +224,7 @@ def read_simple(source: DataFrame, spec: Simple) -> tuple[DataFrame, DataFrame,
         _text(*spec.model).alias("model"),
         iso_or(F.col("said_at"), F.col("modified")).alias("timestamp"),
         _text("$.thinking").alias("thinking_content"),
-        *(number(_text(*paths)).alias(name) for name, paths in _USAGE.items()),
+        *(number(_found(*paths)).alias(name) for name, paths in _USAGE.items()),
     )
     if not spec.items:
         whole, pick = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.last if spec.last else F.first
@@ -319,7 +324,7 @@ def read_sessions(source: DataFrame, adapter: str = "claude-code") -> tuple[Data
         _text("$.requestId").alias("request"), _text("$.message.id").alias("message_key"),
         F.coalesce(F.nullif(iso_or(_text("$.timestamp"), F.lit(None).cast("timestamp")), F.lit("")), _text("$.timestamp")).alias("timestamp"),
         _text("$.cwd").alias("cwd"), _text("$.gitBranch").alias("branch"),
-        *(number(_text(path)).alias(name) for name, path in _SESSION_USAGE.items()),
+        *(number(_found(path)).alias(name) for name, path in _SESSION_USAGE.items()),
     )
     # rows that don't count go behind the window: a filter before it would work out each content twice
     rows = R.segments(rows, "session", "line", F.col("boundary")).withColumnRenamed("segment_id", "conversation_id")

@@ -322,3 +322,13 @@ def test_parts_of_amp_contents_are_taken_apart_once(spark, tmp_path, monkeypatch
     assert "".join(plan).count("get_json_object(lambda") == 3
     want = ['a\n\nb\n\nc\n\nplain\n\nd\n\ne\n\n["n"]', "held", "[no array", '{"b":1}', "1\n\ntwo"]
     assert [r["content"] for r in messages.orderBy("sequence").collect()] == want
+
+
+def test_counters_of_piagent_lines(spark, tmp_path, monkeypatch):
+    given = {"": 0, " 7 ": 7, "NaN": 0, "Infinity": 0, "x": 0, "2.9": 2, "-3": 0}
+    said = [(k, v) for k, v in given.items()] + [(5, 5), (-0.5, 0), (1e30, 0), (None, 0)]
+    pack = _pack(spark, str(tmp_path / "pack"), [("of=a/f.txt", n, {"sessionId": "A", "type": "user", "content": "x", "usage": {"inputTokens": k}}) for n, (k, _) in enumerate(said)])
+    plan, messages = _plan_of_messages(monkeypatch, TR.packed_lines(spark, pack), TR.PIAGENT)
+    # a counter that isn't there is null, not a blank text whose cast throws
+    assert "as double)" in "".join(plan) and ", ) as double)" not in "".join(plan)
+    assert [tuple(r) for r in messages.orderBy("sequence").select("input_tokens", "output_tokens").collect()] == [(v, 0) for _, v in said]
